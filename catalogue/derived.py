@@ -60,7 +60,7 @@ def students(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     has_major = F.col("c_custkey") % 10 != 0
     texts = table(spark, sf_dir, "documents").select(
-        "doc_id", F.substring("text", 1, 200).alias("about_me")
+        "doc_id", F.col("text").alias("about_me")
     )
     return (
         table(spark, sf_dir, "customer")
@@ -86,7 +86,7 @@ def professors(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplied = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_name")
     balance = F.col("s_acctbal")
     texts = table(spark, sf_dir, "documents").select(
-        "doc_id", F.substring("text", 1, 200).alias("about_me")
+        "doc_id", F.col("text").alias("about_me")
     )
     return (
         table(spark, sf_dir, "supplier")
@@ -121,8 +121,8 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(names_per(ordered, "l_orderkey", "skill_names"), F.col("l_orderkey") == doc, "left")
         .select(
             make_id("project", doc).alias("id"),
-            F.substring("text", 1, 40).alias("title"),
-            F.substring("text", 1, 400).alias("description"),
+            F.concat_ws(" ", "source", "lang", doc.cast("string")).alias("title"),
+            F.col("text").alias("description"),
             make_id("provider", "source").alias("provider_id"),
             F.col("o_orderdate").cast("timestamp").alias("created_at"),
             "skill_names",

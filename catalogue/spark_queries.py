@@ -44,6 +44,7 @@ from pairwright.schemas import (
     SKILLS,
     STUDENTS,
     VECTOR,
+    EntitySpec,
 )
 from pairwright.sources.payloads import (
     accept,
@@ -319,7 +320,7 @@ def l2_normalize_(spark, sf_dir):
 @query
 def hash_embed(spark, sf_dir):
     documents = d.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return embed(documents, "text", hashing_embedder()).select(
+    return embed(documents, "text", hashing_embedder(), spread_by="doc_id").select(
         "doc_id", d.digest("vector").alias("vector")
     )
 
@@ -327,7 +328,7 @@ def hash_embed(spark, sf_dir):
 @query
 def hash_embed_query(spark, sf_dir):
     turns = d.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return embed(turns, "text", hashing_embedder(), kind="query").select(
+    return embed(turns, "text", hashing_embedder(), kind="query", spread_by="conv_id").select(
         "conv_id", "turn", d.digest("vector").alias("vector")
     )
 
@@ -513,39 +514,47 @@ def squared_distance(spark, sf_dir):
 # -- pipelines ------------------------------------------------------------------
 
 
+def stored(spark: SparkSession, spec: EntitySpec, commands: DataFrame) -> VersionedTable:
+    """A new table with the vectors of all commands."""
+    table = VersionedTable(spark, scratch_root(spark), spec)
+    bulk_sync(table, commands, hashing_embedder())
+    return table
+
+
 @query
 def recommend_projects_(spark, sf_dir):
+    projects = stored(spark, PROJECTS, d.project_commands(spark, sf_dir))
     requests, _ = accept_requests(d.student_requests(spark, sf_dir), PROJECT_REQUESTS)
-    projects = vectorize(d.project_commands(spark, sf_dir), PROJECTS, hashing_embedder())
-    return recommend_projects(requests, projects, hashing_embedder())
+    return recommend_projects(requests, projects.read(), hashing_embedder(), projects.row_bound())
 
 
 @query
 def suggest_professors_(spark, sf_dir):
+    professors = stored(spark, PROFESSORS, d.professor_commands(spark, sf_dir))
     requests, _ = accept_requests(d.advisor_requests(spark, sf_dir), ADVISOR_REQUESTS)
-    return suggest_professors(requests, professor_vectors(spark, sf_dir), hashing_embedder())
+    return suggest_professors(
+        requests, professors.read(), hashing_embedder(), professors.row_bound()
+    )
 
 
 @query
 def recommend_skills_(spark, sf_dir):
+    skills = stored(spark, SKILLS, d.skills(spark, sf_dir))
     requests, _ = accept_requests(d.student_requests(spark, sf_dir), SKILL_REQUESTS)
-    skills = vectorize(d.skills(spark, sf_dir), SKILLS, hashing_embedder())
-    return recommend_skills(requests, skills, hashing_embedder())
+    return recommend_skills(requests, skills.read(), hashing_embedder(), skills.row_bound())
 
 
 @query
 def sync_students(spark, sf_dir):
     """All students in bulk, then the whole change feed on top."""
-    table = VersionedTable(spark, scratch_root(spark), STUDENTS)
-    bulk_sync(table, d.student_commands(spark, sf_dir), hashing_embedder())
+    table = stored(spark, STUDENTS, d.student_commands(spark, sf_dir))
     sync(table, d.change_commands(spark, sf_dir), hashing_embedder())
     return table.read().select("id", "full_name", "about_me", d.digest("vector").alias("vector"))
 
 
 @query
 def bulk_sync_projects(spark, sf_dir):
-    table = VersionedTable(spark, scratch_root(spark), PROJECTS)
-    bulk_sync(table, d.project_commands(spark, sf_dir), hashing_embedder())
+    table = stored(spark, PROJECTS, d.project_commands(spark, sf_dir))
     return table.read().select(
         "id",
         "title",

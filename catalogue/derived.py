@@ -110,12 +110,16 @@ def professors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    documents = table(spark, sf_dir, "documents")
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .select("l_orderkey", "l_partkey")
+        .join(documents.select(F.col("doc_id").alias("l_orderkey")), "l_orderkey", "left_semi")
+    )
     ordered = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_name")
     doc = F.col("doc_id")
     return (
-        table(spark, sf_dir, "documents")
-        .join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == doc)
+        documents.join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == doc)
         .join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
         .join(names_per(ordered, "l_orderkey", "skill_names"), F.col("l_orderkey") == doc, "left")

@@ -5,15 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.operators.changes import BROADCAST_IDS
 
-def names_by_ids(table: DataFrame, ids: DataFrame, name: str = "name") -> DataFrame:
+
+def asked_for(table: DataFrame, ids: DataFrame, n_ids: int | None = None) -> DataFrame:
+    """Rows of the table whose id is asked for, each once.
+
+    The table is only scanned where the ids fit a broadcast: ``n_ids`` says so, or Spark's
+    own estimate.
+    """
+    ids = ids.select("id").distinct()
+    if n_ids is not None and n_ids <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return table.join(ids, "id", "left_semi")
+
+
+def names_by_ids(
+    table: DataFrame, ids: DataFrame, name: str = "name", n_ids: int | None = None
+) -> DataFrame:
     """Names of the rows whose id is asked for; each row once, unknown ids ignored."""
-    return table.select("id", name).join(ids.select("id").distinct(), "id", "left_semi").select(name)
+    return asked_for(table.select("id", name), ids, n_ids).select(name)
+
 
+def lookup(
+    table: DataFrame, ids: DataFrame, columns: list[str], n_ids: int | None = None
+) -> DataFrame:
+    """Every id asked for with ``columns`` of its row; ``found`` is false where there is none.
 
-def lookup(table: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
-    """Every id asked for with ``columns`` of its row; ``found`` is false where there is none."""
-    rows = table.select("id", *columns, F.lit(True).alias("found"))
+    The table is cut down to the ids first, so the outer join is between small sides.
+    """
+    rows = asked_for(table.select("id", *columns), ids, n_ids).withColumn("found", F.lit(True))
     return ids.join(rows, "id", "left").withColumn(
         "found", F.coalesce(F.col("found"), F.lit(False))
     )

@@ -11,13 +11,20 @@ from pairwright.schemas import DELETE, OP, SEQ, EntitySpec
 from pairwright.sources.store import VersionedTable
 
 
-def vectorize(commands: DataFrame, spec: EntitySpec, embedder: Embedder) -> DataFrame:
+def vectorize(
+    commands: DataFrame, spec: EntitySpec, embedder: Embedder, clustered: bool = False
+) -> DataFrame:
     """Typed commands as rows of the stored table.
 
     Of an id with several commands only the newest is rendered and embedded. Deletes have
-    no text and get no vector.
+    no text and get no vector. ``clustered`` orders the rows by the entity's clustering
+    columns before they are embedded, while they are small to move; the id among these
+    columns splits a hot value over many partitions.
     """
     commands = newest(commands, order=SEQ if SEQ in commands.columns else F.lit(0))
+    if clustered:
+        order = spec.cluster_by
+        commands = commands.repartitionByRange(*order).sortWithinPartitions(*order)
     document = spec.document()
     if OP in commands.columns:
         document = F.when(F.col(OP) != DELETE, document)
@@ -42,4 +49,6 @@ def bulk_sync(table: VersionedTable, commands: DataFrame, embedder: Embedder) ->
     The version is promoted after everything is written. When a stage fails the error is
     raised and the live version stays. No commands at all change nothing.
     """
-    return table.replace(vectorize(commands, table.spec, embedder), unique=True)
+    return table.replace(
+        vectorize(commands, table.spec, embedder, clustered=True), unique=True
+    )

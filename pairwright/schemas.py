@@ -34,7 +34,8 @@ class EntitySpec:
 
     ``record`` and ``labels`` name the fields of a command: the record is nested
     under ``payload`` (the first name that is present wins), labels stand beside it.
-    Only the record is stored; labels serve to render the document.
+    Only the record is stored; labels serve to render the document. A replaced table is
+    ordered by ``cluster_by``, so that filters on these columns skip row groups.
     """
 
     table: str
@@ -46,6 +47,7 @@ class EntitySpec:
     uuid_arrays: tuple[str, ...]
     document: Callable[[], Column]
     defaults: tuple[tuple[str, str], ...] = ()
+    cluster_by: tuple[str, ...] = ("id",)
 
     @property
     def table_schema(self) -> T.StructType:
@@ -124,6 +126,7 @@ PROFESSORS = EntitySpec(
     uuids=("id",),
     uuid_arrays=("research_interest_ids",),
     document=professor_document,
+    cluster_by=("is_accepting_projects", "id"),
 )
 
 PROJECTS = EntitySpec(
@@ -144,6 +147,7 @@ PROJECTS = EntitySpec(
     uuids=("id", "provider_id", "major_id", "specialty_id"),
     uuid_arrays=("skill_ids",),
     document=project_document,
+    cluster_by=("major_id", "id"),
 )
 
 ENTITIES = {spec.table: spec for spec in (SKILLS, STUDENTS, PROFESSORS, PROJECTS)}

@@ -1,4 +1,4 @@
-"""Compare registered queries with their SQL: ``python tests/check_catalogue.py [dir] [names]``."""
+"""Compare registered queries with their SQL: ``python tests/checking.py [dir] [names]``."""
 
 from __future__ import annotations
 

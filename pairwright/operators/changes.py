@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from pairwright.schemas import DELETE, OP, SEQ, UPSERT
 
-# Ids that may be broadcast: 36 characters, a position and overhead, about 64 MB.
-BROADCAST_IDS = 500_000
+# Ids that may be broadcast: 36 characters, a position and overhead, about 100 MB.
+BROADCAST_IDS = 1_000_000
 
 
 def newest(changes: DataFrame, key: str = "id", order: Column | str = SEQ) -> DataFrame:

@@ -25,8 +25,8 @@ from pairwright.operators.changes import BROADCAST_IDS, fold, live, newest, tomb
 from pairwright.schemas import DELETE, OP, SEQ, UPSERT, EntitySpec
 from pairwright.sources.files import FileSystem
 
-# A new base is written when there are more change sets than this, or when they hold more
-# rows than a broadcast may have and than a tenth of the base.
+# A new base is written when there are more change sets than this, or more changed rows
+# than a table's `compact_above`.
 MAX_CHANGE_SETS = 16
 
 NOTHING = {
@@ -59,9 +59,17 @@ def staged(error: Exception, what: str) -> MatchmakingError:
 
 
 class VersionedTable:
-    """The table of one entity below ``root``."""
+    """The table of one entity below ``root``.
 
-    def __init__(self, spark: SparkSession, root: str, spec: EntitySpec) -> None:
+    Up to ``compact_above`` changed rows are kept beside the base. By default these fit a
+    broadcast, so that reading never shuffles the base. A larger figure makes compaction of
+    a huge table rarer and reading it in between dearer.
+    """
+
+    def __init__(
+        self, spark: SparkSession, root: str, spec: EntitySpec, compact_above: int = BROADCAST_IDS
+    ) -> None:
+        self.compact_above = compact_above
         self.spark = spark
         self.spec = spec
         self.path = f"{root.rstrip('/')}/{spec.table}"
@@ -157,7 +165,7 @@ class VersionedTable:
             batches=batches,
         )
         too_many = len(state["changes"]) > MAX_CHANGE_SETS
-        too_large = state["change_rows"] > max(BROADCAST_IDS, state["base_rows"] // 10)
+        too_large = state["change_rows"] > self.compact_above
         return self.compact() if too_many or too_large else state
 
     def delete(self, ids: DataFrame) -> dict:

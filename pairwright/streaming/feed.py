@@ -32,9 +32,13 @@ def stream_sync(
     """
 
     def fold_batch(batch: DataFrame, number: int) -> None:
-        valid, rejected = accept(batch, table.spec)
-        rejected.write.mode("overwrite").parquet(f"{table.path}/rejected/{name}-{number:012d}")
-        sync(table, valid, embedder, (name, number))
+        batch.persist()  # read once for the two writes
+        try:
+            valid, rejected = accept(batch, table.spec)
+            rejected.write.mode("overwrite").parquet(f"{table.path}/rejected/{name}-{number:012d}")
+            sync(table, valid, embedder, (name, number))
+        finally:
+            batch.unpersist()
 
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return (

@@ -261,6 +261,7 @@ PROFESSOR_PAIRS = (
 )
 
 SKILL_ID = make_id("skill", "x")
+INTEREST_ID = make_id("interest", "x")
 
 
 def oracle_sql() -> dict[str, str]:
@@ -358,6 +359,10 @@ union all select id, seq, payload from latest where op = 'U'""",
         "enrich_labels": over(
             "select id, coalesce(array_to_string(skill_names, '|'), '') as names from students"
         ),
+        "enrich_majors": over("select id, major_id, major_name as major from students"),
+        "enrich_interests": over(
+            "select id, coalesce(array_to_string(interest_areas, '|'), '') as areas from professors"
+        ),
         "knn_all": dense_nearest("true"),
         "knn_arrow": dense_nearest("true"),
         "knn_grid": dense_nearest("true"),
@@ -427,6 +432,28 @@ from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""",
   {SHOWN} as vector from projects join v using (id) group by all""",
             embedded("v", PROJECT_TEXT, DOCUMENT),
         ),
+        "bulk_sync_professors": over(
+            f"""select id, is_accepting_projects,
+  coalesce(array_to_string(list_transform(interest_areas, lambda x: {INTEREST_ID}), '|'), '') as interest_ids,
+  {SHOWN} as vector from professors join v using (id) group by all""",
+            embedded("v", PROFESSOR_TEXT, DOCUMENT),
+        ),
+        "bulk_sync_skills": over(
+            f"select id, name, {SHOWN} as vector from skills join v using (id) group by all",
+            embedded("v", SKILL_TEXT, DOCUMENT),
+        ),
+        "sync_projects": over(
+            f"select id, title, {SHOWN} as vector from renamed join v using (id) group by all",
+            "renamed as (select * replace (upper(title) as title) from projects)",
+            embedded("v", f"select id, {PROJECT_DOCUMENT} as text from renamed", DOCUMENT),
+        ),
+        "delete_students": over(
+            "select id, full_name from students where id not in (select id from changes where op = 'D')"
+        ),
+        "json_requests": over(
+            f"""select id as request_id, cast(place % 20 + 1 as integer) as "limit", {ADVISOR_QUERY} as query
+from projects"""
+        ),
         "change_feed_fold": fold,
         "stream_change_feed": over(
             "select id, payload from latest where op = 'U'", f"latest as ({LATEST})"

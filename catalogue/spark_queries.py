@@ -30,7 +30,7 @@ from pairwright.functions import wording as w
 from pairwright.operators import changes as keyed
 from pairwright.operators.embed import embed, hashing_embedder
 from pairwright.operators.knn import nearest, nearest_one
-from pairwright.operators.lookup import enrich, lookup, names_by_ids
+from pairwright.operators.lookup import enrich, lookup, name_of, names_by_ids
 from pairwright.operators.metrics import chunk_plan, run_metrics
 from pairwright.operators.validate import command_problems, request_problems
 from pairwright.plans.recommend import recommend_projects, recommend_skills, suggest_professors
@@ -52,6 +52,7 @@ from pairwright.sources.payloads import (
     explode_items,
     read_commands,
     read_feed,
+    read_requests,
     typed,
     unpack,
 )
@@ -403,6 +404,23 @@ def enrich_labels(spark, sf_dir):
     return named.select("id", listed("names").alias("names"))
 
 
+@query
+def enrich_majors(spark, sf_dir):
+    """Names of students' majors; a tenth of the students has none."""
+    records = d.students(spark, sf_dir).select("id", "major_id")
+    return name_of(records, "major_id", d.majors(spark, sf_dir), "major")
+
+
+@query
+def enrich_interests(spark, sf_dir):
+    """Areas of professors' interests by their ids."""
+    records = d.professor_commands(spark, sf_dir).select("id", "research_interest_ids")
+    areas = d.table(spark, sf_dir, "part").select(F.col("p_name").alias("area")).distinct()
+    dimension = areas.select(d.make_id("interest", "area").alias("id"), "area")
+    named = enrich(records, "research_interest_ids", dimension, "areas", name="area")
+    return named.select("id", listed("areas").alias("areas"))
+
+
 # -- nearest neighbours -----------------------------------------------------------
 
 
@@ -564,6 +582,51 @@ def bulk_sync_projects(spark, sf_dir):
     )
 
 
+@query
+def bulk_sync_professors(spark, sf_dir):
+    table = stored(spark, PROFESSORS, d.professor_commands(spark, sf_dir))
+    return table.read().select(
+        "id",
+        "is_accepting_projects",
+        listed("research_interest_ids").alias("interest_ids"),
+        d.digest("vector").alias("vector"),
+    )
+
+
+@query
+def bulk_sync_skills(spark, sf_dir):
+    table = stored(spark, SKILLS, d.skills(spark, sf_dir))
+    return table.read().select("id", "name", d.digest("vector").alias("vector"))
+
+
+@query
+def sync_projects(spark, sf_dir):
+    """All projects in bulk, then all again with their titles in upper case."""
+    commands = d.project_commands(spark, sf_dir)
+    table = stored(spark, PROJECTS, commands)
+    sync(table, commands.withColumn("title", F.upper("title")), hashing_embedder())
+    return table.read().select("id", "title", d.digest("vector").alias("vector"))
+
+
+@query
+def delete_students(spark, sf_dir):
+    """Stored students less those the feed ever deletes."""
+    table = VersionedTable(spark, scratch_root(spark), STUDENTS)
+    commands = d.student_commands(spark, sf_dir)
+    table.replace(commands.withColumn("vector", F.lit(None).cast(VECTOR)))
+    table.delete(d.changes(spark, sf_dir).where("op = 'D'").select("id").distinct())
+    return table.read().select("id", "full_name")
+
+
+@query
+def json_requests(spark, sf_dir):
+    """Requests written as JSON lines, read back, validated and rendered."""
+    folder = f"{scratch_root(spark)}/requests"
+    d.advisor_requests(spark, sf_dir).write.json(folder)
+    requests, _ = accept_requests(read_requests(spark, ADVISOR_REQUESTS, folder), ADVISOR_REQUESTS)
+    return requests.select("request_id", "limit", advisor_query().alias("query"))
+
+
 @query
 def change_feed_fold(spark, sf_dir):
     """Live rows of the feed alone."""

@@ -66,3 +66,17 @@ def enrich(
     return records.join(lists, key, "left").withColumn(
         output, F.coalesce(F.col(output), F.array().cast("array<string>"))
     )
+
+
+def name_of(
+    records: DataFrame, ident: str, dimension: DataFrame, output: str, name: str = "name"
+) -> DataFrame:
+    """``records`` with the name of a single id; null where the id is null or unknown.
+
+    Rows without an id keep out of the join, so they do not gather in one task.
+    """
+    names = dimension.select(F.col("id").alias(ident), F.col(name).alias(output))
+    without = records.where(F.col(ident).isNull()).withColumn(
+        output, F.lit(None).cast(names.schema[output].dataType)
+    )
+    return records.where(F.col(ident).isNotNull()).join(names, ident, "left").unionByName(without)

@@ -420,6 +420,17 @@ from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""",
                 'select s.id as request_id, k.id as id, 10 as "limit" from students s cross join skills k',
             ),
         ),
+        "recommendation_lists": over(
+            "select request_id, string_agg(id, '|' order by rank) as ids from ranked "
+            'where rank <= "limit" group by request_id',
+            embedded("q", f"select id, {SKILL_QUERY} as text from students", QUERY),
+            embedded("c", SKILL_TEXT, DOCUMENT),
+            nearest(
+                "q",
+                "c",
+                'select s.id as request_id, k.id as id, 10 as "limit" from students s cross join skills k',
+            ),
+        ),
         "sync_students": over(
             f"select id, full_name, about_me, {SHOWN} as vector from final join v using (id) group by all",
             f"latest as ({LATEST})",

@@ -33,7 +33,12 @@ from pairwright.operators.knn import nearest, nearest_one
 from pairwright.operators.lookup import enrich, lookup, name_of, names_by_ids
 from pairwright.operators.metrics import chunk_plan, run_metrics
 from pairwright.operators.validate import command_problems, request_problems
-from pairwright.plans.recommend import recommend_projects, recommend_skills, suggest_professors
+from pairwright.plans.recommend import (
+    id_lists,
+    recommend_projects,
+    recommend_skills,
+    suggest_professors,
+)
 from pairwright.plans.sync import bulk_sync, sync, vectorize
 from pairwright.schemas import (
     ADVISOR_REQUESTS,
@@ -512,8 +517,9 @@ def knn_conjunction(spark, sf_dir):
     """The same under a predicate given as text."""
     vectors = professor_vectors(spark, sf_dir)
     requests = vectors.select(F.col("id").alias("request_id"), "vector", F.lit(5).alias("limit"))
-    predicate = F.expr("is_accepting_projects = true AND rank = 'Full Professor'")
-    return nearest(requests, vectors.where(predicate))
+    return nearest(
+        requests, vectors, where="is_accepting_projects = true AND rank = 'Full Professor'"
+    )
 
 
 @query
@@ -546,6 +552,15 @@ def recommend_projects_(spark, sf_dir):
     return recommend_projects(requests, projects.read(), hashing_embedder(), projects.row_bound())
 
 
+@query
+def recommendation_lists(spark, sf_dir):
+    """Skills for all students as one ordered list each."""
+    skills = stored(spark, SKILLS, d.skills(spark, sf_dir))
+    requests, _ = accept_requests(d.student_requests(spark, sf_dir), SKILL_REQUESTS)
+    ranked = recommend_skills(requests, skills.read(), hashing_embedder(), skills.row_bound())
+    return id_lists(ranked, requests).select("request_id", listed("ids").alias("ids"))
+
+
 @query
 def suggest_professors_(spark, sf_dir):
     professors = stored(spark, PROFESSORS, d.professor_commands(spark, sf_dir))

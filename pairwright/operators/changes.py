@@ -63,8 +63,11 @@ def merge(
 
 
 def delete(current: DataFrame, ids: DataFrame, n_ids: int | None = None) -> DataFrame:
-    """Rows whose id is not among ``ids``; unknown ids change nothing."""
-    ids = ids.select("id")
+    """Rows whose id is not among ``ids``; unknown ids change nothing.
+
+    Repeated ids are combined before the shuffle.
+    """
+    ids = ids.select("id").distinct()
     if n_ids is not None and n_ids <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return current.join(ids, "id", "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.functions import canonical_uuid
 from pairwright.operators.changes import BROADCAST_IDS
 
 
@@ -20,6 +21,12 @@ def asked_for(table: DataFrame, ids: DataFrame, n_ids: int | None = None) -> Dat
     return table.join(ids, "id", "left_semi")
 
 
+def row_of(table: DataFrame, ident: str) -> DataFrame:
+    """The row with one id, if there is one: the comparison reaches the scan, and row groups
+    of a table ordered by id are skipped."""
+    return table.where(F.col("id") == canonical_uuid(F.lit(ident))).limit(1)
+
+
 def names_by_ids(
     table: DataFrame, ids: DataFrame, name: str = "name", n_ids: int | None = None
 ) -> DataFrame:

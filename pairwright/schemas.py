@@ -152,6 +152,11 @@ PROJECTS = EntitySpec(
 
 ENTITIES = {spec.table: spec for spec in (SKILLS, STUDENTS, PROFESSORS, PROJECTS)}
 
+# Lookup records whose names label the entities: id, name and what they belong to.
+MAJORS = T.StructType().add("id", STRING).add("name", STRING)
+SPECIALTIES = T.StructType().add("id", STRING).add("name", STRING).add("major_id", STRING)
+RESEARCH_INTERESTS = T.StructType().add("id", STRING).add("area", STRING)
+
 # Bounds of a request's limit.
 DEFAULT_LIMIT = 10
 MAX_LIMIT = 100

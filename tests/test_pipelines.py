@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pairwright.errors import EmbeddingError, StoreError
 from pairwright.functions import l2_normalize
 from pairwright.operators.embed import Embedder, embed, hashing_embedder
-from pairwright.operators.lookup import enrich, lookup, names_by_ids
+from pairwright.operators.lookup import enrich, lookup, name_of, names_by_ids, row_of
 from pairwright.operators.metrics import append_metrics, chunk_plan, observed, run_metrics
-from pairwright.plans.recommend import recommend_projects, recommend_skills, suggest_professors
+from pairwright.plans.recommend import id_lists, recommend_projects, recommend_skills, suggest_professors
 from pairwright.plans.sync import bulk_sync, sync
 from pairwright.schemas import (
     ADVISOR_REQUESTS,
@@ -122,6 +122,9 @@ def test_names_lookup_and_labels(spark):
     records = spark.createDataFrame(
         [("1", ["c", "z", "a", "c"]), ("2", []), ("3", None)], "id string, ids array<string>"
     )
+    single = spark.createDataFrame([("1", "a"), ("2", "z"), ("3", None)], "id string, ref string")
+    named = {r.id: r.label for r in name_of(single, "ref", table, "label").collect()}
+    assert named == {"1": "A", "2": None, "3": None}
     named = {r.id: r.names for r in enrich(records, "ids", table, "names").collect()}
     assert named == {"1": ["C", "A", "C"], "2": [], "3": []}
 
@@ -133,6 +136,9 @@ def test_lookup_only_scans_the_table(spark, tmp_path):
     plan = lookup(spark.read.parquet(path), ids, ["name"], n_ids=1)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:string,name:string>" in plan
     assert "BroadcastHashJoin [id" in plan and "LeftSemi" in plan
+    stored = spark.read.parquet(path).withColumn("id", F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad("id", 12, "0")))
+    assert row_of(stored, ident(7)).count() == row_of(stored, ident(7).replace("-", "")).count() == 1
+    assert row_of(stored, "bad").count() == row_of(stored, ident(5000)).count() == 0
 
 
 def test_metrics(spark, tmp_path):
@@ -228,6 +234,8 @@ def test_recommendations(spark, root):
     # Restricted requests do not get the project without a major.
     assert found["own"] == [ident(1)] and "none" not in found
     assert set(found["free"]) == {ident(1), ident(2), ident(3)}
+    ranked = recommend_projects(requests, projects.read(), embedder, projects.row_bound())
+    assert {r.request_id: r.ids for r in id_lists(ranked, requests).collect()} == {**found, "none": []}
 
     professors = VersionedTable(spark, f"{root}/p", PROFESSORS)
     people = spark.createDataFrame(

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairwright.functions import canonical_uuid
 from pairwright.schemas import MAX_LIMIT, EntitySpec, RequestSpec
@@ -35,6 +36,15 @@ def _not_uuids(field: Field, name: str) -> Column:
     return F.when(F.coalesce(bad, F.lit(False)), F.lit(f"{name}: not a uuid"))
 
 
+def _null_items(field: Field, name: str) -> Column:
+    nulls = F.exists(field(name), lambda value: value.isNull())
+    return F.when(F.coalesce(nulls, F.lit(False)), F.lit(f"{name}: null item"))
+
+
+def _arrays(fields: tuple[tuple[str, T.DataType], ...]) -> list[str]:
+    return [name for name, kind in fields if isinstance(kind, T.ArrayType)]
+
+
 def _not_timestamp(field: Field, name: str) -> Column:
     value = field(name)
     return F.when(
@@ -51,6 +61,7 @@ def command_problems(spec: EntitySpec, field: Field) -> Column:
             *[_not_uuid(field, name) for name in spec.uuids],
             *[_not_uuids(field, name) for name in spec.uuid_arrays],
             *[_not_timestamp(field, name) for name in spec.timestamps],
+            *[_null_items(field, name) for name in _arrays(spec.labels)],
         )
     )
 
@@ -62,6 +73,7 @@ def request_problems(spec: RequestSpec, field: Field) -> Column:
         F.array(
             *[_missing(field, name) for name in ("request_id", *spec.required)],
             *[_not_uuid(field, name) for name in spec.uuids],
+            *[_null_items(field, name) for name in _arrays(spec.fields)],
             F.when((limit < 1) | (limit > MAX_LIMIT), F.lit("limit: out of range")),
         )
     )

@@ -143,7 +143,11 @@ def explode_items(
 
     def is_bad(item: Column) -> Column:
         record = _record(spec, item)
-        return F.size(command_problems(spec, lambda name: record[name])) > 0
+        labels = {name for name, _ in spec.labels}
+        problems = command_problems(
+            spec, lambda name: item[name] if name in labels else record[name]
+        )
+        return F.size(problems) > 0
 
     # A null item of an array makes exists() unknown; it is a bad item as well.
     bad = F.exists("items", lambda item: item.isNull() | is_bad(item))

@@ -69,6 +69,7 @@ def test_rejected_commands_keep_their_reasons(spark, tmp_path):
         {"project_template": project(id="bad", created_at="yesterday")},
         {"project_template": project(title=None, skill_ids=[TWO, "bad"])},
         {"major_name": "no record at all"},
+        {"project_template": project(), "skill_names": ["a", None]},
         "{ this is not json",
     )
     valid, rejected = accept(read_commands(spark, PROJECTS, path), PROJECTS)
@@ -81,6 +82,7 @@ def test_rejected_commands_keep_their_reasons(spark, tmp_path):
             ["skill_ids: not a uuid", "title: missing"],
             ["created_at: missing", "description: missing", "id: missing", "provider_id: missing", "title: missing"],
             ["payload: malformed"],
+            ["skill_names: null item"],
         ]
     )
 
@@ -104,6 +106,7 @@ def test_bulk_payload_keeps_order_and_is_rejected_whole(spark, tmp_path):
         {"seq": 3, "items": [professor(ONE), professor(TWO), professor(ONE)]},
         {"seq": 4, "items": [professor(ONE), professor("bad")]},
         {"seq": 5, "items": [professor(ONE), None]},
+        {"seq": 8, "items": [{**professor(ONE), "interest_areas": ["x", None]}]},
         {"seq": 6, "items": []},
         {"seq": 7},
     )
@@ -111,7 +114,7 @@ def test_bulk_payload_keeps_order_and_is_rejected_whole(spark, tmp_path):
     rows = sorted((r.seq, r.pos, r.id) for r in commands.collect())
     assert [row[1:] for row in rows] == [(0, ONE), (1, TWO), (2, ONE)]
     assert len({row[0] for row in rows}) == 3
-    assert sorted(r.seq for r in rejected.collect()) == [4, 5, 7]
+    assert sorted(r.seq for r in rejected.collect()) == [4, 5, 7, 8]
 
 
 def test_deletes_in_a_feed_need_only_an_id(spark, tmp_path):
@@ -137,6 +140,7 @@ def test_request_limits(spark, tmp_path):
         *[{"request_id": f"r{n}", "limit": n, **base} for n in (0, 1, 100, 101)],
         {"request_id": "none", **base},
         {"request_id": "untitled", "description": "D"},
+        {"request_id": "nulls", "skill_names": [None], **base},
         base,
     )
     valid, rejected = accept_requests(read_requests(spark, ADVISOR_REQUESTS, path), ADVISOR_REQUESTS)
@@ -145,6 +149,7 @@ def test_request_limits(spark, tmp_path):
         "r0": ["limit: out of range"],
         "r101": ["limit: out of range"],
         "untitled": ["title: missing"],
+        "nulls": ["skill_names: null item"],
         None: ["request_id: missing"],
     }
 

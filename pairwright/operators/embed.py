@@ -154,3 +154,23 @@ def hashing_embedder(dimension: int = DIMENSION, batch_rows: int = 1024) -> Embe
         return predict
 
     return Embedder(load, dimension, batch_rows)
+
+
+def sentence_transformer_embedder(
+    model: str,
+    dimension: int = DIMENSION,
+    device: str | None = None,
+    batch_rows: int = BATCH_ROWS,
+) -> Embedder:
+    """A sentence-transformers model by name or path; the library must be on the workers.
+
+    Without a ``device`` the library takes a GPU where there is one.
+    """
+
+    def load() -> Predict:
+        from sentence_transformers import SentenceTransformer
+
+        encoder = SentenceTransformer(model, trust_remote_code=True, device=device)
+        return lambda texts: encoder.encode(list(texts), normalize_embeddings=True)
+
+    return Embedder(load, dimension, batch_rows)

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 from pairwright.errors import EmbeddingError, StoreError
 from pairwright.functions import l2_normalize
-from pairwright.operators.embed import Embedder, embed, hashing_embedder
+from pairwright.operators.embed import (
+    Embedder,
+    embed,
+    hashing_embedder,
+    sentence_transformer_embedder,
+)
 from pairwright.operators.lookup import enrich, lookup, name_of, names_by_ids, row_of
 from pairwright.operators.metrics import append_metrics, chunk_plan, observed, run_metrics
 from pairwright.plans.recommend import id_lists, recommend_projects, recommend_skills, suggest_professors
@@ -91,6 +96,40 @@ def test_wrong_dimension_is_an_error(spark, tmp_path):
         embed(df, "t", recording(str(tmp_path / "log"), dimension=3)).collect()
 
 
+def test_sentence_transformer_model(spark, tmp_path):
+    """A stand-in for the library records how it is called."""
+    log = tmp_path / "log"
+    (tmp_path / "sentence_transformers.py").write_text(
+        "import numpy as np\n"
+        "class SentenceTransformer:\n"
+        "    def __init__(self, name, trust_remote_code, device):\n"
+        f"        open({str(log)!r}, 'a').write(f'load {{name}} {{device}}\\n')\n"
+        "    def encode(self, texts, normalize_embeddings):\n"
+        f"        open({str(log)!r}, 'a').write(f'encode {{len(texts)}} {{normalize_embeddings}}\\n')\n"
+        "        return np.array([[1.0, len(t)] for t in texts])\n"
+    )
+    spark.sparkContext.addPyFile(str(tmp_path / "sentence_transformers.py"))
+    df = spark.range(300).selectExpr("cast(id as string) as t").coalesce(1)
+    got = embed(df, "t", sentence_transformer_embedder("some-model", 2, "cpu")).collect()
+    assert log.read_text().splitlines() == [
+        "load some-model cpu",
+        "encode 128 True",
+        "encode 128 True",
+        "encode 44 True",
+    ]
+    assert all(np.linalg.norm(r.vector) == pytest.approx(1.0, abs=1e-6) for r in got)
+
+
+def test_model_that_does_not_load_is_named(spark):
+    df = spark.createDataFrame([("a",)], "t string")
+
+    def load():
+        raise RuntimeError("no weights")
+
+    with pytest.raises(Exception, match="EmbeddingError: model did not load"):
+        embed(df, "t", Embedder(load)).collect()
+
+
 def test_hashing_reads_whole_texts_and_words_of_all_scripts(spark):
     long = "filler " * 50_000
     df = spark.createDataFrame(

@@ -25,7 +25,6 @@ from pairwright.schemas import (
     PROFESSORS,
     PROJECT_REQUESTS,
     PROJECTS,
-    SKILL_REQUESTS,
     SKILLS,
     STUDENTS,
 )

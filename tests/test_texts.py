@@ -4,7 +4,6 @@ import random
 import uuid
 
 import pytest
-from pyspark.sql import functions as F
 
 from pairwright.functions import (
     advisor_query,

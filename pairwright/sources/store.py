@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 from pairwright.errors import EmbeddingError, MatchmakingError, StoreError
 from pairwright.operators.changes import BROADCAST_IDS, fold, live, newest, tombstones
 from pairwright.schemas import DELETE, OP, SEQ, UPSERT, EntitySpec
+from pairwright.scratch import scratch_root  # noqa: F401
 from pairwright.sources.files import FileSystem
 
 # A new base is written when there are more change sets than this, or more changed rows
@@ -41,14 +41,6 @@ NOTHING = {
 }
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a temporary one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/pairwright-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="pairwright-"), "tables")
-
-
 def staged(error: Exception, what: str) -> MatchmakingError:
     """The error of a failed job, by the stage that failed."""
     if isinstance(error, MatchmakingError):

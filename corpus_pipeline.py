@@ -1,10 +1,60 @@
-"""From raw documents to packed token windows: the pipeline over `documents`."""
+"""From raw documents to packed token windows: the pipeline over `documents`.
+
+Every stage takes the documents its predecessor kept and returns them with the same columns;
+the last returns the pieces of token windows. `run` writes each stage's result to the shared
+scratch folder and reads it again for the next.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from pairwright.llm import langid, minhash, packing, queries, suffix
+from pairwright.scratch import stored
+from pairwright.shipping import ship
+
+# Word shingles and similarity of near-duplicates.
+SHINGLE_WORDS = 5
+SIMILARITY_PERCENT = 80
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a text in one of the languages learned from the labelled ones."""
+    ship(spark)
+    return langid.keep_known(docs, langid.learned(docs))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    ship(spark)
+    return minhash.keep_one(docs, words=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the long strings that occur more than once."""
+    ship(spark)
+    return suffix.without_repeats(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the token windows that hold all documents."""
+    ship(spark)
+    return packing.pack(docs, queries.tokenizer_path())
+
+
+STAGES = [
+    ("language", known_language),
+    ("near_duplicates", one_of_each),
+    ("repeats", unrepeated),
+    ("packing", packed),
+]
+
+# A network, hash-based candidates and a tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = queries.table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+    return docs

@@ -441,7 +441,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
         F.array_sort(F.collect_list(turn)).alias("turns")
     )
     schema = whole.select("conv_id").schema.add("formatted", "string")
-    span = T.StructType().add("first", "int").add("last", "int")
+    span = T.StructType().add("first", "integer").add("last", "integer")
     schema = schema.add("spans", T.ArrayType(span))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

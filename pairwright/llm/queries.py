@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import bpe, chat, packing, sharding
+from pairwright.llm import bpe, chat, langid, minhash, packing, sharding, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 16
@@ -27,10 +27,23 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents, [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return langid.predict(documents, langid.learned(documents))
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -46,7 +59,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_shard": op2_shard,
+    "op3_language": op3_language,
+    "op4_minhash": op4_minhash,
     "op7_pack": op7_pack,
+    "op8_suffix": op8_suffix,
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
 }

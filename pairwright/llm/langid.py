@@ -341,15 +341,20 @@ def keep_known(documents: DataFrame, net: Network | None) -> DataFrame:
 
     Rejected are texts without a letter, and null ones.
     """
-    schema = documents.schema
+    rows = documents.select(
+        F.struct("*").alias("row"),
+        F.col("text").alias("content"),
+        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("readable"),
+    )
+    schema = rows.select("row").schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in text_slices(batches, "text", STEP_WINDOWS * WINDOW):
+        for some in text_slices(batches, "content", STEP_WINDOWS * WINDOW):
             names, _ = labelled(
-                rows.column("text"), rows.column(len(schema)).to_numpy(zero_copy_only=False), net
+                some.column("content"), some.column("readable").to_numpy(zero_copy_only=False), net
             )
-            keep = pa.array([name != UNKNOWN for name in names])
-            yield rows.filter(keep).select(range(len(schema)))
+            keep = pa.array([name != UNKNOWN for name in names], pa.bool_())
+            yield some.select(["row"]).filter(keep)
 
-    readable = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("readable")
-    return documents.select("*", readable).mapInArrow(work, schema)
+    kept = rows.mapInArrow(work, schema)
+    return kept.select(*[F.col("row")[c].alias(c) for c in documents.columns])

@@ -10,10 +10,10 @@ Documents with equal sets form a class, worked on once. Then:
    most one pair of common neighbours, and there are more pairs than such elements. Above that
    the chance to share no list is below 1e-9 at a similarity of exactly 0.8.
 2. Lists of at most ``LIST`` classes give their pairs. Longer ones give the pairs with their
-   smallest class and are divided by longer runs of neighbouring values, which bring together
-   what is most alike; what the lists of the longest runs still hold in different components is
-   tried once more with other leaders after components are known. So the number of pairs
-   grows with the rows, not with the square of a group.
+   most central class and are divided by longer runs of neighbouring values, which bring
+   together what is most alike. So the number of pairs grows with the rows, not with the
+   square of a group. What long lists still hold outside their largest component when
+   components are known, which is little, is compared with the other members.
 3. *Estimation*: the smallest hashes of the union of two sketches are looked up in both; pairs
    whose share is six standard deviations below the limit are dropped.
 4. *Verification* compares the full sets of the rest. First each class with its smallest
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.llm.columns import mixed, run_hashes, text_slices, utf8
@@ -40,6 +40,8 @@ from pairwright.scratch import stored
 
 SKETCH = 32
 LIST = 16
+SHORT = 12
+SEARCH = 10
 RUNS = (2, 8, SKETCH)
 PERCENT = 80
 
@@ -151,16 +153,18 @@ def runs_of(sketch: DataFrame, size: int) -> DataFrame:
 
 
 def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a < b`` of classes from the inverted lists, and the long lists ``list, node``."""
-    pairs, crowds = [], []
+    """Pairs ``a < b`` of classes from the inverted lists, and the long lists of neighbouring
+    pairs as ``list, node, length``.
+
+    The leader of a long list is its most central class: the one whose own long lists are the
+    longest together, so that what the others have changed is left out of it.
+    """
+    pairs = []
+    crowds = score = None
     level = nodes.withColumn("ats", F.lit(None).cast("array<int>"))
     for size in RUNS:
         rows = stored(runs_of(level, size))
-        lengths = stored(
-            rows.groupBy("list")
-            .agg(F.count("*").alias("length"), F.min("node").alias("leader"))
-            .filter("length > 1")
-        )
+        lengths = stored(rows.groupBy("list").agg(F.count("*").alias("length")).filter("length > 1"))
         short = rows.join(lengths.filter(F.col("length") <= LIST), "list").select("list", "node")
         pairs.append(
             short.alias("x")
@@ -169,10 +173,10 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         )
         crowd = stored(rows.join(lengths.filter(F.col("length") > LIST), "list"))
-        pairs.append(
-            crowd.filter("leader < node").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        )
-        crowds.append(crowd.select("list", "node"))
+        if score is None:
+            crowds = crowd
+            score = stored(crowd.groupBy("node").agg(F.sum("length").alias("score")))
+        pairs.append(_with_leader(crowd.select("list", "node"), score))
         if crowd.isEmpty():
             break
         ats = crowd.groupBy("node").agg(F.collect_set("at").alias("ats"))
@@ -180,10 +184,16 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     every = pairs[0]
     for more in pairs[1:]:
         every = every.union(more)
-    crowd = crowds[0]
-    for more in crowds[1:]:
-        crowd = crowd.union(more)
-    return stored(every.distinct()), crowd
+    return stored(every.distinct()), crowds.select("list", "node", "length")
+
+
+def _with_leader(rows: DataFrame, score: DataFrame) -> DataFrame:
+    """Every member of a list paired with the member of the highest score."""
+    placed = rows.join(score, "node").withColumn("rank", F.struct("score", (-F.col("node")).alias("r")))
+    leader = placed.groupBy("list").agg(F.max("rank").alias("rank"))
+    leader = leader.select("list", (-F.col("rank.r")).alias("leader"))
+    pairs = rows.join(leader, "list").filter("node <> leader")
+    return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -278,8 +288,12 @@ def near_duplicates(
         filled.select(F.col("doc").alias("node"), "n", "sketch").join(first, "node", "left_semi")
     )
     # Rows of one document with different texts are one node.
-    links = member.filter("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b"))
-    links = links.join(first, links["a"] == first["node"], "left_semi")
+    several = member.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    links = (
+        member.join(several.filter("a < b"), "doc")
+        .filter("a < node")
+        .select("a", F.col("node").alias("b"))
+    )
 
     tested, crowd = candidates(nodes)
     close = stored(likely(tested, nodes, percent))
@@ -291,7 +305,8 @@ def near_duplicates(
     links = stored(links.union(verified(rest, documents, words, percent, key, text)).distinct())
     roots = components(links)
 
-    again = stored(likely(other_leaders(crowd, roots), nodes, percent).join(tested, ["a", "b"], "left_anti"))
+    again = left_over(crowd, nodes, roots).join(tested, ["a", "b"], "left_anti")
+    again = stored(likely(again, nodes, percent))
     if not again.isEmpty():
         more = verified(again, documents, words, percent, key, text)
         roots = components(stored(links.union(more).distinct()))
@@ -321,21 +336,40 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
-def other_leaders(crowd: DataFrame, roots: DataFrame) -> DataFrame:
-    """Of long lists that several components share: a member of each with another leader."""
-    placed = crowd.join(roots, "node", "left").select(
-        "list", "node", F.coalesce("root", "node").alias("root")
+def left_over(crowd: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs from long lists of what leaders have not connected.
+
+    Only classes with fewer than ``SHORT`` short lists count: any other has met its like there.
+    Of a list, the members outside its largest component are paired with all members of other
+    components; few are outside, since leaders are central. A class looks for partners in the
+    ``SEARCH`` shortest of its long lists: it shares each with a chance of 0.64 at a similarity
+    of 0.8.
+    """
+    runs = F.greatest(F.least("n", F.lit(SKETCH)) - 1, F.lit(1))
+    full = crowd.groupBy("node").agg(F.count("*").alias("long")).join(nodes.select("node", "n"), "node")
+    full = full.filter(runs - F.col("long") < SHORT).select("node")
+    placed = stored(
+        crowd.join(full.distinct(), "node")
+        .join(roots, "node", "left")
+        .select("list", "node", "length", F.coalesce("root", "node").alias("root"))
     )
-    one = placed.groupBy("list", "root").agg(
-        F.max_by("node", F.xxhash64("node", "list")).alias("node")
+    main = (
+        placed.groupBy("list", "root")
+        .agg(F.count("*").alias("members"))
+        .groupBy("list")
+        .agg(F.max(F.struct("members", "root")).alias("main"), F.count("*").alias("roots"))
+        .filter("roots > 1")
+        .select("list", F.col("main.root").alias("main"))
     )
-    leader = one.groupBy("list").agg(
-        F.max_by("node", F.xxhash64("node", "list")).alias("leader"), F.count("*").alias("n")
+    outside = placed.join(main, "list").filter("root <> main")
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("length", "list"))
+    outside = outside.withColumn("nth", nth).filter(F.col("nth") <= SEARCH)
+    pairs = (
+        outside.select("list", F.col("node").alias("x"), F.col("root").alias("root_x"))
+        .join(placed.select("list", F.col("node").alias("y"), F.col("root").alias("root_y")), "list")
+        .filter("root_x <> root_y")
     )
-    pairs = one.join(leader.filter("n > 1"), "list").filter("node <> leader")
-    return pairs.select(
-        F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
-    ).distinct()
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def keep_one(documents: DataFrame, *, words: int = 5, percent: int = PERCENT) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import bpe, chat, langid, minhash, packing, sharding, suffix
+from pairwright.llm import bpe, chat, fingerprint, langid, minhash, packing, sharding, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 16
@@ -22,6 +22,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return sharding.shard(documents, [1.0] * SHARDS, [1.0] * (SHARDS + 1))
@@ -58,6 +62,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_fingerprint": op1_fingerprint,
     "op2_shard": op2_shard,
     "op3_language": op3_language,
     "op4_minhash": op4_minhash,

@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,9 +161,10 @@ def spans_of(hit: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     return of, at[of] - beyond + 1, at[of] - nearest + length
 
 
-def bounded(rows: DataFrame, row_bytes: int) -> DataFrame:
-    """``rows``, marked for broadcast if their counted size allows it."""
-    return F.broadcast(rows) if rows.count() * row_bytes <= BROADCAST_BYTES else rows
+def bounded(rows: DataFrame, row_bytes: Column) -> DataFrame:
+    """``rows``, marked for broadcast if their summed size allows it."""
+    size = rows.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
 
 
 def _keyed(documents: DataFrame, text: str) -> DataFrame:
@@ -314,7 +315,7 @@ def duplicate_spans(
     lists = wanted.groupBy("key").agg(
         F.collect_list(F.struct("gram", "at", "near", "far")).alias("anchors")
     )
-    keys = bounded(stored(wanted.select("key").distinct()), 64)
+    keys = bounded(stored(wanted.select("key").distinct()), F.lit(100))
     once = long_texts.join(keys, "key", "left_semi").dropDuplicates(["key"])
     segments = _segments(once.join(lists, "key"), length)
     spans = None
@@ -359,7 +360,8 @@ def _placed(documents: DataFrame, text: str, found: DataFrame) -> DataFrame:
     content = F.coalesce(F.col(text), F.lit(""))
     key = F.substring(F.unhex(F.sha2(content, 256)), 1, 16)
     rows = documents.select(F.struct("*").alias("row"), key.alias("key"))
-    return rows.join(bounded(found, 160), "key", "left")
+    size = F.lit(150) + F.coalesce(F.size("spans"), F.lit(0)) * 40
+    return rows.join(bounded(found, size), "key", "left")
 
 
 def digests(documents: DataFrame, *, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:

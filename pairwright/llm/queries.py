@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairwright.llm import bpe, chat, fingerprint, langid, minhash, packing, sharding, suffix
+from pairwright.llm import bpe, chat, fingerprint, langid, minhash, packing, sharding, suffix, vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 16
@@ -40,6 +41,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op2_shard": op2_shard,
     "op3_language": op3_language,
     "op4_minhash": op4_minhash,
+    "op5_nearest": op5_nearest,
     "op7_pack": op7_pack,
     "op8_suffix": op8_suffix,
     "op9_bpe": op9_bpe,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import bpe, chat, fingerprint, langid, minhash, packing, sharding, suffix, vptree
+from pairwright.llm import bpe, chat, fingerprint, htmltext, langid, minhash, packing, sharding, suffix, vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 16
@@ -45,6 +45,11 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return htmltext.extract(pages, htmltext.learned(pages))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op3_language": op3_language,
     "op4_minhash": op4_minhash,
     "op5_nearest": op5_nearest,
+    "op6_html": op6_html,
     "op7_pack": op7_pack,
     "op8_suffix": op8_suffix,
     "op9_bpe": op9_bpe,

@@ -100,8 +100,9 @@ def sketches(documents: DataFrame, words: int, key: str, text: str) -> DataFrame
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in text_slices(batches, "content"):
             values, at = shingle_sets(rows.column("content"), words)
-            sums = np.cumsum(np.concatenate([[0], mixed(values)]), dtype=np.uint64)
-            others = np.cumsum(np.concatenate([[0], mixed(values ^ _STEP)]), dtype=np.uint64)
+            zero = np.zeros(1, np.uint64)
+            sums = np.cumsum(np.concatenate([zero, mixed(values)]))
+            others = np.cumsum(np.concatenate([zero, mixed(values ^ _STEP)]))
             raw = values.tobytes()
             kept = [raw[8 * a : 8 * min(a + SKETCH, b)] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(

@@ -62,7 +62,7 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     at = place + np.repeat(starts - firsts, sizes)
     place -= np.repeat(firsts, sizes)
     words = _TABLE[((place & 31) << 8) | data[at]]
-    if sizes.max() > 32:
-        words = words * ((place >> 5).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))
-        words ^= words >> np.uint64(32)
+    far = np.flatnonzero(place > 31)
+    if len(far):  # the table begins anew every 32 places
+        words[far] = mixed(words[far] + (place[far] >> 5).astype(np.uint64))
     return mixed(np.add.reduceat(words, firsts) + sizes.astype(np.uint64))

@@ -17,8 +17,8 @@ use, that are not empty in both; it is 1 for equal fingerprints and 0 without a
 
 A document without a term in the lexicon is fingerprinted by all its terms, and one without
 terms by the hash of nothing. Null texts are empty. Rows of one id are each fingerprinted; the
-next document is the first in the order of text of the next larger id. Terms are runs of
-letters and digits in lower case, compared by 64-bit hashes.
+next document is the first in the order of text of the next larger id. Terms are the words
+between blanks and line breaks in lower case, compared by 58-bit hashes.
 """
 
 from __future__ import annotations
@@ -42,9 +42,12 @@ AGGREGATION = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 
 
 def terms(text: Column) -> Column:
-    """The distinct terms of a text as hashes."""
-    found = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    return F.array_distinct(F.transform(found, lambda t: _cleared(F.xxhash64(t))))
+    """The distinct terms of a text as hashes; the empty term between two blanks is none."""
+    blank = F.lower(text)
+    for other in "\n\r\t":
+        blank = F.replace(blank, F.lit(other), F.lit(" "))
+    hashes = F.transform(F.split(blank, " "), lambda t: _cleared(F.xxhash64(t)))
+    return F.array_remove(F.array_distinct(hashes), _cleared(F.xxhash64(F.lit(""))))
 
 
 def _cleared(value: Column) -> Column:
@@ -103,26 +106,42 @@ def small(rows: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(rows) if rows.count() * row_bytes <= BROADCAST_BYTES else rows
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _print(values: Column, every: Column) -> tuple[Column, Column, Column]:
     """Level, hash of all terms and subset hashes; a hash of 0 stands for an empty subset."""
     count = F.size(values)
     level = F.when(count == 0, ALL_TERMS).otherwise(
         F.floor(F.log2(F.greatest(count, F.lit(1)).cast("double"))).cast("int") + 1
     )
-    active = F.filter(values, lambda v: v.bitwiseAND(F.lit(FREE).cast("long")) >= level)
-    one, low = F.lit(1).cast("long"), F.lit(0xFFFFFFFF).cast("long")
+    free = F.lit(FREE).cast("long")
+    active = _bound(
+        F.struct(values.alias("v"), level.alias("l")),
+        lambda p: F.struct(
+            F.filter(p["v"], lambda v: v.bitwiseAND(free) >= p["l"]).alias("a"), p["l"].alias("l")
+        ),
+    )
 
-    def subset(n: Column) -> Column:
-        mask = F.call_function("shiftleft", one, level + F.floor(n / SUBSETS).cast("int")) - 1
-        inside = F.filter(
-            active,
-            lambda v: F.xxhash64(_cleared(v), n % SUBSETS).bitwiseAND(mask) == 0,
+    def at(p: Column, deeper: int) -> Column:
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), p["l"] + deeper) - 1
+        return F.array_repeat(F.struct(p["a"].alias("a"), mask.alias("m")), SUBSETS)
+
+    def subset(p: Column, n: Column) -> Column:
+        return F.xxhash64(
+            F.filter(
+                p["a"], lambda v: F.xxhash64(_cleared(v), n % SUBSETS).bitwiseAND(p["m"]) == 0
+            )
         )
-        return F.when(F.size(inside) == 0, 0).otherwise(F.xxhash64(inside).bitwiseAND(low) + 1)
 
-    hashes = F.when(count == 0, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.lit(2 * SUBSETS - 1)), subset)
+    nothing = F.xxhash64(F.array().cast("array<bigint>"))
+    hashes = _bound(active, lambda p: F.transform(F.concat(at(p, 0), at(p, 1)), subset))
+    hashes = F.transform(
+        hashes, lambda h: F.when(h == nothing, 0).otherwise(F.hash(h).bitwiseOR(1)).cast("int")
     )
+    hashes = F.when(count == 0, F.array().cast("array<int>")).otherwise(hashes)
     return level, F.when(count == 0, every).otherwise(F.xxhash64(values)), hashes
 
 

@@ -41,21 +41,20 @@ IN_TEXT, IN_EDITED = 1, 2
 AGGREGATION = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 
 
-def terms(text: Column) -> Column:
-    """The distinct terms of a text as hashes; the empty term between two blanks is none."""
-    blank = F.lower(text)
+def blanked(text: Column) -> Column:
+    """A text in lower case with plain blanks between its words."""
+    text = F.lower(text)
     for other in "\n\r\t":
-        blank = F.replace(blank, F.lit(other), F.lit(" "))
-    hashes = F.transform(F.split(blank, " "), lambda t: _cleared(F.xxhash64(t)))
-    return F.array_remove(F.array_distinct(hashes), _cleared(F.xxhash64(F.lit(""))))
+        text = F.replace(text, F.lit(other), F.lit(" "))
+    return text
 
 
-def _cleared(value: Column) -> Column:
-    return value.bitwiseAND(F.lit(~FREE).cast("long"))
+def term(word: str) -> Column:
+    return _cleared(F.xxhash64(word))
 
 
-def _marked(values: Column, mark: int) -> Column:
-    return F.transform(values, lambda t: t.bitwiseOR(F.lit(mark).cast("long")))
+def _cleared(value: Column) -> Column:
+    return value.bitwiseAND(F.lit(~FREE).cast("long"))
 
 
 def lexicon(
@@ -64,8 +63,9 @@ def lexicon(
     """``term, value`` of every term in the band; the value carries the deepest level at which
     any of the subsets still has the term."""
     n = documents.count()
-    counts = documents.select(F.explode(terms(F.coalesce(F.col(text), F.lit(""))))).toDF("term")
-    counts = counts.groupBy("term").count()
+    words = F.array_distinct(F.split(blanked(F.col(text)), " "))
+    counts = documents.select(F.explode(words).alias("word")).filter("word <> ''")
+    counts = counts.groupBy(term("word").alias("term")).count()
     band = counts.filter(
         (F.col("count") >= min_share * n) & (F.col("count") <= max(1.0, max_share * n))
     )
@@ -102,6 +102,11 @@ def followers(documents: DataFrame, key: str, text: str) -> DataFrame:
     return stored(found.union(none.select("prev", F.col("smallest").alias("next"), "need")))
 
 
+def _place(column: str) -> Column:
+    """An id that is never null, to join by."""
+    return F.coalesce(F.col(column).cast("string"), F.lit("null"))
+
+
 def small(rows: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(rows) if rows.count() * row_bytes <= BROADCAST_BYTES else rows
 
@@ -182,63 +187,93 @@ def fingerprints(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     the next document.
     """
     spark = documents.sparkSession
-    slim = documents.select(F.col(key).alias("id"), F.col(text).alias("content"))
+    slim = documents.select(
+        F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("content")
+    )
     known = lexicon(slim, "content", **band)
     follow = followers(slim, "id", "content")
     needs = follow.select(F.col("next").alias("id"), "prev", "need")
     heads = (
         slim.join(small(needs, 32), "id")
-        .select("prev", F.substring(F.coalesce("content", F.lit("")), F.lit(1), F.col("need").cast("int")).alias("head"))
-        .groupBy("prev")
+        .select(
+            _place("prev").alias("place"),
+            F.substring("content", F.lit(1), F.col("need").cast("int")).alias("head"),
+        )
+        .groupBy("place")
         .agg(F.min("head").alias("head"))
     )
-    both = slim.join(heads, slim["id"].eqNullSafe(heads["prev"]), "left").drop("prev")
-    own, head = F.coalesce("content", F.lit("")), F.coalesce("head", F.lit(""))
+    both = slim.withColumn("place", _place("id")).join(heads, "place", "left")
+    own, head = F.col("content"), F.coalesce("head", F.lit(""))
     chars = F.length(own)
     quarter = F.floor(chars / 4).cast("int")
-    edited = F.concat(F.substring(own, F.lit(1), chars - quarter), F.substring(head, F.lit(1), quarter))
+    taken = F.substring(head, F.lit(1), quarter)
     both = both.select(
+        "place",
         "id",
         F.monotonically_increasing_id().alias("row"),
         chars.cast("long").alias("n_chars"),
-        F.unhex(F.sha2(edited, 256)).alias("sha"),
-        terms(own).alias("own"),
-        terms(edited).alias("edited"),
+        F.unhex(F.sha2(F.concat(F.substring(own, F.lit(1), chars - quarter), taken), 256)).alias("sha"),
+        F.substring(blanked(own), F.lit(1), chars - quarter).alias("front"),
+        F.substring(blanked(own), chars - quarter + 1, quarter).alias("back"),
+        blanked(taken).alias("taken"),
     )
-    marked = F.concat(
-        *[
-            _marked(part, mark)
-            for part, mark in (
-                (F.array_intersect("own", "edited"), IN_TEXT | IN_EDITED),
-                (F.array_except("own", "edited"), IN_TEXT),
-                (F.array_except("edited", "own"), IN_EDITED),
-                # A row of its own for every document, with or without terms.
-                (F.array(F.lit(0).cast("long")), 0),
-            )
-        ]
+    # The words before the last blank of the front are in both texts; what follows it goes on
+    # into the old and into the new back.
+    cut = F.substring_index("front", " ", -1)
+    front = F.split("front", " ")
+    both = both.select(
+        "place",
+        "id",
+        "row",
+        "n_chars",
+        "sha",
+        front.alias("front"),
+        F.split(F.concat(cut, F.col("back")), " ").alias("back"),
+        F.split(F.concat(cut, F.col("taken")), " ").alias("taken"),
     )
+    common = F.size("front") - 1
     rows = both.select(
+        "place",
         "id",
         "row",
         "n_chars",
         "sha",
-        F.xxhash64(F.sort_array("own")).alias("every"),
-        F.xxhash64(F.sort_array("edited")).alias("every_edited"),
-        F.explode(marked).alias("marked"),
+        common.alias("common"),
+        (common + F.size("back")).alias("own_end"),
+        F.posexplode(
+            F.concat(F.slice("front", F.lit(1), common), F.col("back"), F.col("taken"))
+        ).alias("nth", "word"),
     )
-    rows = rows.withColumn("term", _cleared(F.col("marked")))
+    mark = (
+        F.when(F.col("nth") < F.col("common"), IN_TEXT | IN_EDITED)
+        .when(F.col("nth") < F.col("own_end"), IN_TEXT)
+        .otherwise(IN_EDITED)
+    )
+    rows = rows.withColumn("mark", mark).withColumn("term", term("word"))
     rows = rows.join(F.broadcast(known), "term", "left")
-    rows = rows.filter((F.col("marked") == 0) | F.col("value").isNotNull())
 
-    def values(mark: int) -> Column:
-        inside = F.col("marked").bitwiseAND(F.lit(mark).cast("long")) != 0
-        return F.sort_array(F.collect_list(F.when(inside, F.col("value"))))
+    def inside(part: int) -> Column:
+        return (F.col("mark").bitwiseAND(F.lit(part)) != 0) & (F.col("word") != "")
+
+    def values(part: int) -> Column:
+        return F.sort_array(F.collect_set(F.when(inside(part), F.col("value"))))
 
-    grouped = rows.groupBy("id", "row", "n_chars", "sha", "every", "every_edited").agg(
-        values(IN_TEXT).alias("values"), values(IN_EDITED).alias("edited_values")
+    def every(part: int) -> Column:
+        # Which words there are, whatever their order and number, for texts without a term
+        # of the lexicon: such texts are short, or made of the most and least frequent words.
+        drawn = [F.xxhash64("term", F.lit(n)) for n in range(2)]
+        ends = [f(F.when(inside(part), d)) for d in drawn for f in (F.min, F.max)]
+        return F.xxhash64(*ends)
+
+    grouped = rows.groupBy("place", "id", "row", "n_chars", "sha").agg(
+        values(IN_TEXT).alias("values"),
+        values(IN_EDITED).alias("edited_values"),
+        every(IN_TEXT).alias("every"),
+        every(IN_EDITED).alias("every_edited"),
     )
     names = ("level", "whole", "hashes")
     prints = grouped.select(
+        "place",
         "id",
         "n_chars",
         "sha",
@@ -254,13 +289,11 @@ def fingerprints(documents: DataFrame, *, key: str = "doc_id", text: str = "text
         prints = stored(prints)
     finally:
         spark.conf.set(AGGREGATION, before)
-    others = (
-        prints.groupBy(F.col("id").alias("next")).agg(F.min("own").alias("other"))
-    )
-    links = small(follow.select(F.col("prev"), F.col("next")), 24)
-    joined = prints.join(links, prints["id"].eqNullSafe(links["prev"]), "left").join(
-        others, "next", "left"
+    others = prints.groupBy(F.col("place").alias("next_place")).agg(F.min("own").alias("other"))
+    links = follow.select(
+        _place("prev").alias("place"), _place("next").alias("next_place")
     )
+    joined = prints.join(small(links, 64), "place", "left").join(others, "next_place", "left")
     return joined.select(
         F.col("id").alias(key),
         "n_chars",

@@ -40,7 +40,7 @@ from pairwright.scratch import stored
 
 SKETCH = 32
 LIST = 16
-SHORT = 12
+LONG = 5
 SEARCH = 10
 RUNS = (2, 8, SKETCH)
 PERCENT = 80
@@ -340,7 +340,8 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def left_over(crowd: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs from long lists of what leaders have not connected.
 
-    Only classes with fewer than ``SHORT`` short lists count: any other has met its like there.
+    Two classes that are alike and have not met in a short list share long lists only, and at
+    least ``LONG`` of them, or two fifths of a small sketch's; classes with fewer are left out.
     Of a list, the members outside its largest component are paired with all members of other
     components; few are outside, since leaders are central. A class looks for partners in the
     ``SEARCH`` shortest of its long lists: it shares each with a chance of 0.64 at a similarity
@@ -348,7 +349,8 @@ def left_over(crowd: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame
     """
     runs = F.greatest(F.least("n", F.lit(SKETCH)) - 1, F.lit(1))
     full = crowd.groupBy("node").agg(F.count("*").alias("long")).join(nodes.select("node", "n"), "node")
-    full = full.filter(runs - F.col("long") < SHORT).select("node")
+    least = F.least(F.lit(LONG), F.greatest(F.lit(1), F.floor(runs * 0.4)))
+    full = full.filter(F.col("long") >= least).select("node")
     placed = stored(
         crowd.join(full.distinct(), "node")
         .join(roots, "node", "left")

@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Plain, hyphenated, braced and urn forms of a UUID, in lower case.
-UUID_FORMS = (
-    r"^(?:urn:uuid:)?\{?([0-9a-f]{8})-?([0-9a-f]{4})-?([0-9a-f]{4})"
-    r"-?([0-9a-f]{4})-?([0-9a-f]{12})\}?$"
-)
+# Plain and hyphenated forms of a UUID in lower case, after ``urn:uuid:`` or in a pair of braces.
+_DIGITS = r"[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}"
+UUID_FORMS = rf"\A(?:(?:urn:uuid:)?{_DIGITS}|\{{{_DIGITS}\}})\z"
+_PARTS = r"^(.{8})(.{4})(.{4})(.{4})(.{12})$"
 
 
 def canonical_uuid(text: Column | str) -> Column:
     """Lower-case hyphenated form of a UUID text; null for anything else."""
     text = F.lower(F.col(text) if isinstance(text, str) else text)
-    return F.when(
-        text.rlike(UUID_FORMS), F.regexp_replace(text, UUID_FORMS, "$1-$2-$3-$4-$5")
-    )
+    digits = F.regexp_replace(text, r"urn:uuid:|[{}-]", "")
+    return F.when(text.rlike(UUID_FORMS), F.regexp_replace(digits, _PARTS, "$1-$2-$3-$4-$5"))

@@ -4,6 +4,10 @@ Rows carry ``seq``, the position of the change that wrote them, and ``op``. The
 ``seq`` of an id wins, whatever order changes arrive in, and a delete stays as a
 tombstone so that a late update cannot bring the row back. Folding a change twice is
 the same as folding it once.
+
+Rows of a stored table are ordered by three columns: the epoch, which every merge with changes
+without a ``seq`` begins anew, so these come after all that arrived before them and before all that
+arrives later; the ``seq`` within an epoch; and the arrival, so that of equals the later counts.
 """
 
 from __future__ import annotations
@@ -11,18 +15,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairwright.schemas import DELETE, OP, SEQ, UPSERT
+from pairwright.schemas import DELETE, OP, ORDER, SEQ, UPSERT
 
 # Ids that may be broadcast: 36 characters, a position and overhead, about 100 MB.
 BROADCAST_IDS = 1_000_000
 
 
-def newest(changes: DataFrame, key: str = "id", order: Column | str = SEQ) -> DataFrame:
-    """The row with the highest ``order`` of each key.
+def position(rows: DataFrame) -> Column:
+    """What orders the rows of one id, highest last."""
+    present = [name for name in ORDER if name in rows.columns]
+    return F.struct(*[F.coalesce(F.col(name), F.lit(-1).cast("long")).alias(name) for name in present])
+
+
+def newest(
+    changes: DataFrame, key: str = "id", order: Column | str | None = None
+) -> DataFrame:
+    """The row with the highest ``order`` of each key; by default that of its `position`.
 
     Spark cuts each key to one row before the shuffle too, so that a key with a third
     of all changes sends one row per task.
     """
+    if order is None:
+        order = position(changes)
     order = F.col(order) if isinstance(order, str) else order
     place = F.row_number().over(Window.partitionBy(key).orderBy(order.desc()))
     return changes.withColumn("_place", place).where(F.col("_place") == 1).drop("_place")
@@ -40,17 +54,14 @@ def fold(base: DataFrame, changes: DataFrame, n_changes: int | None = None) -> D
     a broadcast. Otherwise both joins are on ``id`` and share their exchanges.
     """
     latest = newest(changes)
-    marks = latest.select("id", F.col(SEQ).alias("_seq"))
+    marks = latest.select("id", position(latest).alias("_position"))
     if n_changes is not None and n_changes <= BROADCAST_IDS:
         marks = F.broadcast(marks)
-    kept = (
-        base.join(marks, "id", "left")
-        .where(F.col("_seq").isNull() | (F.col(SEQ) >= F.col("_seq")))
-        .drop("_seq")
-    )
-    overtaken = (
-        base.select("id", SEQ).join(marks, "id").where(F.col(SEQ) >= F.col("_seq")).select("id")
-    )
+    # Of equals the change counts: it came later.
+    stays = F.col("_position").isNull() | (position(base) > F.col("_position"))
+    kept = base.join(marks, "id", "left").where(stays).drop("_position")
+    names = [name for name in ORDER if name in base.columns]
+    overtaken = base.select("id", *names).join(marks, "id").where(stays).select("id")
     fresh = latest.join(overtaken, "id", "left_anti")
     return kept.unionByName(fresh)
 
@@ -78,6 +89,6 @@ def tombstones(ids: DataFrame, like: DataFrame) -> DataFrame:
     empty = {
         f.name: F.lit(None).cast(f.dataType)
         for f in like.schema
-        if f.name not in ("id", SEQ, OP)
+        if f.name not in ("id", OP) and f.name not in ids.columns
     }
-    return ids.select("id", SEQ).withColumns({**empty, OP: F.lit(DELETE)}).select(*like.columns)
+    return ids.withColumns({**empty, OP: F.lit(DELETE)}).select(*like.columns)

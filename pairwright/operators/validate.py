@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairwright.functions import canonical_uuid
-from pairwright.schemas import MAX_LIMIT, EntitySpec, RequestSpec
+from pairwright.schemas import DELETE, MAX_LIMIT, UPSERT, EntitySpec, RequestSpec
 
 Field = Callable[[str], Column]
 REASONS = "reasons"
@@ -84,6 +84,11 @@ def id_problems(field: Field) -> Column:
     return F.array_compact(F.array(_missing(field, "id"), _not_uuid(field, "id")))
 
 
+def op_problem(op: Column) -> Column:
+    """The reason why a change's ``op`` is not acceptable; a missing one means an upsert."""
+    return F.when(op.isNotNull() & ~op.isin(UPSERT, DELETE), F.lit("op: unknown"))
+
+
 def split(df: DataFrame, problems: Column) -> tuple[DataFrame, DataFrame]:
     """Valid rows, and the others with their ``reasons``."""
     checked = df.withColumn(REASONS, problems)

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.operators.changes import newest
 from pairwright.operators.embed import Embedder, embed
+from pairwright.operators.validate import id_problems, split
+from pairwright.functions import canonical_uuid
 from pairwright.schemas import DELETE, OP, SEQ, EntitySpec
+from pairwright.sources.payloads import PLACE
 from pairwright.sources.store import VersionedTable
 
 
+def given_order(commands: DataFrame) -> Column:
+    """Which of several commands with one id counts: the highest ``seq``, any command without
+    one before those with one, and of these the last as read."""
+    if PLACE in commands.columns:
+        return F.col(PLACE)
+    own = F.col(SEQ) if SEQ in commands.columns else F.lit(None).cast("long")
+    return F.struct(own.isNull().alias("without"), own.alias("seq"), F.monotonically_increasing_id())
+
+
 def vectorize(
     commands: DataFrame, spec: EntitySpec, embedder: Embedder, clustered: bool = False
 ) -> DataFrame:
@@ -21,7 +33,7 @@ def vectorize(
     columns before they are embedded, while they are small to move; the id among these
     columns splits a hot value over many partitions.
     """
-    commands = newest(commands, order=SEQ if SEQ in commands.columns else F.lit(0))
+    commands = newest(commands, order=given_order(commands))
     if clustered:
         order = spec.cluster_by
         commands = commands.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -40,7 +52,19 @@ def sync(
     batch: tuple[str, int] | None = None,
 ) -> dict:
     """Upsert (and delete) by commands. Raises before anything is committed on failure."""
-    return table.merge(vectorize(commands, table.spec, embedder), batch, unique=True)
+    state = table.merge(vectorize(commands, table.spec, embedder), batch, unique=True)
+    table.maintain()
+    return state
+
+
+def delete_commands(table: VersionedTable, commands: DataFrame) -> tuple[dict, DataFrame]:
+    """Delete by the ids of commands, in any form of a UUID; the rejected come back with reasons.
+
+    ``commands`` has ``id`` and may have ``seq``. Ids that no row has change nothing.
+    """
+    valid, rejected = split(commands, id_problems(F.col))
+    state = table.delete(valid.withColumn("id", canonical_uuid("id")))
+    return state, rejected
 
 
 def bulk_sync(table: VersionedTable, commands: DataFrame, embedder: Embedder) -> dict:

@@ -26,6 +26,10 @@ VECTOR = T.ArrayType(T.FloatType())
 # that wrote the row, and what it did ("U" upsert, "D" delete).
 SEQ, OP = "seq", "op"
 UPSERT, DELETE = "U", "D"
+# Two more order the changes of a stored table: how many merges without a ``seq`` came before,
+# and the version that wrote the row.
+EPOCH, ARRIVAL = "epoch", "arrival"
+ORDER = (EPOCH, SEQ, ARRIVAL)
 
 
 @dataclass(frozen=True)
@@ -54,7 +58,8 @@ class EntitySpec:
         schema = T.StructType()
         for name, kind in self.record:
             schema.add(name, kind)
-        return schema.add("vector", VECTOR).add(SEQ, T.LongType()).add(OP, STRING)
+        schema.add("vector", VECTOR).add(SEQ, T.LongType()).add(OP, STRING)
+        return schema.add(EPOCH, T.LongType()).add(ARRIVAL, T.LongType())
 
     @property
     def columns(self) -> list[str]:
@@ -150,13 +155,6 @@ PROJECTS = EntitySpec(
     cluster_by=("major_id", "id"),
 )
 
-ENTITIES = {spec.table: spec for spec in (SKILLS, STUDENTS, PROFESSORS, PROJECTS)}
-
-# Lookup records whose names label the entities: id, name and what they belong to.
-MAJORS = T.StructType().add("id", STRING).add("name", STRING)
-SPECIALTIES = T.StructType().add("id", STRING).add("name", STRING).add("major_id", STRING)
-RESEARCH_INTERESTS = T.StructType().add("id", STRING).add("area", STRING)
-
 # Bounds of a request's limit.
 DEFAULT_LIMIT = 10
 MAX_LIMIT = 100

@@ -15,6 +15,7 @@ from pairwright.functions import canonical_uuid
 from pairwright.operators.validate import (
     REASONS,
     command_problems,
+    op_problem,
     request_problems,
     split,
 )
@@ -30,8 +31,8 @@ from pairwright.schemas import (
 
 MALFORMED = "_corrupt_record"
 
-# Room for the items of one bulk payload within its sequence number.
-ITEMS_PER_PAYLOAD = 1 << 24
+# The order of a bulk payload's items among all: the payload's ``seq``, the payload, the place.
+PLACE = "_place_in_bulk"
 
 
 def _envelope(schema: T.StructType) -> T.StructType:
@@ -95,7 +96,10 @@ def unpack(
 
 
 def typed(flat: DataFrame, spec: EntitySpec) -> DataFrame:
-    """Canonical ids, parsed timestamps and defaults of unpacked commands."""
+    """Canonical ids, parsed timestamps and defaults of unpacked commands.
+
+    A missing ``seq`` stays missing: the store orders such a command by its arrival.
+    """
     changes: dict[str, Column] = {name: canonical_uuid(name) for name in spec.uuids}
     for name, kind in (*spec.record, *spec.labels):
         if isinstance(kind, T.ArrayType):
@@ -107,8 +111,6 @@ def typed(flat: DataFrame, spec: EntitySpec) -> DataFrame:
         changes[name] = F.try_to_timestamp(F.col(name))
     for name, default in spec.defaults:
         changes[name] = F.coalesce(F.col(name), F.lit(default))
-    if SEQ in flat.columns:
-        changes[SEQ] = F.coalesce(F.col(SEQ), F.lit(0).cast("long"))
     if OP in flat.columns:
         changes[OP] = F.coalesce(F.col(OP), F.lit(UPSERT))
     return flat.withColumns(changes).drop(MALFORMED)
@@ -123,6 +125,7 @@ def accept(flat: DataFrame, spec: EntitySpec) -> tuple[DataFrame, DataFrame]:
     if OP in flat.columns:
         only_id = F.filter(problems, lambda reason: reason.startswith("id:"))
         problems = F.when(F.col(OP) == DELETE, only_id).otherwise(problems)
+        problems = F.concat(problems, F.array_compact(F.array(op_problem(F.col(OP)))))
     if MALFORMED in flat.columns:
         problems = F.when(
             F.col(MALFORMED).isNotNull(), F.array(F.lit("payload: malformed"))
@@ -137,8 +140,9 @@ def explode_items(
     """Items of bulk payloads as typed commands, and the payloads rejected.
 
     A payload with one bad item is rejected whole. That is decided inside the array,
-    so no shuffle is needed. An item's place in its payload orders the duplicates of
-    an id: ``seq`` grows with the payload's own ``seq``, then with the position.
+    so no shuffle is needed. Of an id given twice the later one counts: by the payload's
+    ``seq`` (payloads without one come last), then by the order of payloads as read, then by
+    the position, ``pos``.
     """
 
     def is_bad(item: Column) -> Column:
@@ -151,12 +155,10 @@ def explode_items(
 
     # A null item of an array makes exists() unknown; it is a bad item as well.
     bad = F.exists("items", lambda item: item.isNull() | is_bad(item))
-    too_long = F.size("items") > ITEMS_PER_PAYLOAD
     problems = F.array_compact(
         F.array(
             F.when(F.col("items").isNull(), F.lit("items: missing")),
             F.when(bad, F.lit("items: invalid")),
-            F.when(too_long, F.lit("items: too many")),
         )
     )
     if MALFORMED in payloads.columns:
@@ -164,13 +166,14 @@ def explode_items(
             F.col(MALFORMED).isNotNull(), F.array(F.lit("payload: malformed"))
         ).otherwise(problems)
     valid, rejected = split(payloads, problems)
-    base = F.coalesce(F.col(SEQ), F.lit(0)) if SEQ in payloads.columns else F.lit(0)
+    own = F.col(SEQ) if SEQ in payloads.columns else F.lit(None).cast("long")
     items = valid.select(
         *keep,
-        (base * F.lit(ITEMS_PER_PAYLOAD)).cast("long").alias("_base"),
+        own.alias(SEQ),
+        F.monotonically_increasing_id().alias("_payload"),
         F.posexplode("items").alias("pos", "item"),
-    ).withColumn(SEQ, F.col("_base") + F.col("pos"))
-    return typed(unpack(items, spec, "item", keep=(*keep, "pos", SEQ)), spec), rejected
+    ).withColumn(PLACE, F.struct(F.col(SEQ).isNull().alias("without"), SEQ, "_payload", "pos"))
+    return typed(unpack(items, spec, "item", keep=(*keep, "pos", SEQ, PLACE)), spec), rejected
 
 
 def accept_requests(requests: DataFrame, spec: RequestSpec) -> tuple[DataFrame, DataFrame]:

@@ -1,33 +1,47 @@
 """Versioned Parquet tables keyed by ``id``.
 
 A version is a commit file that names a base folder and the change sets written since.
-Commits are created whole and never overwritten, so readers see the old or the new
-version, and of two writers that start from one version the second fails. Data folders
-are written once; nothing is overwritten in place.
+Commits are created whole and never overwritten, so readers see the old or the new version; a
+writer that finds its version taken looks at the newer state and tries again. Data folders are
+written once; nothing is overwritten in place.
 
-A merge writes only its changes. Readers fold them into the base by ``seq``; compaction
-writes a new base when the changes have grown. Replacement writes a new base and forgets
-the old rows.
+A merge writes only its changes. Readers fold them into the base. `maintain` merges small change
+sets into larger ones and, when changes have grown to a share of the base, writes a new base;
+neither changes what is read. Replacement writes a new base and forgets the old rows.
+
+Rows that cannot be stored are set aside in the same write, with the version that lists them:
+changes with a ``seq`` from before the last replacement, and live rows whose vector is missing, of
+the wrong size or not finite. `rejected` returns them with their reason.
 """
 
 from __future__ import annotations
 
 import json
-import os
+import logging
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.errors import EmbeddingError, MatchmakingError, StoreError
 from pairwright.operators.changes import BROADCAST_IDS, fold, live, newest, tombstones
-from pairwright.schemas import DELETE, OP, SEQ, UPSERT, EntitySpec
+from pairwright.schemas import ARRIVAL, DELETE, EPOCH, OP, SEQ, UPSERT, EntitySpec
 from pairwright.scratch import scratch_root  # noqa: F401
 from pairwright.sources.files import FileSystem
 
-# A new base is written when there are more change sets than this, or more changed rows
-# than a table's `compact_above`.
+log = logging.getLogger(__name__)
+
+# Small change sets are merged when there are more than this.
 MAX_CHANGE_SETS = 16
+# A new base is written when the changed rows are more than this share of it.
+BASE_SHARE = 0.25
+# How often a writer tries again after another one committed first.
+ATTEMPTS = 10
+# Rows of a write by what becomes of them; the folder's partitions.
+FATE = "_fate"
+STORED, LATE, VECTOR_FAULT = "stored", "late", "vector"
+FAULTS = {LATE: "seq: before the last replacement", VECTOR_FAULT: "vector: unusable"}
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 NOTHING = {
     "version": 0,
@@ -37,7 +51,9 @@ NOTHING = {
     "change_rows": 0,
     "high_seq": -1,
     "floor": -1,
+    "epoch": 0,
     "batches": {},
+    "rejected": [],
 }
 
 
@@ -53,15 +69,21 @@ def staged(error: Exception, what: str) -> MatchmakingError:
 class VersionedTable:
     """The table of one entity below ``root``.
 
-    Up to ``compact_above`` changed rows are kept beside the base. By default these fit a
-    broadcast, so that reading never shuffles the base. A larger figure makes compaction of
-    a huge table rarer and reading it in between dearer.
+    A new base is written when more than ``compact_above`` rows have changed and these are more
+    than a share of the base. ``dimension`` is the size of a vector; without it all live rows
+    need a vector of finite numbers, whatever its size.
     """
 
     def __init__(
-        self, spark: SparkSession, root: str, spec: EntitySpec, compact_above: int = BROADCAST_IDS
+        self,
+        spark: SparkSession,
+        root: str,
+        spec: EntitySpec,
+        compact_above: int = BROADCAST_IDS,
+        dimension: int | None = None,
     ) -> None:
         self.compact_above = compact_above
+        self.dimension = dimension
         self.spark = spark
         self.spec = spec
         self.path = f"{root.rstrip('/')}/{spec.table}"
@@ -73,30 +95,51 @@ class VersionedTable:
         """The newest commit."""
         names = [n for n in self._files.names(f"{self.path}/commits") if n.endswith(".json")]
         if not names:
-            return dict(NOTHING)
+            return json.loads(json.dumps(NOTHING))
         return json.loads(self._files.read_text(f"{self.path}/commits/{names[-1]}"))
 
-    def _commit(self, before: dict, **changes) -> dict:
+    def _commit(self, before: dict, **changes) -> dict | None:
+        """The new state; None where another writer was first."""
         after = {**before, **changes, "version": before["version"] + 1}
         path = f"{self.path}/commits/{after['version']:012d}.json"
-        if not self._files.create_text(path, json.dumps(after)):
-            raise StoreError(f"{self.spec.table}: another writer committed {path}")
-        return after
+        return after if self._files.create_text(path, json.dumps(after)) else None
 
-    def _write(self, rows: DataFrame, kind: str) -> tuple[str, int, int]:
-        """Write rows to a new folder; folder, row count and highest ``seq`` as read back."""
+    def _fate(self, floor: int | None) -> Column:
+        finite = F.forall(
+            "vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+        )
+        size = F.size("vector") > 0 if self.dimension is None else F.size("vector") == self.dimension
+        usable = F.coalesce((F.col(OP) == DELETE) | (size & finite), F.lit(False))
+        fate = F.when(~usable, VECTOR_FAULT)
+        if floor is not None:
+            fate = F.when(F.col(SEQ) <= floor, LATE).when(~usable, VECTOR_FAULT)
+        return fate.otherwise(STORED)
+
+    def _write(self, rows: DataFrame, kind: str, floor: int | None = None) -> tuple[str, dict]:
+        """Write rows to a new folder; the folder and, by fate, what was written as read back."""
         folder = f"{kind}-{uuid.uuid4().hex}"
-        path = f"{self.path}/data/{folder}"
         columns = [F.col(f.name).cast(f.dataType) for f in self.spec.table_schema]
+        rows = rows.select(*columns).withColumn(FATE, self._fate(floor))
+        before = self.spark.conf.get(WRITERS)
         try:
-            rows.select(*columns).write.parquet(path)
-            written = self._scan(folder).agg(F.count(F.lit(1)), F.max(SEQ)).first()
+            # One open file per fate, so that rows need no sorting by it and keep their order.
+            self.spark.conf.set(WRITERS, len(FAULTS) + 1)
+            rows.write.partitionBy(FATE).parquet(f"{self.path}/data/{folder}")
+            counts = (
+                self.spark.read.schema(rows.schema)
+                .parquet(f"{self.path}/data/{folder}")
+                .groupBy(FATE)
+                .agg(F.count("*").alias("rows"), F.max(SEQ).alias("seq"), F.max(EPOCH).alias("epoch"))
+                .collect()
+            )
         except Exception as error:
             raise staged(error, f"{self.spec.table}: write of {kind}") from error
-        return folder, written[0], -1 if written[1] is None else written[1]
+        finally:
+            self.spark.conf.set(WRITERS, before)
+        return folder, {row[FATE]: row for row in counts}
 
-    def _scan(self, *folders: str) -> DataFrame:
-        paths = [f"{self.path}/data/{folder}" for folder in folders]
+    def _scan(self, *folders: str, fate: str = STORED) -> DataFrame:
+        paths = [f"{self.path}/data/{folder}/{FATE}={fate}" for folder in folders]
         return self.spark.read.schema(self.spec.table_schema).parquet(*paths)
 
     # -- reading ----------------------------------------------------------
@@ -107,7 +150,7 @@ class VersionedTable:
             return self.spark.createDataFrame([], self.spec.table_schema)
         if not state["changes"]:
             return self._scan(state["base"])
-        changes = self._scan(*state["changes"])
+        changes = self._scan(*[folder for folder, _ in state["changes"]])
         if state["base"] is None:
             return newest(changes)
         return fold(self._scan(state["base"]), changes, state["change_rows"])
@@ -116,6 +159,17 @@ class VersionedTable:
         """Live rows of the newest version; an empty table where nothing was written yet."""
         return live(self._rows(self.state())).select(*self.spec.columns)
 
+    def rejected(self) -> DataFrame:
+        """Rows that were not stored, with the ``reason`` and the ``version`` they came with."""
+        found = self.spark.createDataFrame([], self.spec.table_schema)
+        found = found.select("*", F.lit("").alias("reason"), F.lit(0).alias("version"))
+        for folder, fate, _, version in self.state()["rejected"]:
+            rows = self._scan(folder, fate=fate)
+            found = found.union(
+                rows.select("*", F.lit(FAULTS[fate]).alias("reason"), F.lit(version).alias("version"))
+            )
+        return found
+
     def row_bound(self) -> int:
         """No more rows than this, without reading any."""
         state = self.state()
@@ -124,48 +178,73 @@ class VersionedTable:
     # -- writing ----------------------------------------------------------
 
     def _sequenced(self, rows: DataFrame, state: dict) -> DataFrame:
-        """Rows with ``seq`` and ``op``; without a ``seq`` of their own they come last."""
+        """Rows with ``seq``, ``op`` and their place among all changes."""
         if SEQ not in rows.columns:
-            rows = rows.withColumn(SEQ, F.lit(state["high_seq"] + 1).cast("long"))
+            rows = rows.withColumn(SEQ, F.lit(None).cast("long"))
         if OP not in rows.columns:
             rows = rows.withColumn(OP, F.lit(UPSERT))
-        return rows
+        epoch = F.when(F.col(SEQ).isNull(), state["epoch"] + 1).otherwise(state["epoch"])
+        return rows.withColumns(
+            {EPOCH: epoch.cast("long"), ARRIVAL: F.lit(state["version"] + 1).cast("long")}
+        )
+
+    @staticmethod
+    def _set_aside(folder: str, written: dict, version: int) -> list:
+        return [[folder, fate, row["rows"], version] for fate, row in written.items() if fate in FAULTS]
 
     def merge(
         self, changes: DataFrame, batch: tuple[str, int] | None = None, unique: bool = False
     ) -> dict:
         """Upsert rows by id and delete those marked so.
 
-        ``batch`` names a stream and its batch: one that is already in is skipped, so a
-        replay changes nothing. An empty input makes no version. ``unique`` says that no
-        id comes twice. Changes from before the last replacement are too late.
+        Changes without a ``seq`` count in the order they arrive: after everything so far, and of
+        one merge the last as read. ``batch`` names a stream and its batch: one that is already
+        in is skipped, so a replay changes nothing. An empty input makes no version. ``unique``
+        says that no id comes twice. Changes with a ``seq`` from before the last replacement are
+        rejected.
         """
         state = self.state()
-        if batch and state["batches"].get(batch[0], -1) >= batch[1]:
-            return state
-        changes = self._sequenced(changes, state)
-        changes = changes if unique else newest(changes)
-        folder, rows, high = self._write(changes.where(F.col(SEQ) > state["floor"]), "changes")
-        if not rows and not batch:
-            return state
-        batches = {**state["batches"], batch[0]: batch[1]} if batch else state["batches"]
-        state = self._commit(
-            state,
-            changes=[*state["changes"], folder] if rows else state["changes"],
-            change_rows=state["change_rows"] + rows,
-            high_seq=max(state["high_seq"], high),
-            batches=batches,
-        )
-        too_many = len(state["changes"]) > MAX_CHANGE_SETS
-        too_large = state["change_rows"] > self.compact_above
-        return self.compact() if too_many or too_large else state
+        folder = written = None
+        for _ in range(ATTEMPTS):
+            if batch and state["batches"].get(batch[0], -1) >= batch[1]:
+                return state
+            if folder is None:
+                placed = self._sequenced(changes, state)
+                if not unique:
+                    read = F.monotonically_increasing_id()
+                    placed = placed.withColumn("_read", read)
+                    order = F.struct(EPOCH, F.coalesce(SEQ, F.lit(-1)), "_read")
+                    placed = newest(placed, order=order).drop("_read")
+                folder, written = self._write(placed, "changes", state["floor"])
+            if not written and not batch:
+                return state
+            stored = written.get(STORED)
+            rows = stored["rows"] if stored else 0
+            after = self._commit(
+                state,
+                changes=[*state["changes"], [folder, rows]] if rows else state["changes"],
+                change_rows=state["change_rows"] + rows,
+                high_seq=max(state["high_seq"], stored["seq"] if rows and stored["seq"] is not None else -1),
+                epoch=max(state["epoch"], stored["epoch"] if rows else 0),
+                batches={**state["batches"], batch[0]: batch[1]} if batch else state["batches"],
+                rejected=[
+                    *state["rejected"], *self._set_aside(folder, written, state["version"] + 1)
+                ],
+            )
+            if after:
+                return after
+            # Another writer was first: what was written counts from there on. It is placed
+            # anew, since other changes without a seq or a replacement may have come between.
+            newer = self.state()
+            if (newer["floor"], newer["epoch"]) != (state["floor"], state["epoch"]):
+                folder = None
+            state = newer
+        raise StoreError(f"{self.spec.table}: other writers were first {ATTEMPTS} times")
 
     def delete(self, ids: DataFrame) -> dict:
-        """Delete rows by id; unknown ids change nothing."""
-        state = self.state()
-        rows = self._sequenced(ids.select("id", *[c for c in (SEQ,) if c in ids.columns]), state)
-        like = self.spark.createDataFrame([], self.spec.table_schema)
-        return self.merge(tombstones(rows.drop(OP), like))
+        """Delete rows by canonical id; unknown and null ids change nothing."""
+        ids = ids.select("id", *[c for c in (SEQ,) if c in ids.columns]).where("id is not null")
+        return self.merge(tombstones(ids, self.spark.createDataFrame([], self.spec.table_schema)))
 
     def replace(self, rows: DataFrame, unique: bool = False) -> dict:
         """Make ``rows`` the whole table. An empty input makes no version.
@@ -174,32 +253,97 @@ class VersionedTable:
         of all changes so far: those count as older, whatever their ``seq``.
         """
         state = self.state()
-        rows = rows if unique else newest(self._sequenced(rows, state))
-        rows = rows.withColumns({SEQ: F.lit(state["high_seq"]).cast("long"), OP: F.lit(UPSERT)})
-        folder, count, _ = self._write(rows, "base")
-        if not count:
+        if not unique:
+            rows = newest(self._sequenced(rows, state))
+        rows = rows.withColumns(
+            {
+                SEQ: F.lit(state["high_seq"]).cast("long"),
+                OP: F.lit(UPSERT),
+                EPOCH: F.lit(state["epoch"]).cast("long"),
+                ARRIVAL: F.lit(state["version"] + 1).cast("long"),
+            }
+        )
+        folder, written = self._write(rows, "base")
+        if not written:
             return state
-        return self._commit(
+        if STORED not in written:
+            raise StoreError(f"{self.spec.table}: no row of the replacement can be stored")
+        for _ in range(ATTEMPTS):
+            after = self._commit(
+                state,
+                base=folder,
+                base_rows=written[STORED]["rows"],
+                changes=[],
+                change_rows=0,
+                floor=state["high_seq"],
+                rejected=[
+                    *state["rejected"], *self._set_aside(folder, written, state["version"] + 1)
+                ],
+            )
+            if after:
+                return after
+            state = self.state()
+        raise StoreError(f"{self.spec.table}: other writers were first {ATTEMPTS} times")
+
+    def maintain(self) -> dict:
+        """Merge change sets or write a new base where that is due.
+
+        Nothing of what is read changes, so a failure is logged and left to the next call.
+        """
+        try:
+            state = self.state()
+            most = max(self.compact_above, int(BASE_SHARE * state["base_rows"]))
+            if state["change_rows"] > most:
+                return self.compact()
+            if len(state["changes"]) > MAX_CHANGE_SETS:
+                return self._merge_change_sets(state)
+            return state
+        except Exception:
+            log.exception("%s: maintenance failed; the table is as it was", self.spec.table)
+            return self.state()
+
+    def _merge_change_sets(self, state: dict) -> dict:
+        """The newest change sets as one, as far back as the next is no more than twice as large
+        as all after it: a row is written again only when its set has about doubled."""
+        first = len(state["changes"]) - 1
+        rows = state["changes"][first][1]
+        while first > 0 and state["changes"][first - 1][1] <= 2 * rows:
+            first -= 1
+            rows += state["changes"][first][1]
+        merged = state["changes"][first:]
+        if len(merged) < 2:
+            merged, first = state["changes"], 0
+        folder, written = self._write(newest(self._scan(*[name for name, _ in merged])), "changes")
+        kept, count = state["changes"][:first], written[STORED]["rows"]
+        after = self._commit(
             state,
-            base=folder,
-            base_rows=count,
-            changes=[],
-            change_rows=0,
-            floor=state["high_seq"],
+            changes=[*kept, [folder, count]],
+            change_rows=sum(n for _, n in kept) + count,
         )
+        return after or self.state()
 
     def compact(self, forget_before: int | None = None) -> dict:
-        """Write the current rows as a new base.
+        """Write the current rows as a new base, in the order of the entity's clustering columns.
 
         Tombstones are kept, since a late change may still arrive for them, except those
-        with a ``seq`` below ``forget_before``.
+        with a ``seq`` below ``forget_before``. When another writer commits meanwhile, nothing
+        happens.
         """
         state = self.state()
         rows = self._rows(state)
         if forget_before is not None:
-            rows = rows.where((F.col(OP) != DELETE) | (F.col(SEQ) >= forget_before))
-        folder, count, _ = self._write(rows, "base")
-        return self._commit(state, base=folder, base_rows=count, changes=[], change_rows=0)
+            rows = rows.where((F.col(OP) != DELETE) | (F.coalesce(SEQ, F.lit(-1)) >= forget_before))
+        order = self.spec.cluster_by
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        folder, written = self._write(rows, "base")
+        after = self._commit(
+            state,
+            base=folder if written else None,
+            base_rows=written[STORED]["rows"] if written else 0,
+            changes=[],
+            change_rows=0,
+        )
+        return after or self.state()
 
     def vacuum(self, keep: int = 2) -> list[str]:
         """Forget all but the last ``keep`` versions and remove data only they named.
@@ -209,7 +353,8 @@ class VersionedTable:
 
         def named(commit: str) -> set[str]:
             state = json.loads(self._files.read_text(f"{self.path}/commits/{commit}"))
-            return {folder for folder in (state["base"], *state["changes"]) if folder}
+            folders = [folder for folder, *_ in (*state["changes"], *state["rejected"])]
+            return {folder for folder in (state["base"], *folders) if folder}
 
         commits = [n for n in self._files.names(f"{self.path}/commits") if n.endswith(".json")]
         old, kept = commits[:-keep], commits[-keep:]

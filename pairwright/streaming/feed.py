@@ -26,7 +26,7 @@ def stream_sync(
 ) -> StreamingQuery:
     """Start folding an unpacked change feed into ``table``.
 
-    Rejected changes go to ``<table>/rejected/<name>-<batch>`` as Parquet. The batch number
+    A batch's rejected changes, if any, go to ``<table>/rejected/<name>-<batch>`` as Parquet. The batch number
     is committed with the table, so a replayed batch is skipped there and only rewrites its
     own rejects. ``available_now`` takes what has landed and stops: background ingestion.
     """
@@ -35,7 +35,10 @@ def stream_sync(
         batch.persist()  # read once for the two writes
         try:
             valid, rejected = accept(batch, table.spec)
-            rejected.write.mode("overwrite").parquet(f"{table.path}/rejected/{name}-{number:012d}")
+            if not rejected.isEmpty():
+                rejected.write.mode("overwrite").parquet(
+                    f"{table.path}/rejected/{name}-{number:012d}"
+                )
             sync(table, valid, embedder, (name, number))
         finally:
             batch.unpersist()

@@ -113,7 +113,9 @@ def test_bulk_payload_keeps_order_and_is_rejected_whole(spark, tmp_path):
     commands, rejected = explode_items(read_bulk(spark, PROFESSORS, path), PROFESSORS)
     rows = sorted((r.seq, r.pos, r.id) for r in commands.collect())
     assert [row[1:] for row in rows] == [(0, ONE), (1, TWO), (2, ONE)]
-    assert len({row[0] for row in rows}) == 3
+    assert {row[0] for row in rows} == {3}
+    place = commands.orderBy("_place_in_bulk")
+    assert [r.pos for r in place.collect()] == [0, 1, 2]
     assert sorted(r.seq for r in rejected.collect()) == [4, 5, 7, 8]
 
 

@@ -17,7 +17,7 @@ def rows(spark, *given):
     """Rows of the skills table: (id, name[, seq[, op]])."""
     width = len(given[0]) if given else 2
     schema = ", ".join(ROW.split(", ")[:width])
-    return spark.createDataFrame(list(given), schema).withColumn("vector", F.lit(None).cast(VECTOR))
+    return spark.createDataFrame(list(given), schema).withColumn("vector", F.expr("array(1.0f)"))
 
 
 def names(table):
@@ -121,13 +121,90 @@ def test_batches_of_a_stream_count_once(spark, root):
     assert names(t) == {"a": "2"}
 
 
-def test_two_writers_from_one_version(spark, root):
+def test_two_writers_from_one_version(spark, root, monkeypatch):
     one, two = table(spark, root), table(spark, root)
+    one.replace(rows(spark, ("a", "1"), ("b", "1")))
     stale = two.state()
-    one.merge(rows(spark, ("a", "1")))
-    with pytest.raises(StoreError, match="another writer"):
-        two._commit(stale, base=None)
-    assert names(two) == {"a": "1"}
+    states = iter([stale])
+    fresh = two.state
+    monkeypatch.setattr(two, "state", lambda: next(states, None) or fresh())
+    one.merge(rows(spark, ("a", "2")))
+    two.merge(rows(spark, ("b", "2")))
+    assert names(table(spark, root)) == {"a": "2", "b": "2"}
+    assert stale["version"] + 2 == fresh()["version"]
+
+
+def test_changes_without_seq_count_as_they_arrive(spark, root):
+    t = table(spark, root)
+    t.replace(rows(spark, ("a", "0"), ("b", "0")))
+    for n in range(1, 4):
+        t.merge(rows(spark, ("a", f"first {n}"), ("a", str(n))))
+        assert names(t) == {"a": str(n), "b": "0"}
+    t.merge(rows(spark, ("new", "1")))
+    assert names(t) == {"a": "3", "b": "0", "new": "1"}
+
+
+def test_compaction_never_changes_what_is_read(spark, root):
+    steps = [("stream5", 5), ("manual", None), ("stream6", 6), ("late5", 5), ("manual2", None)]
+    seen = []
+    for compact_at in range(-1, len(steps)):
+        t = table(spark, f"{root}/{compact_at}")
+        t.replace(rows(spark, ("a", "0")))
+        read = []
+        for n, (name, seq) in enumerate(steps):
+            given = spark.createDataFrame([("a", name, seq)], "id string, name string, seq long")
+            t.merge(given.withColumn("vector", F.expr("array(1.0f)")))
+            if n == compact_at:
+                t.compact()
+            read.append(names(t)["a"])
+        seen.append(read)
+    assert all(read == seen[0] for read in seen)
+    assert seen[0] == ["stream5", "manual", "stream6", "stream6", "manual2"]
+
+
+def test_rows_that_cannot_be_stored_are_set_aside(spark, root):
+    t = VersionedTable(spark, root, SKILLS, dimension=2)
+    good = rows(spark, ("a", "1", 105)).withColumn("vector", F.expr("array(1.0f, 2.0f)"))
+    t.merge(good)
+    t.replace(good.withColumn("name", F.lit("whole")))
+    vectors = ["array(1.0f)", "cast(null as array<float>)", "array(1.0f, null)", "array(1.0f, float('nan'))", "array(1.0f, float('inf'))"]
+    for n, vector in enumerate(vectors):
+        t.merge(rows(spark, (f"bad{n}", "x")).withColumn("vector", F.expr(vector)))
+    t.merge(rows(spark, ("c", "late", 103)).withColumn("vector", F.expr("array(1.0f, 2.0f)")))
+    assert names(t) == {"a": "whole"}
+    rejected = sorted((r.id, r.reason) for r in t.rejected().collect())
+    assert rejected == [(f"bad{n}", "vector: unusable") for n in range(5)] + [
+        ("c", "seq: before the last replacement")
+    ]
+    with pytest.raises(StoreError, match="no row"):
+        t.replace(rows(spark, ("z", "1")))
+
+
+def test_small_merges_leave_the_base_untouched(spark, root, monkeypatch):
+    from pairwright.sources import store
+
+    monkeypatch.setattr(store, "MAX_CHANGE_SETS", 4)
+    t = table(spark, root)
+    t.replace(rows(spark, ("a", "0")))
+    base = t.state()["base"]
+    for n in range(12):
+        t.merge(rows(spark, (f"k{n}", str(n))))
+        t.maintain()
+        assert len(t.state()["changes"]) <= 5
+    assert t.state()["base"] == base and len(names(t)) == 13
+
+
+def test_failing_maintenance_is_not_a_failed_merge(spark, root, monkeypatch):
+    t = VersionedTable(spark, root, SKILLS, compact_above=0)
+    t.replace(rows(spark, ("a", "0")))
+
+    def fail(*_):
+        raise StoreError("full disk")
+
+    monkeypatch.setattr(t, "compact", fail)
+    t.merge(rows(spark, ("a", "1")))
+    t.maintain()
+    assert names(t) == {"a": "1"}
 
 
 def test_failed_write_leaves_the_version(spark, root):
@@ -148,7 +225,9 @@ def test_many_change_sets_are_compacted_and_old_data_vacuumed(spark, root, monke
     t = table(spark, root)
     for n in range(5):
         t.merge(rows(spark, (f"k{n}", str(n))))
-    assert t.state()["changes"] and t.state()["base"]
+    t.maintain()
+    t.compact()
+    assert not t.state()["changes"] and t.state()["base"]
     before = names(t)
     assert len(before) == 5
     assert t.vacuum(keep=1)

@@ -50,12 +50,10 @@ def majors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def students(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    first_lines = (
-        table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey")
-    )
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     bought = (
-        first_lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     )
     has_major = F.col("c_custkey") % 10 != 0
@@ -82,7 +80,7 @@ def students(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def professors(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
     supplied = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_name")
     balance = F.col("s_acctbal")
     texts = table(spark, sf_dir, "documents").select(

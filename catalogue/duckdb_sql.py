@@ -31,7 +31,7 @@ select {make_id('student', 'c_custkey')} as id, c_name as full_name, c_custkey a
 from customer join nation on n_nationkey = c_nationkey
 left join (select o_custkey, list_sort(array_agg(distinct p_name)) as skill_names
   from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey
-  where l_linenumber = 1 group by o_custkey) sk on sk.o_custkey = c_custkey
+  group by o_custkey) sk on sk.o_custkey = c_custkey
 left join documents d on d.doc_id = c_custkey"""
 
 PROFESSORS = f"""
@@ -41,7 +41,7 @@ select {make_id('professor', 's_suppkey')} as id, s_name as full_name, n_name as
   s_acctbal > 0 as is_accepting_projects, ia.interest_areas, d.text as about_me
 from supplier join nation on n_nationkey = s_nationkey
 left join (select l_suppkey, list_sort(array_agg(distinct p_name)) as interest_areas
-  from lineitem join part on p_partkey = l_partkey where l_quantity >= 49 group by l_suppkey) ia
+  from lineitem join part on p_partkey = l_partkey group by l_suppkey) ia
   on ia.l_suppkey = s_suppkey
 left join documents d on d.doc_id = s_suppkey + 500"""
 
@@ -288,9 +288,8 @@ def oracle_sql() -> dict[str, str]:
             f"{join_or('skill_names', 'No technical skills indexed yet')} as skills from students"
         ),
         "text_or_fallback": f"""with given as (
-  select doc_id, case when quality is null then null when toxic = 1 then {PADDING}
-    when quality = 0 then '' else {PADDING} || text || {PADDING} end as t
-  from documents left join labels using (doc_id))
+  select doc_id, case doc_id % 40 when 0 then null when 1 then {PADDING}
+    when 2 then '' else {PADDING} || text || {PADDING} end as t from documents)
 select doc_id, {text_or('t', 'No professional biography or summary provided.')} as about from given""",
         "normalize_description": f"""with given as (
   select doc_id, {PADDING} || text || {PADDING} as t from documents)
@@ -300,8 +299,8 @@ select doc_id, {with_period('t')} as description from given""",
   case when event_id % 6 < 5 then {make_id('event', 'event_id')} end as canonical from events""",
         "field_alias_defaults": over(
             "select id, title, strftime(created_at, '%Y-%m-%d %H:%M:%S') as created_at, "
-            "0 as n_skill_ids, cast(coalesce(len(skill_names), 0) as integer) as n_skill_names, "
-            "major_name from projects"
+            "cast(coalesce(len(skill_names), 0) as integer) as n_skill_ids, cast(coalesce(len(skill_names), 0) as integer) as n_skill_names, "
+            f"major_name, {make_id('specialty', 'specialty_name')} as specialty_id, specialty_name from projects"
         ),
         "validate_quarantine": over(
             """select place, concat_ws('|',
@@ -317,11 +316,44 @@ select doc_id, {with_period('t')} as description from given""",
             """select place // 50 as payload,
   cast(row_number() over (partition by place // 50 order by place) - 1 as integer) as pos,
   id, full_name, coalesce(major_name, 'Undeclared') as major_name,
-  coalesce(array_to_string(skill_names, '|'), '') as skills from students"""
+  coalesce(array_to_string(skill_names, '|'), '') as skills,
+  cast(coalesce(len(skill_names), 0) + coalesce(len(specialty_names), 0) as integer) as n_ids from students"""
         ),
         "json_commands": over(
-            """select id, full_name, major_id, coalesce(major_name, 'Undeclared') as major_name,
-  coalesce(array_to_string(skill_names, '|'), '') as skills from students"""
+            f"""select id, full_name, major_id, coalesce(major_name, 'Undeclared') as major_name,
+  coalesce(array_to_string(skill_names, '|'), '') as skills,
+  coalesce(array_to_string(list_transform(skill_names, lambda x: {SKILL_ID}), '|'), '') as skill_ids,
+  coalesce(array_to_string(specialty_names, '|'), '') as specialties from students"""
+        ),
+        "json_other_commands": over(
+            """select 'professors' as entity, id, full_name as name,
+  coalesce(array_to_string(interest_areas, '|'), '') as labels from professors
+union all select 'skills', id, name, '' from skills
+union all select 'project_templates', id, title, coalesce(array_to_string(skill_names, '|'), '') from projects"""
+        ),
+        "validate_ops": over(
+            """select seq, case seq % 6 when 0 then 'upsert' when 1 then 'd' when 2 then '' when 3 then op
+    when 4 then null else 'D' end as op,
+  seq % 6 in (3, 4, 5) as accepted from changes"""
+        ),
+        "delete_commands": over(
+            "select id, full_name from students where place % 6 = 5 or place % 7 = 3"
+        ),
+        "sync_unsequenced": over(
+            """select id, case when place % 2 = 0 then 'second ' || place else 'first ' || place end as full_name
+from students union all
+select id, 'new ' || place from (select id, place from projects)"""
+        ),
+        "late_after_replace": over(
+            """select id, full_name, 'stored' as fate from students where id not in (select id from newer)
+union all select id, 'newer', 'stored' from newer
+union all select id, 'late', 'seq: before the last replacement' from students""",
+            f"newer as (select {make_id('student', 'c_custkey')} as id from customer where c_custkey % 3 = 0)",
+        ),
+        "reject_vectors": """select vec_id, case vec_id % 7 when 1 then 'vector: unusable' when 2 then 'vector: unusable'
+    when 3 then 'vector: unusable' when 4 then 'vector: unusable' else 'stored' end as fate from embeddings""",
+        "enrich_repeated_keys": over(
+            """select major_id as key, coalesce(array_to_string(skill_names, '|'), '') as names from students"""
         ),
         "chunk_plan": over(
             """select cast(place // 128 + 1 as integer) as chunk, count(*) as n_records,

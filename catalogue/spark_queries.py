@@ -39,7 +39,7 @@ from pairwright.plans.recommend import (
     recommend_skills,
     suggest_professors,
 )
-from pairwright.plans.sync import bulk_sync, sync, vectorize
+from pairwright.plans.sync import bulk_sync, delete_commands, sync, vectorize
 from pairwright.schemas import (
     ADVISOR_REQUESTS,
     PROFESSORS,
@@ -145,18 +145,16 @@ def join_or_fallback(spark, sf_dir):
 
 @query
 def text_or_fallback(spark, sf_dir):
-    """Null, empty, blank and padded texts, chosen by a document's labels."""
+    """Null, empty, blank and padded texts; most documents keep theirs."""
     documents = d.table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = d.table(spark, sf_dir, "labels")
+    case = F.col("doc_id") % 40
     text = (
-        F.when(F.col("quality").isNull(), F.lit(None).cast("string"))
-        .when(F.col("toxic") == 1, F.lit(PADDING))
-        .when(F.col("quality") == 0, F.lit(""))
+        F.when(case == 0, F.lit(None).cast("string"))
+        .when(case == 1, F.lit(PADDING))
+        .when(case == 2, F.lit(""))
         .otherwise(padded("text"))
     )
-    return documents.join(labels, "doc_id", "left").select(
-        "doc_id", text_or(text, w.STUDENT_NO_ABOUT).alias("about")
-    )
+    return documents.select("doc_id", text_or(text, w.STUDENT_NO_ABOUT).alias("about"))
 
 
 @query
@@ -210,16 +208,19 @@ def nested_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
         "description",
         "provider_id",
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
+        "skill_ids",
         "major_id",
+        "specialty_id",
     )
     new_name = F.col("place") % 2 == 0
     command = F.struct(
         F.when(new_name, record).alias("project_template"),
         F.when(~new_name, record).alias("template"),
         "major_name",
+        "specialty_name",
         "skill_names",
     )
-    commands = d.projects(spark, sf_dir).select("place", F.to_json(command).alias("json"))
+    commands = d.project_commands(spark, sf_dir).select("place", F.to_json(command).alias("json"))
     return commands.select("place", F.from_json("json", PROJECTS.command_schema).alias("command"))
 
 
@@ -233,6 +234,8 @@ def field_alias_defaults(spark, sf_dir):
         F.size("skill_ids").cast("int").alias("n_skill_ids"),
         F.size("skill_names").cast("int").alias("n_skill_names"),
         "major_name",
+        "specialty_id",
+        "specialty_name",
     )
 
 
@@ -268,11 +271,11 @@ ITEMS_PER_PAYLOAD = 50
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bulk payloads of 50 students, as JSON text."""
-    record = F.struct("id", "full_name", "major_id", "about_me")
+    record = F.struct("id", "full_name", "major_id", "specialty_ids", "skill_ids", "about_me")
     item = F.struct(record.alias("student"), "major_name", "specialty_names", "skill_names")
     place = F.col("place")
     grouped = (
-        d.students(spark, sf_dir)
+        d.student_commands(spark, sf_dir)
         .groupBy(F.floor(place / ITEMS_PER_PAYLOAD).cast("long").alias("payload"))
         .agg(F.array_sort(F.collect_list(F.struct("place", item.alias("item")))).alias("placed"))
     )
@@ -292,19 +295,73 @@ def explode_bulk_items(spark, sf_dir):
         "full_name",
         "major_name",
         listed("skill_names").alias("skills"),
+        (F.size("skill_ids") + F.size("specialty_ids")).cast("int").alias("n_ids"),
     )
 
 
 @query
 def json_commands(spark, sf_dir):
     """Single commands written as JSON lines, read back, validated and typed."""
+    commands = d.student_commands(spark, sf_dir).withColumn("major_name", major_or_null())
+    typed_commands, _ = accept(as_json(spark, commands, STUDENTS), STUDENTS)
+    return typed_commands.select(
+        "id",
+        "full_name",
+        "major_id",
+        "major_name",
+        listed("skill_names").alias("skills"),
+        listed("skill_ids").alias("skill_ids"),
+        listed("specialty_names").alias("specialties"),
+    )
+
+
+def major_or_null() -> Column:
+    return F.when(F.col("major_id").isNotNull(), F.col("major_name"))
+
+
+def as_json(spark: SparkSession, commands: DataFrame, spec: EntitySpec) -> DataFrame:
+    """Flat commands written as JSON lines in the nested form and read back, unpacked."""
     folder = f"{scratch_root(spark)}/json"
-    record = F.struct("id", "full_name", "major_id", "about_me")
-    d.students(spark, sf_dir).select(
-        record.alias("student"), "major_name", "skill_names"
-    ).write.json(folder)
-    commands, _ = accept(read_commands(spark, STUDENTS, folder), STUDENTS)
-    return commands.select("id", "full_name", "major_id", "major_name", listed("skill_names").alias("skills"))
+    record = F.struct(*[
+        F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(name) if name in spec.timestamps else F.col(name)
+        for name, _ in spec.record
+    ])
+    beside = [name for name, _ in spec.labels] + [c for c in ("seq", "op") if c in commands.columns]
+    commands.select(record.alias(spec.payload[-1]), *beside).write.json(folder)
+    return read_commands(spark, spec, folder)
+
+
+@query
+def json_other_commands(spark, sf_dir):
+    """The same for the three other entities."""
+    parts = []
+    for spec, commands, name, labels in (
+        (PROFESSORS, d.professor_commands(spark, sf_dir), "full_name", listed("interest_areas")),
+        (SKILLS, d.skills(spark, sf_dir), "name", F.lit("")),
+        (PROJECTS, d.project_commands(spark, sf_dir), "title", listed("skill_names")),
+    ):
+        valid, _ = accept(as_json(spark, commands, spec), spec)
+        parts.append(
+            valid.select(F.lit(spec.table).alias("entity"), "id", F.col(name).alias("name"), labels.alias("labels"))
+        )
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query
+def validate_ops(spark, sf_dir):
+    """Known, unknown, empty and missing kinds of change: each accepted or not."""
+    form = F.col("seq") % 6
+    op = (
+        F.when(form == 0, "upsert").when(form == 1, "d").when(form == 2, "")
+        .when(form == 3, F.col("op")).when(form == 5, "D")
+    )
+    commands = d.change_commands(spark, sf_dir).withColumn("op", op)
+    valid, rejected = accept(commands, STUDENTS)
+    # A missing kind is an upsert once it is accepted.
+    given = F.when(form != 4, F.col("op"))
+    return valid.select("seq", given.alias("op"), F.lit(True).alias("accepted")).union(
+        rejected.select("seq", "op", F.lit(False))
+    )
 
 
 @query
@@ -345,9 +402,7 @@ def hash_embed_query(spark, sf_dir):
 @query
 def table_scan(spark, sf_dir):
     """A stored table scanned with a filter and three of its columns."""
-    table = VersionedTable(spark, scratch_root(spark), PROFESSORS)
-    rows = d.professor_commands(spark, sf_dir).withColumn("vector", F.lit(None).cast(VECTOR))
-    table.replace(rows)
+    table = stored(spark, PROFESSORS, d.professor_commands(spark, sf_dir))
     return table.read().where("is_accepting_projects").select("id", "full_name", "rank")
 
 
@@ -374,13 +429,9 @@ def delete_by_id(spark, sf_dir):
 @query
 def replace_snapshot(spark, sf_dir):
     """Skills replaced by the brands: nothing of the old rows is left."""
-    table = VersionedTable(spark, scratch_root(spark), SKILLS)
-    no_vector = F.lit(None).cast(VECTOR)
-    table.replace(d.skills(spark, sf_dir).withColumn("vector", no_vector))
+    table = stored(spark, SKILLS, d.skills(spark, sf_dir))
     brands = d.table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).distinct()
-    table.replace(
-        brands.select(d.make_id("brand", "name").alias("id"), "name", no_vector.alias("vector"))
-    )
+    bulk_sync(table, brands.select(d.make_id("brand", "name").alias("id"), "name"), hashing_embedder())
     return table.read().select("id", "name")
 
 
@@ -626,13 +677,89 @@ def sync_projects(spark, sf_dir):
 @query
 def delete_students(spark, sf_dir):
     """Stored students less those the feed ever deletes."""
-    table = VersionedTable(spark, scratch_root(spark), STUDENTS)
-    commands = d.student_commands(spark, sf_dir)
-    table.replace(commands.withColumn("vector", F.lit(None).cast(VECTOR)))
+    table = stored(spark, STUDENTS, d.student_commands(spark, sf_dir))
     table.delete(d.changes(spark, sf_dir).where("op = 'D'").select("id").distinct())
     return table.read().select("id", "full_name")
 
 
+@query
+def delete_commands_(spark, sf_dir):
+    """Students deleted by ids in every accepted form; bad, null and unknown ids change nothing."""
+    table = stored(spark, STUDENTS, d.student_commands(spark, sf_dir))
+    students = d.students(spark, sf_dir).where("place % 7 <> 3")
+    ids = students.select(uuid_text("id", "place").alias("id"))
+    rough = ids.union(spark.createDataFrame([(None,), ("none\n",), (f"{'0' * 32}\n",)], "id string"))
+    delete_commands(table, rough)
+    return table.read().select("id", "full_name")
+
+
+@query
+def sync_unsequenced(spark, sf_dir):
+    """Students in bulk, two JSON syncs of the same ids without a sequence, then new ids."""
+    commands = d.student_commands(spark, sf_dir)
+    table = stored(spark, STUDENTS, commands)
+
+    def named(rows: DataFrame, word: str) -> DataFrame:
+        return rows.withColumn("full_name", F.concat(F.lit(f"{word} "), F.col("place").cast("string")))
+
+    new = commands.limit(0).unionByName(
+        d.projects(spark, sf_dir).select("id", "place"), allowMissingColumns=True
+    )
+    for rows in (named(commands, "first"), named(commands.where("place % 2 = 0"), "second"), named(new, "new")):
+        valid, _ = accept(as_json(spark, rows, STUDENTS), STUDENTS)
+        sync(table, valid, hashing_embedder())
+    return table.read().select("id", "full_name")
+
+
+@query
+def late_after_replace(spark, sf_dir):
+    """Changes from before a replacement are rejected and shown; those after it are stored."""
+    commands = d.student_commands(spark, sf_dir)
+    table = VersionedTable(spark, scratch_root(spark), STUDENTS)
+    numbered = commands.withColumn("seq", F.col("place") + 1000)
+    sync(table, numbered, hashing_embedder())
+    bulk_sync(table, commands, hashing_embedder())
+    high = table.state()["high_seq"]
+    late = commands.withColumns({"full_name": F.lit("late"), "seq": F.lit(high).cast("long") - F.col("place") % 2})
+    newer = commands.where("place % 3 = 0").withColumns(
+        {"full_name": F.lit("newer"), "seq": F.lit(high).cast("long") + 1}
+    )
+    sync(table, late, hashing_embedder())
+    sync(table, newer, hashing_embedder())
+    kept = table.read().select("id", "full_name", F.lit("stored").alias("fate"))
+    return kept.union(table.rejected().select("id", "full_name", "reason"))
+
+
+@query
+def reject_vectors(spark, sf_dir):
+    """Vectors that are missing, short, long or not finite are set aside; the rest can be searched."""
+    table = VersionedTable(spark, scratch_root(spark), SKILLS, dimension=EMBEDDING_DIMENSION)
+    case, vector = F.col("vec_id") % 7, F.col("embedding")
+    broken = (
+        F.when(case == 1, F.lit(None).cast(VECTOR))
+        .when(case == 2, F.slice(vector, 1, EMBEDDING_DIMENSION - 1))
+        .when(case == 3, F.concat(vector, vector))
+        .when(case == 4, F.transform(vector, lambda x, i: F.when(i == 5, float("nan")).otherwise(x).cast("float")))
+        .otherwise(vector)
+    )
+    rows = d.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("id"), F.lit("x").alias("name"), broken.alias("vector")
+    )
+    table.replace(rows)
+    requests = table.read().select(F.col("id").alias("request_id"), "vector", F.lit(1).alias("limit"))
+    found = nearest(requests, table.read(), dimension=EMBEDDING_DIMENSION)
+    kept = found.select(F.col("request_id").cast("long").alias("vec_id"), F.lit("stored").alias("fate"))
+    return kept.union(table.rejected().select(F.col("id").cast("long"), "reason"))
+
+
+@query
+def enrich_repeated_keys(spark, sf_dir):
+    """Labels of records whose key is not unique: each record gets its own."""
+    records = d.student_commands(spark, sf_dir).select(F.col("major_id").alias("key"), "skill_ids")
+    named = enrich(records, "skill_ids", d.skills(spark, sf_dir), "names", key="key")
+    return named.select("key", listed("names").alias("names"))
+
+
 @query
 def json_requests(spark, sf_dir):
     """Requests written as JSON lines, read back, validated and rendered."""

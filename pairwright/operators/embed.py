@@ -161,16 +161,21 @@ def sentence_transformer_embedder(
     dimension: int = DIMENSION,
     device: str | None = None,
     batch_rows: int = BATCH_ROWS,
+    revision: str | None = None,
+    trust_remote_code: bool = False,
 ) -> Embedder:
     """A sentence-transformers model by name or path; the library must be on the workers.
 
-    Without a ``device`` the library takes a GPU where there is one.
+    Without a ``device`` the library takes a GPU where there is one. Models that bring code of
+    their own need ``trust_remote_code``; name their ``revision`` then.
     """
 
     def load() -> Predict:
         from sentence_transformers import SentenceTransformer
 
-        encoder = SentenceTransformer(model, trust_remote_code=True, device=device)
+        encoder = SentenceTransformer(
+            model, device=device, revision=revision, trust_remote_code=trust_remote_code
+        )
         return lambda texts: encoder.encode(list(texts), normalize_embeddings=True)
 
     return Embedder(load, dimension, batch_rows)

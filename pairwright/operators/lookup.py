@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from pairwright.functions import canonical_uuid
 from pairwright.operators.changes import BROADCAST_IDS
 
+# A map is searched from front to back, so it pays for small dimensions only.
+MAP_ROWS = 256
+
 
 def asked_for(table: DataFrame, ids: DataFrame, n_ids: int | None = None) -> DataFrame:
     """Rows of the table whose id is asked for, each once.
@@ -57,21 +60,29 @@ def enrich(
 ) -> DataFrame:
     """``records`` with the names of an id array, in the array's order; unknown ids vanish.
 
-    Only the key and the ids are exploded and regrouped, the records join their names
-    once. ``dimension`` has one row per ``id``. Spark broadcasts it when it is small;
-    otherwise a hot id is split by the skew join of adaptive execution, and a record's
-    names are never more than its own array.
+    ``dimension`` has one row per ``id``. Up to ``MAP_ROWS`` rows it becomes a literal map, and
+    names are looked up inside the arrays: nothing is shuffled. A larger dimension is joined:
+    only the ids are exploded and regrouped, and a record's names are never more than its own
+    array. ``key`` need not be unique.
     """
-    pairs = records.select(key, F.posexplode(ids).alias("_pos", "_id"))
-    names = dimension.select(F.col("id").alias("_id"), F.col(name).alias("_name"))
+    found = F.array().cast("array<string>")
+    named = dimension.select(F.col("id").alias("_id"), F.col(name).alias("_name"))
+    few = named.where("_id is not null").limit(MAP_ROWS + 1).collect()
+    if len(few) <= MAP_ROWS:
+        pairs = [F.lit(part) for row in few for part in row]
+        names = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string, string>")
+        known = F.array_compact(F.transform(ids, lambda ident: F.element_at(names, ident)))
+        return records.withColumn(output, F.coalesce(known, found))
+    numbered = records.withColumn("_record", F.to_json(F.struct(key, ids)))
+    pairs = numbered.select("_record", ids).distinct().select("_record", F.posexplode(ids).alias("_pos", "_id"))
     lists = (
-        pairs.join(names, "_id")
-        .groupBy(key)
+        pairs.join(named, "_id")
+        .groupBy("_record")
         .agg(F.array_sort(F.collect_list(F.struct("_pos", "_name"))).alias("_found"))
-        .select(key, F.transform("_found", lambda pair: pair["_name"]).alias(output))
+        .select("_record", F.transform("_found", lambda pair: pair["_name"]).alias(output))
     )
-    return records.join(lists, key, "left").withColumn(
-        output, F.coalesce(F.col(output), F.array().cast("array<string>"))
+    return numbered.join(lists, "_record", "left").drop("_record").withColumn(
+        output, F.coalesce(F.col(output), found)
     )
 
 

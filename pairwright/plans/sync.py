@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairwright.operators.changes import newest
 from pairwright.operators.embed import Embedder, embed
+from pairwright.operators.metrics import append_metrics
 from pairwright.operators.validate import id_problems, split
 from pairwright.functions import canonical_uuid
 from pairwright.schemas import DELETE, OP, SEQ, EntitySpec
@@ -50,13 +51,25 @@ def sync(
     commands: DataFrame,
     embedder: Embedder,
     batch: tuple[str, int] | None = None,
+    metrics: tuple[str, str] | None = None,
 ) -> dict:
-    """Upsert (and delete) by commands. Raises before anything is committed on failure."""
+    """Upsert (and delete) by commands. Raises before anything is committed on failure.
+
+    ``metrics`` names a run and the folder of the table its figures are appended to.
+    """
     state = table.merge(vectorize(commands, table.spec, embedder), batch, unique=True)
+    _record(table, state, metrics, "sync")
     table.maintain()
     return state
 
 
+def _record(table: VersionedTable, state: dict, metrics: tuple[str, str] | None, stage: str) -> None:
+    if metrics:
+        run, path = metrics
+        for what, rows in state["last"].items():
+            append_metrics(table.spark, path, run, f"{stage} {table.spec.table} {what}", rows)
+
+
 def delete_commands(table: VersionedTable, commands: DataFrame) -> tuple[dict, DataFrame]:
     """Delete by the ids of commands, in any form of a UUID; the rejected come back with reasons.
 
@@ -67,12 +80,17 @@ def delete_commands(table: VersionedTable, commands: DataFrame) -> tuple[dict, D
     return state, rejected
 
 
-def bulk_sync(table: VersionedTable, commands: DataFrame, embedder: Embedder) -> dict:
+def bulk_sync(
+    table: VersionedTable,
+    commands: DataFrame,
+    embedder: Embedder,
+    metrics: tuple[str, str] | None = None,
+) -> dict:
     """Replace the table by the commands' rows, in one job.
 
     The version is promoted after everything is written. When a stage fails the error is
     raised and the live version stays. No commands at all change nothing.
     """
-    return table.replace(
-        vectorize(commands, table.spec, embedder, clustered=True), unique=True
-    )
+    state = table.replace(vectorize(commands, table.spec, embedder, clustered=True), unique=True)
+    _record(table, state, metrics, "bulk_sync")
+    return state

@@ -54,6 +54,7 @@ NOTHING = {
     "epoch": 0,
     "batches": {},
     "rejected": [],
+    "last": {"rows": 0, "rejected": 0},
 }
 
 
@@ -188,6 +189,12 @@ class VersionedTable:
             {EPOCH: epoch.cast("long"), ARRIVAL: F.lit(state["version"] + 1).cast("long")}
         )
 
+    @staticmethod
+    def _figures(written: dict) -> dict:
+        """What one write stored and set aside."""
+        rows = {fate: row["rows"] for fate, row in written.items()}
+        return {"rows": rows.get(STORED, 0), "rejected": sum(rows.values()) - rows.get(STORED, 0)}
+
     @staticmethod
     def _set_aside(folder: str, written: dict, version: int) -> list:
         return [[folder, fate, row["rows"], version] for fate, row in written.items() if fate in FAULTS]
@@ -227,6 +234,7 @@ class VersionedTable:
                 high_seq=max(state["high_seq"], stored["seq"] if rows and stored["seq"] is not None else -1),
                 epoch=max(state["epoch"], stored["epoch"] if rows else 0),
                 batches={**state["batches"], batch[0]: batch[1]} if batch else state["batches"],
+                last=self._figures(written),
                 rejected=[
                     *state["rejected"], *self._set_aside(folder, written, state["version"] + 1)
                 ],
@@ -276,6 +284,7 @@ class VersionedTable:
                 changes=[],
                 change_rows=0,
                 floor=state["high_seq"],
+                last=self._figures(written),
                 rejected=[
                     *state["rejected"], *self._set_aside(folder, written, state["version"] + 1)
                 ],

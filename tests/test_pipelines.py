@@ -342,3 +342,35 @@ def test_stream_in_order_late_and_replayed_end_alike(spark, root, tmp_path):
         assert {r.id: r.name for r in table.read().collect()} == expected
         rejected = spark.read.parquet(f"{table.path}/rejected/{case}-*")
         assert [sorted(r.reasons) for r in rejected.collect()] == [["id: not a uuid", "name: missing"]]
+
+
+def test_enrich_by_map_and_by_join(spark, monkeypatch):
+    from pairwright.operators import lookup
+
+    dimension = spark.createDataFrame([("x", "X"), ("y", "Y"), (None, "none")], "id string, name string")
+    records = spark.createDataFrame(
+        [("k", ["x", "?", "y", "x"]), ("k", ["y"]), ("k", ["y"]), ("m", []), ("n", None), (None, ["x", None])],
+        "key string, ids array<string>",
+    )
+    expected = sorted(["X,Y,X", "Y", "Y", "", "", "X"])
+    for rows in (256, 1):
+        monkeypatch.setattr(lookup, "MAP_ROWS", rows)
+        named = lookup.enrich(records, "ids", dimension, "names", key="key")
+        assert sorted(",".join(r.names) for r in named.collect()) == expected
+        plan = named._jdf.queryExecution().executedPlan().toString()
+        assert ("Exchange" in plan) == (rows == 1)
+
+
+def test_runs_record_their_figures(spark, root, tmp_path):
+    table = VersionedTable(spark, root, SKILLS)
+    rows = spark.createDataFrame([(ident(n), f"skill {n}") for n in range(300)], "id string, name string")
+    path = str(tmp_path / "metrics")
+    bulk_sync(table, rows, hashing_embedder(8), metrics=("run 1", path))
+    sync(table, rows.limit(2), hashing_embedder(8), metrics=("run 2", path))
+    got = {(r.run, r.stage): (r.n_rows, r.n_chunks) for r in spark.read.parquet(path).collect()}
+    assert got == {
+        ("run 1", "bulk_sync skills rows"): (300, 3),
+        ("run 1", "bulk_sync skills rejected"): (0, 0),
+        ("run 2", "sync skills rows"): (2, 1),
+        ("run 2", "sync skills rejected"): (0, 0),
+    }

@@ -12,8 +12,8 @@ Documents with equal sets form a class, worked on once. Then:
 2. Lists of at most ``LIST`` classes give their pairs. Longer ones give the pairs with their
    most central class and are divided by longer runs of neighbouring values, which bring
    together what is most alike. So the number of pairs grows with the rows, not with the
-   square of a group. What long lists still hold outside their largest component when
-   components are known, which is little, is compared with the other members.
+   square of a group. Classes that have several long lists and are not connected by leaders are
+   then joined by rare members of their whole sets, which is exact.
 3. *Estimation*: the smallest hashes of the union of two sketches are looked up in both; pairs
    whose share is six standard deviations below the limit are dropped.
 4. *Verification* compares the full sets of the rest. First each class with its smallest
@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairwright.llm.columns import mixed, run_hashes, text_slices, utf8
 from pairwright.llm.components import components
@@ -41,7 +42,7 @@ from pairwright.scratch import stored
 SKETCH = 32
 LIST = 16
 LONG = 5
-SEARCH = 10
+FREQUENT = 500
 RUNS = (2, 8, SKETCH)
 PERCENT = 80
 
@@ -155,7 +156,7 @@ def runs_of(sketch: DataFrame, size: int) -> DataFrame:
 
 def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs ``a < b`` of classes from the inverted lists, and the long lists of neighbouring
-    pairs as ``list, node, length``.
+    pairs as ``list, node``.
 
     The leader of a long list is its most central class: the one whose own long lists are the
     longest together, so that what the others have changed is left out of it.
@@ -175,7 +176,7 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
         crowd = stored(rows.join(lengths.filter(F.col("length") > LIST), "list"))
         if score is None:
-            crowds = crowd
+            crowds = crowd.select("list", "node")
             score = stored(crowd.groupBy("node").agg(F.sum("length").alias("score")))
         pairs.append(_with_leader(crowd.select("list", "node"), score))
         if crowd.isEmpty():
@@ -185,7 +186,7 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     every = pairs[0]
     for more in pairs[1:]:
         every = every.union(more)
-    return stored(every.distinct()), crowds.select("list", "node", "length")
+    return stored(every.distinct()), crowds
 
 
 def _with_leader(rows: DataFrame, score: DataFrame) -> DataFrame:
@@ -296,7 +297,7 @@ def near_duplicates(
         .select("a", F.col("node").alias("b"))
     )
 
-    tested, crowd = candidates(nodes)
+    tested, long_lists = candidates(nodes)
     close = stored(likely(tested, nodes, percent))
     smallest = close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = stored(
@@ -306,7 +307,8 @@ def near_duplicates(
     links = stored(links.union(verified(rest, documents, words, percent, key, text)).distinct())
     roots = components(links)
 
-    again = left_over(crowd, nodes, roots).join(tested, ["a", "b"], "left_anti")
+    again = left_over(long_lists, nodes, roots, documents, words, percent, key, text)
+    again = again.join(tested, ["a", "b"], "left_anti")
     again = stored(likely(again, nodes, percent))
     if not again.isEmpty():
         more = verified(again, documents, words, percent, key, text)
@@ -337,24 +339,83 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
-def left_over(crowd: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs from long lists of what leaders have not connected.
+def rare_first(
+    texts: DataFrame, n_texts: int, words: int, percent: int
+) -> DataFrame:
+    """``list, node, at`` for the first members of every set in an order that all sets share.
 
-    Two classes that are alike and have not met in a short list share long lists only, and at
-    least ``LONG`` of them, or two fifths of a small sketch's; classes with fewer are left out.
-    Of a list, the members outside its largest component are paired with all members of other
-    components; few are outside, since leaders are central. A class looks for partners in the
-    ``SEARCH`` shortest of its long lists: it shares each with a chance of 0.64 at a similarity
-    of 0.8.
+    Two sets with a similarity of at least ``percent`` have a common one among their first
+    ``n - ceil(n * percent / 100) + 1`` members, whatever the order. Here frequent shingles come
+    last: those of at least one in ``FREQUENT`` sets, of which there are at most ``FREQUENT`` times
+    the mean size of a set.
+    """
+    schema = T.StructType().add("list", "long")
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in text_slices(batches, "content"):
+            values, _ = shingle_sets(rows.column("content"), words)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["list"])
+
+    least = max(LIST + 1, n_texts // FREQUENT)
+    counts = texts.mapInArrow(every, schema).groupBy("list").count()
+    common = counts.filter(F.col("count") >= least).select("list").toArrow()
+    frequent = np.sort(common.column("list").to_numpy()).view(np.uint64)
+    frequent.sort()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in text_slices(batches, "content"):
+            values, at = shingle_sets(rows.column("content"), words)
+            last = np.isin(values, frequent, assume_unique=False)
+            lists, of, places = [], [], []
+            for row, (low, high) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                n = high - low
+                order = np.argsort(last[low:high], kind="stable")
+                keep = order[: n + (-n * percent) // 100 + 1] if n else order
+                lists.append(values[low:high][keep].view(np.int64))
+                of.append(np.full(len(keep), row))
+                places.append(np.arange(len(keep), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(lists)),
+                    rows.column("node").take(pa.array(np.concatenate(of))),
+                    pa.array(np.concatenate(places)),
+                ],
+                names=["list", "node", "at"],
+            )
+
+    out = T.StructType().add("list", "long").add("node", texts.schema["node"].dataType)
+    return texts.select("node", "content").mapInArrow(first, out.add("at", "integer"))
+
+
+def left_over(
+    long_lists: DataFrame,
+    nodes: DataFrame,
+    roots: DataFrame,
+    documents: DataFrame,
+    words: int,
+    percent: int,
+    key: str,
+    text: str,
+) -> DataFrame:
+    """Pairs that share long lists only and that leaders have not connected.
+
+    Two classes that are alike and have not met in a short list share at least ``LONG`` long ones,
+    or two fifths of a small sketch's. Classes with as many are compared by the first members of
+    their whole sets in a common order, which leaves no pair out: of a list the members outside
+    its largest component are paired with those members of other components that enough is left of.
     """
     runs = F.greatest(F.least("n", F.lit(SKETCH)) - 1, F.lit(1))
-    full = crowd.groupBy("node").agg(F.count("*").alias("long")).join(nodes.select("node", "n"), "node")
+    sizes = nodes.groupBy("node").agg(F.min("n").alias("n"))
+    full = long_lists.groupBy("node").agg(F.count("*").alias("long")).join(sizes, "node")
     least = F.least(F.lit(LONG), F.greatest(F.lit(1), F.floor(runs * 0.4)))
-    full = full.filter(F.col("long") >= least).select("node")
+    full = stored(full.filter(F.col("long") >= least).select("node", "n"))
+    texts = documents.select(F.col(key).alias("node"), F.col(text).alias("content"))
+    texts = stored(texts.join(full, "node", "left_semi"))
     placed = stored(
-        crowd.join(full.distinct(), "node")
+        rare_first(texts, full.count(), words, percent)
+        .join(full, "node")
         .join(roots, "node", "left")
-        .select("list", "node", "length", F.coalesce("root", "node").alias("root"))
+        .select("list", "node", "at", "n", F.coalesce("root", "node").alias("root"))
     )
     main = (
         placed.groupBy("list", "root")
@@ -364,14 +425,25 @@ def left_over(crowd: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame
         .filter("roots > 1")
         .select("list", F.col("main.root").alias("main"))
     )
-    outside = placed.join(main, "list").filter("root <> main")
-    nth = F.row_number().over(Window.partitionBy("node").orderBy("length", "list"))
-    outside = outside.withColumn("nth", nth).filter(F.col("nth") <= SEARCH)
-    pairs = (
-        outside.select("list", F.col("node").alias("x"), F.col("root").alias("root_x"))
-        .join(placed.select("list", F.col("node").alias("y"), F.col("root").alias("root_y")), "list")
-        .filter("root_x <> root_y")
+    shared = stored(placed.join(main, "list"))
+    x = shared.filter("root <> main").select(
+        "list",
+        F.col("node").alias("x"),
+        F.col("root").alias("root_x"),
+        F.col("n").alias("n_x"),
+        (F.col("n") - F.col("at")).alias("rest_x"),
+    )
+    y = shared.select(
+        "list",
+        F.col("node").alias("y"),
+        F.col("root").alias("root_y"),
+        F.col("n").alias("n_y"),
+        (F.col("n") - F.col("at")).alias("rest_y"),
     )
+    # What two sets have in common from their first common member on is no more than what is
+    # left of either from there.
+    enough = F.least("rest_x", "rest_y") * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
+    pairs = x.join(y, "list").filter((F.col("root_x") != F.col("root_y")) & enough)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

@@ -16,6 +16,8 @@ from pairwright.shipping import ship
 # Word shingles and similarity of near-duplicates.
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
+# A passage that repeats goes if it has so many words: over 50.
+PASSAGE_WORDS = 51
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +33,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the long strings that occur more than once."""
+    """All documents, without the passages of over 50 words that occur more than once, nor the
+    repeated strings of `suffix.LENGTH` bytes, in whatever few words or none they are written."""
     ship(spark)
-    return suffix.without_repeats(docs)
+    return suffix.without_repeats(docs, words=PASSAGE_WORDS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

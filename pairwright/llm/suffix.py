@@ -59,14 +59,18 @@ ABSENT = 256
 
 def gram_hashes(data: np.ndarray, gram: int, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of the ``gram`` bytes from every place that has as many after it."""
-    if len(data) < gram:
+    return rolled(_BYTES[data], gram, seed)
+
+
+def rolled(part: np.ndarray, gram: int, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the ``gram`` symbols, given as random words, from every place that has
+    as many after it."""
+    if len(part) < gram:
         return np.zeros(0, np.uint64)
     power, size = _STEPS[seed : seed + 1], 1
-    part = _BYTES[data]
-    whole, done = None, 0
+    whole, done, n = None, 0, len(part) - gram + 1
     while True:
         if gram & size:
-            n = len(data) - gram + 1
             piece = part[done : done + n]
             whole = piece if whole is None else whole * power + piece
             done += size
@@ -82,12 +86,18 @@ def anchors(
 ) -> tuple[np.ndarray, ...]:
     """Of every anchor: its text, hash, place in the text, and how far before it the nearest
     and the farthest string starts whose anchor it is."""
+    return anchors_of(gram_hashes(data, gram), offsets, length, gram)
+
+
+def anchors_of(
+    hashes: np.ndarray, offsets: np.ndarray, length: int, gram: int
+) -> tuple[np.ndarray, ...]:
+    """The anchors of texts of any symbols, from the hashes of their grams."""
     none = np.zeros(0, np.int64)
     sizes = np.diff(offsets)
     strings = np.maximum(sizes - length + 1, 0)
     if not strings.any():
         return none, none.view(np.uint64), none, none, none
-    hashes = gram_hashes(data, gram)
     width = length - gram + 1
     value = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
     blocks = -(-len(value) // width)
@@ -399,12 +409,22 @@ def digests(documents: DataFrame, *, key: str = "doc_id", text: str = "text", **
     return placed.mapInArrow(work, schema)
 
 
-def without_repeats(documents: DataFrame, *, text: str = "text", **limits) -> DataFrame:
+def without_repeats(
+    documents: DataFrame, *, text: str = "text", words: int | None = None, **limits
+) -> DataFrame:
     """The rows with all columns, repeated strings taken out of the text and ``n_chars`` set anew.
 
-    Where a removal cuts a character in two, the rest of that character goes as well.
+    With ``words``, runs of so many words that repeat are taken out as well, however short they
+    are in bytes. Where a removal cuts a character in two, the rest of that character goes as well.
     """
-    placed = _placed(documents, text, duplicate_spans(documents, text=text, **limits))
+    found = duplicate_spans(documents, text=text, **limits)
+    if words is not None:
+        from pairwright.llm import passages  # it builds on this module
+
+        both = found.unionByName(passages.repeated_passages(documents, words, text=text))
+        spans = F.array_sort(F.flatten(F.collect_list("spans")))
+        found = stored(both.groupBy("key").agg(F.max("whole").alias("whole"), spans.alias("spans")))
+    placed = _placed(documents, text, found)
     placed = placed.select(F.col(f"row.{text}").alias("content"), "whole", "spans", "row")
     schema = T.StructType().add("row", documents.select(F.struct("*").alias("row")).schema["row"].dataType)
     schema = schema.add("kept", "string")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pairwright.llm import langid, minhash, queries, suffix
+from pairwright.llm import langid, minhash, passages, queries, suffix
 from pairwright.llm.components import components
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -228,3 +228,77 @@ def test_pipeline(spark, documents):
     empty = documents.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF_DIR).count() == 0
+
+
+# --- passages --------------------------------------------------------------------------------
+
+
+def expected_passages(rows, words):
+    counts = Counter()
+    places = {d: [m.span() for m in re.finditer(r"\S+", t or "")] for d, t in rows}
+    runs = {}
+    for d, t in rows:
+        own = [t[a:b] for a, b in places[d]]
+        runs[d] = [tuple(own[i : i + words]) for i in range(len(own) - words + 1)]
+        counts.update(runs[d])
+    out = {}
+    for d, t in rows:
+        gone = bytearray(len(t or ""))
+        for i, run in enumerate(runs[d]):
+            if counts[run] > 1:
+                a, b = places[d][i][0], places[d][i + words - 1][1]
+                gone[a:b] = b"\1" * (b - a)
+        out[d] = None if t is None else "".join(c for c, g in zip(t, gone) if not g)
+    return out
+
+
+@pytest.mark.parametrize("words,gram", [(7, 3), (5, 5), (9, 2)])
+def test_repeated_passages(spark, words, gram):
+    random.seed(6)
+    blank = [" ", "\n", "\u3000", "  ", "\u00a0", "\u2028", "\x85", "\t"]
+    word = lambda: "".join(random.choices("abé\u2030", k=random.randint(1, 3)))
+    pieces = [[word() for _ in range(random.randint(1, 6))] for _ in range(40)]
+    rows = []
+    for i in range(150):
+        chosen = [w for p in random.choices(pieces, k=random.randint(0, 12)) for w in p]
+        rows.append((i, "".join(w + random.choice(blank) for w in chosen)))
+    rows += [(200, "a " * 40), (201, " "), (202, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {bytes(r.key): r for r in passages.repeated_passages(table, words, gram=gram).collect()}
+    expected = expected_passages(rows, words)
+    some = 0
+    for d, text in rows:
+        r = found.get(hashlib.sha256(text.encode()).digest()[:16])
+        kept, runs = suffix._kept(text.encode(), r and r.whole, r and r.spans)
+        if not (r and r.whole):
+            assert kept.decode() == expected[d]
+            some += runs
+    assert some > 20
+
+
+def test_pipeline_takes_out_short_passages_of_over_50_words(spark):
+    random.seed(8)
+    word = lambda: "".join(random.choices("abcdefghij", k=random.randint(1, 3)))
+    own = lambda: " ".join(word() + "x" for _ in range(80))
+    passage = [" ".join(word() for _ in range(n)) for n in (51, 50)]
+    assert len(passage[0]) < 200
+    left, right = " ".join(word() for _ in range(30)), " ".join(word() for _ in range(30))
+    texts = {
+        1: f"{own()} {passage[0]} {own()}", 2: f"{own()}\n{passage[0]}\n{own()}",
+        3: f"{own()} {passage[1]} {own()}", 4: f"{own()} {passage[1]} {own()}",
+        # Two short passages side by side, each repeated elsewhere, are no long one.
+        5: f"{own()} {left} {right} {own()}", 6: f"{own()} {left} {own()}", 7: f"{own()} {right} {own()}",
+        8: None, 9: "",
+    }
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["repeats"]
+    got = {r.doc_id: r.text for r in stage(spark, table, SF_DIR).collect()}
+    expected = texts | {d: texts[d].replace(passage[0], "") for d in (1, 2)}
+    assert got == expected
+
+
+def test_copies_of_enough_words_go_whole(spark):
+    short, long = "w" * 70 + " " + "v" * 70, " ".join("abcdefgh"[i % 8] + str(i) for i in range(51))
+    table = spark.createDataFrame([(1, short), (2, short), (3, long), (4, long)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in suffix.without_repeats(table, words=51).collect()}
+    assert got == {1: short, 2: short, 3: "", 4: ""}

@@ -2,7 +2,8 @@
 
 The lexicon holds the terms whose inverse document frequency lies in a band: terms of more than
 ``max_share`` of the documents say too little, terms of fewer than ``min_share`` are typing
-errors and names. A document has at most its length in terms, so the lexicon cannot hold more
+errors and names. The band reaches up to half of the documents, so the words of near copies that
+are a third of the table stay in it. A document has at most its length in terms, so the lexicon cannot hold more
 than the mean number of distinct terms divided by ``min_share``, however large the corpus is,
 and is broadcast.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pairwright.scratch import stored
 
 MIN_SHARE = 1 / 2000
-MAX_SHARE = 1 / 5
+MAX_SHARE = 1 / 2
 SUBSETS = 16
 # Tables up to this size are broadcast, larger ones joined by a shuffle.
 BROADCAST_BYTES = 32 << 20

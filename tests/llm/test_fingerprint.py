@@ -85,3 +85,27 @@ def test_subsets_hold_what_their_level_leaves(spark, count):
         assert row.level == count.bit_length() and row.n == 2 * fingerprint.SUBSETS
     else:
         assert row.level == fingerprint.ALL_TERMS and row.whole == 9 and row.n == 0
+
+
+def near_copies(n, words=200, changed=3):
+    """Texts that differ from one in a few words each."""
+    base = [f"word{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for k in range(changed):
+            own[(i * 31 + k * 17) % words] = f"own{i}x{k}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_a_third_of_the_rows_near_copies(spark):
+    rows = [(3 * i, t) for i, t in enumerate(near_copies(100))]
+    rows += [(j, " ".join(f"w{(j * 7 + k * k) % 900}" for k in range(60))) for j in range(300) if j % 3]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    known = fingerprint.lexicon(table, "text").join(
+        spark.createDataFrame([(f"word{i}",) for i in range(200)], "word string").select(fingerprint.term("word").alias("term")), "term"
+    )
+    assert known.count() > 190
+    got = [r for r in fingerprint.fingerprints(table).collect() if r.n_chars > 1000]
+    assert len(got) == 100 and sum(r.near_edited for r in got) / len(got) > 0.3

@@ -16,8 +16,8 @@ for short and long texts alike.
 The likeness of two fingerprints is the share of equal hashes among the subsets, at levels both
 use, that are not empty in both; it is 1 for equal fingerprints and 0 without a common level.
 
-A document without a term in the lexicon is fingerprinted by all its terms, and one without
-terms by the hash of nothing. Null texts are empty. Rows of one id are each fingerprinted; the
+A document without a term in the lexicon is fingerprinted by all its terms in the same way, and
+one without terms by the hash of nothing. Null texts are empty. Rows of one id are each fingerprinted; the
 next document is the first in the order of text of the next larger id. Terms are the words
 between blanks and line breaks in lower case, compared by 58-bit hashes.
 """
@@ -34,7 +34,7 @@ MAX_SHARE = 1 / 2
 SUBSETS = 16
 # Tables up to this size are broadcast, larger ones joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
-# The level of a fingerprint of all terms, for documents without a lexicon term.
+# The level of the fingerprint of documents without any term.
 ALL_TERMS = -1
 # A term's hash leaves its lowest six bits free: for marks, and for the term's last level.
 FREE = 63
@@ -118,7 +118,8 @@ def _bound(value: Column, body) -> Column:
 
 
 def _print(values: Column, every: Column) -> tuple[Column, Column, Column]:
-    """Level, hash of all terms and subset hashes; a hash of 0 stands for an empty subset."""
+    """Level, hash of all terms (``every`` where there are none) and subset hashes; a hash of 0
+    stands for an empty subset."""
     count = F.size(values)
     level = F.when(count == 0, ALL_TERMS).otherwise(
         F.floor(F.log2(F.greatest(count, F.lit(1)).cast("double"))).cast("int") + 1
@@ -259,28 +260,31 @@ def fingerprints(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     def values(part: int) -> Column:
         return F.sort_array(F.collect_set(F.when(inside(part), F.col("value"))))
 
-    def every(part: int) -> Column:
-        # Which words there are, whatever their order and number, for texts without a term
-        # of the lexicon: such texts are short, or made of the most and least frequent words.
-        drawn = [F.xxhash64("term", F.lit(n)) for n in range(2)]
-        ends = [f(F.when(inside(part), d)) for d in drawn for f in (F.min, F.max)]
-        return F.xxhash64(*ends)
+    def beyond(part: int) -> Column:
+        # Terms outside the lexicon, for texts that have no other; any subset may hold them.
+        out = inside(part) & F.col("value").isNull()
+        return F.sort_array(
+            F.collect_set(F.when(out, F.col("term").bitwiseOR(F.lit(FREE).cast("long"))))
+        )
 
     grouped = rows.groupBy("place", "id", "row", "n_chars", "sha").agg(
         values(IN_TEXT).alias("values"),
         values(IN_EDITED).alias("edited_values"),
-        every(IN_TEXT).alias("every"),
-        every(IN_EDITED).alias("every_edited"),
+        beyond(IN_TEXT).alias("beyond"),
+        beyond(IN_EDITED).alias("edited_beyond"),
     )
+    for own, other in (("values", "beyond"), ("edited_values", "edited_beyond")):
+        grouped = grouped.withColumn(own, F.when(F.size(own) == 0, F.col(other)).otherwise(F.col(own)))
+    nothing = F.xxhash64(F.array().cast("array<bigint>"))
     names = ("level", "whole", "hashes")
     prints = grouped.select(
         "place",
         "id",
         "n_chars",
         "sha",
-        F.struct(*[c.alias(n) for c, n in zip(_print(F.col("values"), F.col("every")), names)]).alias("own"),
+        F.struct(*[c.alias(n) for c, n in zip(_print(F.col("values"), nothing), names)]).alias("own"),
         F.struct(
-            *[c.alias(n) for c, n in zip(_print(F.col("edited_values"), F.col("every_edited")), names)]
+            *[c.alias(n) for c, n in zip(_print(F.col("edited_values"), nothing), names)]
         ).alias("edited"),
     )
     # Documents of a task are grouped as they come; a task's lists are bounded by its texts.

@@ -109,3 +109,13 @@ def test_a_third_of_the_rows_near_copies(spark):
     assert known.count() > 190
     got = [r for r in fingerprint.fingerprints(table).collect() if r.n_chars > 1000]
     assert len(got) == 100 and sum(r.near_edited for r in got) / len(got) > 0.3
+
+
+def test_texts_without_a_lexicon_term_are_compared_by_degrees(spark):
+    table = spark.createDataFrame(list(enumerate(near_copies(30))), "doc_id long, text string")
+    # Nothing is in the band: all words are in too few texts or in too many.
+    got = fingerprint.fingerprints(table, min_share=0.5, max_share=0.1).collect()
+    assert len({r.fingerprint for r in got}) == 30
+    assert all(r.fingerprint.count(",") == 2 * fingerprint.SUBSETS - 1 for r in got)
+    likeness = [r.near_next for r in got]
+    assert any(0 < x < 1 for x in likeness) and sum(likeness) / len(likeness) > 0.4

@@ -65,3 +65,22 @@ def test_recall_of_the_registered_query(spark, monkeypatch):
     for q, found in got.items():
         known = dict(brute(rows, {q}, len(rows))[q])
         assert all(known[i] == pytest.approx(s, abs=1e-12) for i, s in found)
+
+
+@pytest.mark.parametrize("dimensions,clusters", [(4, 0), (8, 0), (16, 0), (64, 5)])
+def test_recall_on_other_vectors(spark, monkeypatch, dimensions, clusters):
+    """Vectors in a subspace of 64 dimensions, or around few points, at one and several shards."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(4000, dimensions))
+    if clusters:
+        base = 0.3 * base / np.sqrt(dimensions) + rng.normal(size=(clusters, dimensions))[rng.integers(clusters, size=4000)]
+    base = base @ np.linalg.qr(rng.normal(size=(64, 64)))[0][:dimensions]
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    rows = list(enumerate(base.tolist()))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    expected = brute(rows, set(range(0, 4000, 20)), 20)
+    for shard in (4000, 1300):
+        monkeypatch.setattr(vptree, "SHARD", shard)
+        got = results(vptree.nearest(table, F.col("vec_id") % 20 == 0))
+        hits = sum(len({i for i, _ in got[q]} & {i for i, _ in expected[q]}) for q in expected)
+        assert hits >= 0.9 * 20 * len(expected)

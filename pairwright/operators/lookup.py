@@ -60,14 +60,17 @@ def enrich(
 ) -> DataFrame:
     """``records`` with the names of an id array, in the array's order; unknown ids vanish.
 
-    ``dimension`` has one row per ``id``. Up to ``MAP_ROWS`` rows it becomes a literal map, and
+    Rows of ``dimension`` without a name are as unknown as missing ones, and of an id in several
+    rows the smallest name counts. Up to ``MAP_ROWS`` rows it becomes a literal map, and
     names are looked up inside the arrays: nothing is shuffled. A larger dimension is joined:
     only the ids are exploded and regrouped, and a record's names are never more than its own
     array. ``key`` need not be unique.
     """
     found = F.array().cast("array<string>")
     named = dimension.select(F.col("id").alias("_id"), F.col(name).alias("_name"))
-    few = named.where("_id is not null").limit(MAP_ROWS + 1).collect()
+    named = named.where("_id is not null and _name is not null")
+    named = named.groupBy("_id").agg(F.min("_name").alias("_name"))
+    few = named.limit(MAP_ROWS + 1).collect()
     if len(few) <= MAP_ROWS:
         pairs = [F.lit(part) for row in few for part in row]
         names = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string, string>")

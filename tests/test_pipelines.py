@@ -374,3 +374,16 @@ def test_runs_record_their_figures(spark, root, tmp_path):
         ("run 2", "sync skills rows"): (2, 1),
         ("run 2", "sync skills rejected"): (0, 0),
     }
+
+
+def test_enrich_treats_null_names_and_repeated_ids_alike_in_both_plans(spark, monkeypatch):
+    table = spark.createDataFrame(
+        [("a", "A"), ("b", None), ("c", "C2"), ("c", "C1"), (None, "N")], "id string, name string"
+    )
+    records = spark.createDataFrame(
+        [("r", ["c", "b", "a", None, "x"]), ("s", ["b"]), ("t", None)], "id string, ids array<string>"
+    )
+    for rows in (256, 0):
+        monkeypatch.setitem(enrich.__globals__, "MAP_ROWS", rows)
+        named = {r.id: r.names for r in enrich(records, "ids", table, "names").collect()}
+        assert named == {"r": ["C1", "A"], "s": [], "t": []}

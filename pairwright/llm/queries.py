@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import bpe, chat, fingerprint, htmltext, langid, minhash, packing, sharding, suffix, vptree
+from pairwright.llm import bpe, chat, codes, fingerprint, htmltext, langid, minhash, packing, sharding, suffix, vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 16
@@ -71,6 +71,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(conversations.unionByName(extra)))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_shard": op2_shard,
@@ -82,4 +86,5 @@ QUERIES: dict[str, Query] = {
     "op8_suffix": op8_suffix,
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
+    "op12_codes": op12_codes,
 }

@@ -1,3 +1,73 @@
 """DuckDB SQL for the numbered queries that SQL can express."""
 
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+
+def _floor_mean(total: str, count: str) -> str:
+    """Their quotient rounded down, in whole numbers."""
+    return f"(({total} - ((({total} % {count}) + {count}) % {count})) // {count})"
+
+
+def op12_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rows are places of vectors: every part against every entry, all rounds written out."""
+    steps = [
+        """kept as materialized (
+            select row_number() over () as r, vec_id, label, embedding,
+                len(embedding) // 8 as w
+            from embeddings
+            where embedding is not null
+                and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        f"""parts as materialized (
+            select r, p, list_transform(embedding[p * w + 1 : (p + 1) * w],
+                lambda x: cast(floor(4096 * cast(x as double)) as hugeint)) as v
+            from kept, range({parts}) as places(p))""",
+        f"""book0 as materialized (
+            select p, row_number() over (partition by p order by vec_id) - 1 as e, v
+            from (select * from kept order by vec_id limit {entries}) join parts using (r))""",
+    ]
+    for n in range(rounds + 1):
+        distance = "list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        steps.append(
+            f"""near{n} as materialized (
+                select r, p, min(struct_pack(d := d, e := e)) as m
+                from (select a.r, a.p, b.e, {distance} as d from parts a join book{n} b using (p))
+                group by r, p)"""
+        )
+        if n == rounds:
+            break
+        steps.append(
+            f"""mean{n} as materialized (
+                select p, e, list(x order by i) as v
+                from (
+                    select p, e, i, {_floor_mean("sum(x)", "count(*)")} as x
+                    from (
+                        select p, m.e as e, unnest(v) as x, generate_subscripts(v, 1) as i
+                        from near{n} join parts using (r, p))
+                    group by p, e, i)
+                group by p, e)"""
+        )
+        steps.append(
+            f"""book{n + 1} as materialized (
+                select p, e, coalesce(m.v, b.v) as v from book{n} b left join mean{n} m using (p, e))"""
+        )
+    last = f"near{rounds}"
+    steps.append(
+        f"""coded as materialized (
+            select r, string_agg(printf('%02x', cast(m.e as int)), '' order by p) as code,
+                cast(sum(m.d) as bigint) as error
+            from {last} group by r)"""
+    )
+    steps.append(
+        f"""numbers as (
+            select sha256(string_agg(array_to_string(v, ','), ',' order by p, e)) as h from book{rounds})"""
+    )
+    return (
+        f"with {', '.join(steps)} select vec_id, label, code, error, "
+        "cast(sum(error) over (partition by label) as bigint) as label_error, "
+        "(select h from numbers) as codebooks_sha256 from coded join kept using (r)"
+    )
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op12_codes": op12_codes(),
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import bpe, chat, codes, fingerprint, htmltext, langid, minhash, packing, sharding, suffix, vptree
+from pairwright.llm import bpe, chat, codes, fingerprint, htmltext, langid, minhash, packing, rtree, sharding, suffix, vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 16
@@ -71,6 +71,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(conversations.unionByName(extra)))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    changed = (F.col("label") + 1) % 10
+    return rtree.hard_negatives(
+        vectors,
+        F.col("vec_id") % 50 == 0,
+        relabelled=F.when(F.col("vec_id") % 7 == 0, changed).otherwise(F.col("label")),
+    )
+
+
 def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -86,5 +96,6 @@ QUERIES: dict[str, Query] = {
     "op8_suffix": op8_suffix,
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
+    "op11_negatives": op11_negatives,
     "op12_codes": op12_codes,
 }

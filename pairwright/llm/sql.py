@@ -68,6 +68,32 @@ def op12_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
     )
 
 
+def op11_negatives(positives: int = 5, negatives: int = 3) -> str:
+    """Every anchor against every row."""
+    return f"""
+        with v as materialized (
+            select vec_id, if(vec_id % 7 = 0, (label + 1) % 10, label) as label,
+                list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+            from embeddings
+            where vec_id is not null and label is not null and embedding is not null
+                and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        pairs as materialized (
+            select a.vec_id as a, b.vec_id as b, a.label = b.label as same,
+                cast(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) as bigint) as s
+            from v a join v b on a.vec_id <> b.vec_id
+            where a.vec_id % 50 = 0),
+        near as (
+            select a, b, s from pairs where same
+            qualify row_number() over (partition by a order by s desc, b) <= {positives})
+        select p.a as anchor_id, p.b as positive_id,
+            cast(row_number() over (partition by p.a, p.b order by n.s desc, n.b) as int) as rank,
+            n.b as negative_id, p.s as positive_score, n.s as negative_score
+        from near p join pairs n using (a)
+        where not n.same and 50 * p.s <= 100 * n.s and 100 * n.s <= 95 * p.s
+        qualify rank <= {negatives}"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_negatives": op11_negatives(),
     "op12_codes": op12_codes(),
 }

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import bpe, chat, codes, fingerprint, htmltext, langid, minhash, packing, rtree, sharding, suffix, vptree
+from pairwright.llm import (
+    bpe,
+    chat,
+    codes,
+    fingerprint,
+    htmltext,
+    langid,
+    minhash,
+    ownership,
+    packing,
+    rtree,
+    sharding,
+    suffix,
+    vptree,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 16
@@ -85,6 +99,10 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ownership.find_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_shard": op2_shard,
@@ -98,4 +116,5 @@ QUERIES: dict[str, Query] = {
     "op10_chat": op10_chat,
     "op11_negatives": op11_negatives,
     "op12_codes": op12_codes,
+    "op13_secrets": op13_secrets,
 }

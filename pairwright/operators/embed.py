@@ -173,8 +173,10 @@ def sentence_transformer_embedder(
     def load() -> Predict:
         from sentence_transformers import SentenceTransformer
 
+        # Older releases of the library know no revision.
+        pinned = {} if revision is None else {"revision": revision}
         encoder = SentenceTransformer(
-            model, device=device, revision=revision, trust_remote_code=trust_remote_code
+            model, device=device, trust_remote_code=trust_remote_code, **pinned
         )
         return lambda texts: encoder.encode(list(texts), normalize_embeddings=True)
 

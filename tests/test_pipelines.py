@@ -96,23 +96,35 @@ def test_wrong_dimension_is_an_error(spark, tmp_path):
         embed(df, "t", recording(str(tmp_path / "log"), dimension=3)).collect()
 
 
-def test_sentence_transformer_model(spark, tmp_path):
-    """A stand-in for the library records how it is called."""
+@pytest.mark.parametrize("pinned", [{}, {"revision": "abc", "trust_remote_code": True}])
+def test_sentence_transformer_model(spark, tmp_path, pinned):
+    """A stand-in for the library records how it is called; an older one knows no revision."""
     log = tmp_path / "log"
-    (tmp_path / "sentence_transformers.py").write_text(
+    name = f"stand_in_{len(pinned)}"
+    (tmp_path / f"{name}.py").write_text(
         "import numpy as np\n"
         "class SentenceTransformer:\n"
-        "    def __init__(self, name, trust_remote_code, device):\n"
-        f"        open({str(log)!r}, 'a').write(f'load {{name}} {{device}}\\n')\n"
+        "    def __init__(self, name, device, trust_remote_code" + (", revision" if pinned else "") + "):\n"
+        "        given = f'{trust_remote_code} " + ("{revision}" if pinned else "-") + "'\n"
+        f"        open({str(log)!r}, 'a').write(f'load {{name}} {{device}} {{given}}\\n')\n"
         "    def encode(self, texts, normalize_embeddings):\n"
         f"        open({str(log)!r}, 'a').write(f'encode {{len(texts)}} {{normalize_embeddings}}\\n')\n"
         "        return np.array([[1.0, len(t)] for t in texts])\n"
     )
-    spark.sparkContext.addPyFile(str(tmp_path / "sentence_transformers.py"))
+    spark.sparkContext.addPyFile(str(tmp_path / f"{name}.py"))
+    embedder = sentence_transformer_embedder("some-model", 2, "cpu", **pinned)
+
+    def load():
+        import importlib
+        import sys
+
+        sys.modules["sentence_transformers"] = importlib.import_module(name)
+        return embedder.load()
+
     df = spark.range(300).selectExpr("cast(id as string) as t").coalesce(1)
-    got = embed(df, "t", sentence_transformer_embedder("some-model", 2, "cpu")).collect()
+    got = embed(df, "t", Embedder(load, 2, embedder.batch_rows)).collect()
     assert log.read_text().splitlines() == [
-        "load some-model cpu",
+        "load some-model cpu " + ("True abc" if pinned else "False -"),
         "encode 128 True",
         "encode 128 True",
         "encode 44 True",

@@ -1,8 +1,13 @@
 """Texts to unit vectors, in batches, with the model as a plug.
 
 An ``Embedder`` wraps a function that loads a model and returns ``predict(texts) ->
-matrix``. Spark loads it once per Python worker and hands it batches through Arrow.
-The model goes where the data is: no chunk loop, nothing through the driver.
+matrix``. A Python worker loads it once and keeps it over tasks; Spark hands it texts through
+Arrow. The model goes where the data is: no chunk loop, nothing through the driver.
+
+A model call gets no more than ``batch_rows`` texts and, unless one text alone is longer, no more
+than ``batch_chars`` characters once all are padded to the longest. Equal texts of an Arrow batch are
+embedded once, and texts of like length go together, so one very long text does not make the
+batch around it as wide. ``embed_once`` embeds each distinct text of a whole table once.
 
 ``hashing_embedder`` needs no model. It is lexical, not semantic: texts are near each
 other when they share words. It makes whole pipelines reproducible and checkable.
@@ -11,24 +16,31 @@ other when they share words. It makes whole pipelines reproducible and checkable
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
-from dataclasses import dataclass
+import uuid
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.errors import EmbeddingError
 from pairwright.functions import prefixed
 from pairwright.functions.wording import DOCUMENT_PREFIX, QUERY_PREFIX
+from pairwright.operators.joins import join_counted
 from pairwright.schemas import VECTOR
+from pairwright.scratch import stored
 
 # Size of a stored vector and rows per model call.
 DIMENSION = 768
 BATCH_ROWS = 128
+# Characters of a model call, padding to its longest text included.
+BATCH_CHARS = 1 << 18
+# Models that a worker keeps.
+KEPT_MODELS = 2
 
 PREFIXES = {"document": DOCUMENT_PREFIX, "query": QUERY_PREFIX}
 
@@ -45,6 +57,8 @@ class Embedder:
     load: Callable[[], Predict]
     dimension: int = DIMENSION
     batch_rows: int = BATCH_ROWS
+    batch_chars: int = BATCH_CHARS
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -54,45 +68,100 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return (matrix / np.where(norms > 0, norms, 1.0)[:, None]).astype(np.float32)
 
 
-def _checked(embedder: Embedder) -> Callable[[], Predict]:
-    """The embedder's function with equal texts of a batch embedded once, sizes checked."""
+def text_batches(lengths: np.ndarray, rows: int, chars: int) -> Iterator[np.ndarray]:
+    """Positions of texts, in batches of like length: at most ``rows``, and as many as fit
+    ``chars`` when all are as long as the longest; a longer text is alone."""
+    order = np.argsort(lengths, kind="stable")
+    first = 0
+    while first < len(order):
+        widths = lengths[order[first : first + rows]]
+        padded = widths * np.arange(1, len(widths) + 1)
+        n = max(1, int(np.searchsorted(padded, chars, side="right")))
+        yield order[first : first + n]
+        first += n
 
-    def load() -> Predict:
+
+_models: OrderedDict[str, Predict] = OrderedDict()
+# The last text of a batch and its vector: a run of equal texts may go on in the next batch.
+_last: dict[str, tuple[str, np.ndarray]] = {}
+
+
+def _model(embedder: Embedder) -> Predict:
+    """The embedder's function, loaded at its first use in this worker."""
+    if embedder.name not in _models:
         try:
-            predict = embedder.load()
+            loaded = embedder.load()
         except Exception as error:
             raise EmbeddingError(f"EmbeddingError: model did not load: {error}") from error
-
-        def run(texts: np.ndarray) -> np.ndarray:
-            distinct, back = np.unique(
-                np.array(["" if text is None else text for text in texts], dtype=object),
-                return_inverse=True,
+        _models[embedder.name] = loaded
+        while len(_models) > KEPT_MODELS:
+            _last.pop(_models.popitem(last=False)[0], None)
+    _models.move_to_end(embedder.name)
+    return _models[embedder.name]
+
+
+def unit_vectors(embedder: Embedder, texts: pa.Array) -> np.ndarray:
+    """Unit vectors of texts in their order, each distinct text embedded once; used in workers."""
+    predict = _model(embedder)
+    coded = pc.fill_null(texts, "").dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    distinct = np.array(coded.dictionary.to_pylist(), dtype=object)
+    lengths = pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False)
+    vectors = np.empty((len(distinct), embedder.dimension), np.float32)
+    known = 0
+    if len(distinct) and embedder.name in _last and _last[embedder.name][0] == distinct[0]:
+        vectors[0], known = _last[embedder.name][1], 1
+    for batch in text_batches(lengths[known:], embedder.batch_rows, embedder.batch_chars):
+        batch = batch + known
+        try:
+            made = np.asarray(predict(distinct[batch]))
+        except Exception as error:
+            raise EmbeddingError(f"EmbeddingError: model failed: {error}") from error
+        if made.shape != (len(batch), embedder.dimension):
+            raise EmbeddingError(
+                f"EmbeddingError: model returned shape {made.shape}, "
+                f"expected ({len(batch)}, {embedder.dimension})"
             )
-            try:
-                vectors = np.asarray(predict(distinct))
-            except Exception as error:
-                raise EmbeddingError(f"EmbeddingError: model failed: {error}") from error
-            if vectors.shape != (len(distinct), embedder.dimension):
-                raise EmbeddingError(
-                    f"EmbeddingError: model returned shape {vectors.shape}, "
-                    f"expected ({len(distinct)}, {embedder.dimension})"
-                )
-            return unit_rows(vectors)[back]
+        vectors[batch] = unit_rows(made)
+    codes = coded.indices.to_numpy()
+    if len(codes):
+        _last[embedder.name] = distinct[codes[-1]], vectors[codes[-1]].copy()
+    return vectors[codes]
+
+
+def list_array(matrix: np.ndarray) -> pa.Array:
+    """Rows of a matrix as an Arrow list column."""
+    ends = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(matrix).ravel()))
+
 
-        return run
+def prefixed_embedding(text: Column | str, embedder: Embedder) -> Column:
+    """Unit vector of a text that has its task prefix already and is never null."""
 
-    return load
+    @F.arrow_udf(returnType=VECTOR)
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield list_array(unit_vectors(embedder, texts))
+
+    return predict(text)
 
 
 def embedding(text: Column | str, embedder: Embedder, kind: str) -> Column:
     """Unit vector of a text with the task prefix of ``kind``; null for a null text."""
     text = F.col(text) if isinstance(text, str) else text
-    predict = predict_batch_udf(
-        _checked(embedder),
-        return_type=VECTOR,
-        batch_size=embedder.batch_rows,
-    )
-    return F.when(text.isNotNull(), predict(prefixed(PREFIXES[kind], text)))
+    return F.when(text.isNotNull(), prefixed_embedding(prefixed(PREFIXES[kind], text), embedder))
+
+
+def enough_splits(df: DataFrame) -> bool:
+    """The rows come from a scan with as many splits as there are cores, or more.
+
+    After a shuffle their number is known only when it has run, so that counts as too few.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    if "Exchange" in plan.toString():
+        return False
+    return df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism
 
 
 def embed(
@@ -107,12 +176,37 @@ def embed(
 
     ``spread_by`` names a key to spread the rows by first. A model call takes milliseconds,
     moving its text microseconds, so this pays wherever the input has fewer splits than
-    the cluster has cores, such as one small file.
+    the cluster has cores, such as one small file. A plain scan of enough splits stays as it is.
     """
-    df = df.repartition(spread_by) if spread_by else df
+    if spread_by and not enough_splits(df):
+        df = df.repartition(spread_by)
     return df.withColumn(output, embedding(text, embedder, kind))
 
 
+def embed_once(
+    df: DataFrame,
+    text: str,
+    embedder: Embedder,
+    kind: str = "document",
+    output: str = "vector",
+) -> DataFrame:
+    """``embed`` with each distinct text of the table embedded once.
+
+    A table of the distinct texts is embedded and written, and vectors are joined back by the
+    text's digest. Equal texts are made one before they are shuffled, and the vectors of the most
+    frequent texts are broadcast, so one text may have any share of the rows. It pays where a
+    model call costs more than moving a vector to each row.
+    """
+    keyed = df.withColumn("_text", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    there = keyed.where(F.col(text).isNotNull())
+    texts = there.groupBy("_text", F.col(text).alias("_of")).agg(F.count("*").alias("_rows"))
+    made = embed(texts, "_of", embedder, kind, output, spread_by="_text")
+    made = stored(made.select("_text", output, "_rows"))
+    found = join_counted(there, made, "_text", "_rows", 4 * embedder.dimension + 64).drop("_rows")
+    none = keyed.where(F.col(text).isNull()).withColumn(output, F.lit(None).cast(VECTOR))
+    return found.unionByName(none).drop("_text")
+
+
 def _digests(words: pa.Array) -> np.ndarray:
     """MD5 of each word as a row of bytes, read from the words' Arrow buffers."""
     _, offsets, data = words.buffers()
@@ -126,7 +220,9 @@ def _digests(words: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
 
 
-def hashing_embedder(dimension: int = DIMENSION, batch_rows: int = 1024) -> Embedder:
+def hashing_embedder(
+    dimension: int = DIMENSION, batch_rows: int = 1024, batch_chars: int = 1 << 24
+) -> Embedder:
     """Words counted into ``dimension`` signed buckets by their MD5 hash.
 
     The first four bytes of a word's hash choose its bucket, the fifth its sign.
@@ -153,7 +249,7 @@ def hashing_embedder(dimension: int = DIMENSION, batch_rows: int = 1024) -> Embe
 
         return predict
 
-    return Embedder(load, dimension, batch_rows)
+    return Embedder(load, dimension, batch_rows, batch_chars, f"hashing-{dimension}")
 
 
 def sentence_transformer_embedder(
@@ -161,6 +257,7 @@ def sentence_transformer_embedder(
     dimension: int = DIMENSION,
     device: str | None = None,
     batch_rows: int = BATCH_ROWS,
+    batch_chars: int = BATCH_CHARS,
     revision: str | None = None,
     trust_remote_code: bool = False,
 ) -> Embedder:
@@ -180,4 +277,4 @@ def sentence_transformer_embedder(
         )
         return lambda texts: encoder.encode(list(texts), normalize_embeddings=True)
 
-    return Embedder(load, dimension, batch_rows)
+    return Embedder(load, dimension, batch_rows, batch_chars)

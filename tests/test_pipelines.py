@@ -1,5 +1,6 @@
 """Embedding, lookups, pipelines and streams."""
 
+import dataclasses
 import json
 
 import numpy as np
@@ -11,8 +12,10 @@ from pairwright.functions import l2_normalize
 from pairwright.operators.embed import (
     Embedder,
     embed,
+    embed_once,
     hashing_embedder,
     sentence_transformer_embedder,
+    text_batches,
 )
 from pairwright.operators.lookup import enrich, lookup, name_of, names_by_ids, row_of
 from pairwright.operators.metrics import append_metrics, chunk_plan, observed, run_metrics
@@ -83,6 +86,50 @@ def test_equal_texts_of_a_batch_are_embedded_once(spark, tmp_path):
     assert sorted(calls(log)[0]) == ["search_document: a", "search_document: b"]
 
 
+def test_batches_are_bounded_by_rows_and_characters():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        lengths = rng.integers(0, 40, int(rng.integers(0, 60)))
+        lengths[rng.random(len(lengths)) < 0.1] = 500
+        batches = list(text_batches(lengths, 7, 120))
+        assert sorted(np.concatenate(batches).tolist() if batches else []) == list(range(len(lengths)))
+        for batch in batches:
+            assert len(batch) <= 7
+            assert len(batch) == 1 or lengths[batch].max() * len(batch) <= 120
+
+
+def test_one_long_text_does_not_widen_the_others(spark, tmp_path):
+    log = str(tmp_path / "log")
+    texts = ["x" * 5000] + [f"t{i:02d}" for i in range(40)]
+    embedder = dataclasses.replace(recording(log, rows=16), batch_chars=16 * 30)
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").coalesce(1)
+    got = {r.n: r.vector for r in embed(df, "t", embedder).collect()}
+    assert sorted(len(call) for call in calls(log)) == [1, 8, 16, 16]
+    assert [len(call[0]) > 5000 for call in calls(log)] == [False, False, False, True]
+    for n, text in enumerate(texts):
+        assert got[n][0] / got[n][1] == pytest.approx(len("search_document: ") + len(text), rel=1e-6)
+
+
+def test_each_distinct_text_of_a_table_is_embedded_once(spark, tmp_path, monkeypatch):
+    """A third of the rows are one text; by broadcast and by shuffle."""
+    from pairwright.operators import joins
+
+    texts = [(i, "hot" if i % 3 == 0 else None if i % 50 == 1 else f"text {i % 40}") for i in range(300)]
+    df = spark.createDataFrame(texts, "n int, t string").repartition(5)
+    for fits in (1 << 20, 300):
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", fits)
+        log = str(tmp_path / f"log{fits}")
+        got = {r.n: r.vector for r in embed_once(df, "t", recording(log), kind="query").collect()}
+        asked = [t for call in calls(log) for t in call]
+        assert sorted(asked) == sorted({f"search_query: {t}" for _, t in texts if t is not None})
+        for n, text in texts:
+            if text is None:
+                assert got[n] is None
+            else:
+                assert got[n][0] / got[n][1] == pytest.approx(len("search_query: ") + len(text), rel=1e-6)
+        assert len(got) == 300
+
+
 def test_null_text_has_no_vector_and_no_rows_are_fine(spark):
     df = spark.createDataFrame([("a",), (None,)], "t string")
     got = {r.t: r.vector for r in embed(df, "t", hashing_embedder()).collect()}
@@ -336,6 +383,64 @@ def drain(spark, folder, table, checkpoint, name):
     stream_sync(feed, table, hashing_embedder(8), checkpoint, name=name, available_now=True).awaitTermination()
 
 
+def skill_rows(spark, embedder):
+    names = spark.createDataFrame([(ident(i), "skill " + "x" * i) for i in range(12)], "id string, name string")
+    return embed(names, "name", embedder).select("id", "name", "vector")
+
+
+def skill_requests(spark, n):
+    """A third of them ask the same, others alike but for the limit."""
+    hot = ("always", ["this"])
+    rows = [(f"r{i:03d}", *(hot if i % 3 == 0 else (f"about {i % 7}", [f"y{i % 5}"])), 3 + i % 2) for i in range(n)]
+    requests = spark.createDataFrame(rows, "request_id string, major_name string, specialty_names array<string>, limit int")
+    return accept_requests(requests, SKILL_REQUESTS)[0]
+
+
+def test_questions_are_embedded_and_answered_once(spark, tmp_path, monkeypatch):
+    from pairwright.operators import joins
+
+    skills = skill_rows(spark, recording(str(tmp_path / "skills")))
+    requests = skill_requests(spark, 90)
+    expected = sorted(map(tuple, recommend_skills(requests, skills, recording(str(tmp_path / "all"))).collect()))
+    assert len(expected) == sum(3 + i % 2 for i in range(90))
+    distinct = {t for call in calls(str(tmp_path / "all")) for t in call}
+    for fits in (1 << 20, 64 * 101 * 2):
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", fits)
+        log = str(tmp_path / f"log{fits}")
+        got = recommend_skills(requests, skills, recording(log), once=True)
+        assert sorted(map(tuple, got.collect())) == expected
+        asked = [t for call in calls(log) for t in call]
+        assert len(asked) == len(set(asked)) and set(asked) == distinct
+
+
+def test_one_pass_embeds_and_searches(spark, tmp_path):
+    """One Python node, and texts of a scan with enough splits are not shuffled."""
+    skills = skill_rows(spark, hashing_embedder())
+    cores = spark.sparkContext.defaultParallelism
+    path = str(tmp_path / "requests")
+    skill_requests(spark, 90).repartition(cores).write.parquet(path)
+    wide = recommend_skills(spark.read.parquet(path), skills, hashing_embedder())
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan and "Exchange" not in plan
+    skill_requests(spark, 90).coalesce(1).write.parquet(path + "1")
+    narrow = recommend_skills(spark.read.parquet(path + "1"), skills, hashing_embedder())
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1
+    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, narrow.collect()))
+
+
+@pytest.mark.parametrize("plan", ["requests", "grid"])
+def test_texts_are_embedded_for_large_sides_too(spark, plan):
+    from pairwright.operators.knn import nearest
+
+    skills = skill_rows(spark, hashing_embedder())
+    asked = skill_requests(spark, 30).select("request_id", "limit", F.col("major_name").alias("t"))
+    settings = {"embedder": hashing_embedder(), "text": "t"}
+    expected = sorted(map(tuple, nearest(asked, skills, plan="candidates", **settings).collect()))
+    got = nearest(asked, skills, plan=plan, **settings)
+    assert expected and sorted(map(tuple, got.collect())) == expected
+
+
 def test_stream_in_order_late_and_replayed_end_alike(spark, root, tmp_path):
     expected = {ident(1): "a2", ident(3): "c2"}
     for case, order in {"in_order": (0, 1, 2), "late": (2, 1, 0)}.items():

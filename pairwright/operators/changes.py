@@ -19,6 +19,13 @@ from pairwright.schemas import DELETE, OP, ORDER, SEQ, UPSERT
 
 # Ids that may be broadcast: 36 characters, a position and overhead, about 100 MB.
 BROADCAST_IDS = 1_000_000
+# Beyond that their filter is: words of 64 bits, broadcast as rows of some 40 bytes, and the bits
+# for each id. With fewer than the least bits left for each id it would let most rows through.
+FILTER_WORDS = 1 << 21
+FILTER_BITS = 16
+LEAST_BITS = 2
+# Bits an id sets in its word.
+SET_BITS = 4
 
 
 def position(rows: DataFrame) -> Column:
@@ -47,16 +54,58 @@ def live(rows: DataFrame) -> DataFrame:
     return rows.where(F.col(OP) == UPSERT)
 
 
+def _word(n_words: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(n_words)).alias("_word")
+
+
+def _mask() -> Column:
+    """The bits of an id in its word, from a hash of its own."""
+    drawn = F.xxhash64("id", F.lit("bits"))
+    one = F.lit(1).cast("long")
+    mask = None
+    for n in range(SET_BITS):
+        bit = F.shiftrightunsigned(drawn, 6 * n).bitwiseAND(F.lit(63).cast("long")).cast("int")
+        bit = F.call_function("shiftleft", one, bit)
+        mask = bit if mask is None else mask.bitwiseOR(bit)
+    return mask
+
+
+def split_by_filter(base: DataFrame, changes: DataFrame, n_changes: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``base`` that certainly have no change, and the others, which are those with a
+    change and few besides. Neither is shuffled.
+
+    A Bloom filter of the changed ids is made by an aggregation and broadcast: every id has one
+    word of 64 bits, so that a row looks in one place, and sets a few bits there.
+    """
+    n_words = min(FILTER_WORDS, max(1, n_changes * FILTER_BITS // 64))
+    words = changes.select(_word(n_words), _mask().alias("_mask"))
+    words = words.groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    marked = base.withColumn("_word", _word(n_words)).join(F.broadcast(words), "_word", "left")
+    mask = _mask()
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(mask) == mask, F.lit(False))
+    return (
+        marked.where(~maybe).select(*base.columns),
+        marked.where(maybe).select(*base.columns),
+    )
+
+
 def fold(base: DataFrame, changes: DataFrame, n_changes: int | None = None) -> DataFrame:
     """``base``, one row per id, with ``changes`` applied; tombstones included.
 
     The base is scanned, not shuffled, when ``n_changes`` proves that the changed ids fit
-    a broadcast. Otherwise both joins are on ``id`` and share their exchanges.
+    a broadcast. With more changes only rows that a filter of their ids lets through are shuffled,
+    once, together with the changes; without a count, or with too many for a filter, all rows are.
     """
+    if n_changes is None or n_changes > BROADCAST_IDS:
+        untouched = None
+        if n_changes is not None and n_changes * LEAST_BITS <= FILTER_WORDS * 64:
+            untouched, base = split_by_filter(base, changes, n_changes)
+        # Of equals the change counts: it came later.
+        both = base.withColumn("_change", F.lit(0)).unionByName(changes.withColumn("_change", F.lit(1)))
+        folded = newest(both, order=F.struct(position(changes), F.col("_change"))).drop("_change")
+        return folded if untouched is None else untouched.unionByName(folded)
     latest = newest(changes)
-    marks = latest.select("id", position(latest).alias("_position"))
-    if n_changes is not None and n_changes <= BROADCAST_IDS:
-        marks = F.broadcast(marks)
+    marks = F.broadcast(latest.select("id", position(latest).alias("_position")))
     # Of equals the change counts: it came later.
     stays = F.col("_position").isNull() | (position(base) > F.col("_position"))
     kept = base.join(marks, "id", "left").where(stays).drop("_position")

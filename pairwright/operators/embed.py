@@ -24,7 +24,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.accumulators import Accumulator
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.errors import EmbeddingError
@@ -50,6 +51,20 @@ WORD_BREAKS = r"[^\p{L}\p{N}\p{M}]+"
 Predict = Callable[[np.ndarray], np.ndarray]
 
 
+@dataclass(frozen=True)
+class Tally:
+    """Rows with a text of a run, the texts in its model calls and these calls, added up by the
+    tasks; a task that is repeated counts again."""
+
+    rows: Accumulator
+    texts: Accumulator
+    calls: Accumulator
+
+    @staticmethod
+    def of(spark: SparkSession) -> Tally:
+        return Tally(*[spark.sparkContext.accumulator(0) for _ in range(3)])
+
+
 @dataclass(frozen=True)
 class Embedder:
     """``load()`` runs once per Python worker and returns the batch function."""
@@ -59,6 +74,7 @@ class Embedder:
     batch_rows: int = BATCH_ROWS
     batch_chars: int = BATCH_CHARS
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
+    tally: Tally | None = None
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -124,6 +140,11 @@ def unit_vectors(embedder: Embedder, texts: pa.Array) -> np.ndarray:
                 f"expected ({len(batch)}, {embedder.dimension})"
             )
         vectors[batch] = unit_rows(made)
+        if embedder.tally:
+            embedder.tally.calls.add(1)
+            embedder.tally.texts.add(len(batch))
+    if embedder.tally:
+        embedder.tally.rows.add(len(texts) - texts.null_count)
     codes = coded.indices.to_numpy()
     if len(codes):
         _last[embedder.name] = distinct[codes[-1]], vectors[codes[-1]].copy()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,15 +50,16 @@ def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return df.observe(observation, F.count(F.lit(1)).alias("n_rows")), observation
 
 
-def append_metrics(
-    spark: SparkSession, path: str, run: str, stage: str, n_rows: int, chunk_rows: int = BATCH_ROWS
-) -> None:
-    """Append one figure to the table of runs."""
-    row = spark.range(1).select(
-        F.lit(run).alias("run"),
-        F.lit(stage).alias("stage"),
-        F.lit(n_rows).cast("long").alias("n_rows"),
-        chunk_count(F.lit(n_rows), chunk_rows).alias("n_chunks"),
-        F.current_timestamp().alias("at"),
+RUN = (
+    "run string, stage string, n_rows long, n_rejected long, n_chunks long, n_texts long, "
+    "n_calls long, at timestamp"
+)
+
+
+def append_run(spark: SparkSession, path: str, figures: dict) -> None:
+    """Append the figures of one run, as a commit has them, to the table of runs: one small file."""
+    row = (
+        *[figures.get(name) for name in ("run", "stage", "rows", "rejected", "chunks", "texts", "calls")],
+        datetime.fromisoformat(figures["at"]),
     )
-    row.write.mode("append").parquet(path)
+    spark.createDataFrame([row], RUN).coalesce(1).write.mode("append").parquet(path)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.operators.changes import newest
-from pairwright.operators.embed import Embedder, embed
-from pairwright.operators.metrics import append_metrics
+from pairwright.operators.embed import BATCH_ROWS, Embedder, Tally, embed
+from pairwright.operators.metrics import append_run
 from pairwright.operators.validate import id_problems, split
 from pairwright.functions import canonical_uuid
 from pairwright.schemas import DELETE, OP, SEQ, EntitySpec
 from pairwright.sources.payloads import PLACE
-from pairwright.sources.store import VersionedTable
+from pairwright.sources.store import Note, VersionedTable
 
 
 def given_order(commands: DataFrame) -> Column:
@@ -46,6 +49,26 @@ def vectorize(
     return rows.select(*spec.columns, *kept)
 
 
+def _counted(table: VersionedTable, embedder: Embedder, run: str, stage: str) -> tuple[Embedder, Note]:
+    """The embedder with its calls counted, and what a commit says about the run.
+
+    Rows and rejects are counted by the write; texts and model calls by the tasks that make them;
+    chunks are those of ``BATCH_ROWS`` rows that all rows with a text fill.
+    """
+    tally = Tally.of(table.spark)
+
+    def note() -> dict:
+        return {
+            "run": run,
+            "stage": stage,
+            "texts": tally.texts.value,
+            "calls": tally.calls.value,
+            "chunks": -(-tally.rows.value // BATCH_ROWS),
+        }
+
+    return replace(embedder, tally=tally), note
+
+
 def sync(
     table: VersionedTable,
     commands: DataFrame,
@@ -55,19 +78,21 @@ def sync(
 ) -> dict:
     """Upsert (and delete) by commands. Raises before anything is committed on failure.
 
-    ``metrics`` names a run and the folder of the table its figures are appended to.
+    The commit holds the run's figures, see `VersionedTable.runs`. ``metrics`` names the run and the
+    folder of a table they are appended to as well.
     """
-    state = table.merge(vectorize(commands, table.spec, embedder), batch, unique=True)
-    _record(table, state, metrics, "sync")
+    run = metrics[0] if metrics else f"{batch[0]} {batch[1]}" if batch else uuid.uuid4().hex
+    embedder, note = _counted(table, embedder, run, f"sync {table.spec.table}")
+    state = table.merge(vectorize(commands, table.spec, embedder), batch, unique=True, note=note)
+    _record(table, state, run, metrics)
     table.maintain()
     return state
 
 
-def _record(table: VersionedTable, state: dict, metrics: tuple[str, str] | None, stage: str) -> None:
-    if metrics:
-        run, path = metrics
-        for what, rows in state["last"].items():
-            append_metrics(table.spark, path, run, f"{stage} {table.spec.table} {what}", rows)
+def _record(table: VersionedTable, state: dict, run: str, metrics: tuple[str, str] | None) -> None:
+    """Append the figures of a run that made a version."""
+    if metrics and state["last"].get("run") == run:
+        append_run(table.spark, metrics[1], state["last"])
 
 
 def delete_commands(table: VersionedTable, commands: DataFrame) -> tuple[dict, DataFrame]:
@@ -91,6 +116,9 @@ def bulk_sync(
     The version is promoted after everything is written. When a stage fails the error is
     raised and the live version stays. No commands at all change nothing.
     """
-    state = table.replace(vectorize(commands, table.spec, embedder, clustered=True), unique=True)
-    _record(table, state, metrics, "bulk_sync")
+    run = metrics[0] if metrics else uuid.uuid4().hex
+    embedder, note = _counted(table, embedder, run, f"bulk_sync {table.spec.table}")
+    rows = vectorize(commands, table.spec, embedder, clustered=True)
+    state = table.replace(rows, unique=True, note=note)
+    _record(table, state, run, metrics)
     return state

@@ -9,9 +9,11 @@ A merge writes only its changes. Readers fold them into the base. `maintain` mer
 sets into larger ones and, when changes have grown to a share of the base, writes a new base;
 neither changes what is read. Replacement writes a new base and forgets the old rows.
 
-Rows that cannot be stored are set aside in the same write, with the version that lists them:
+Rows that cannot be stored are set aside in the same write, and the commit made by it lists them:
 changes with a ``seq`` from before the last replacement, and live rows whose vector is missing, of
-the wrong size or not finite. `rejected` returns them with their reason.
+the wrong size or not finite. `rejected` returns them with their reason, `runs` the figures of
+every write, as long as their versions are kept. A commit lists nothing of earlier ones but the
+folders that are read, so it does not grow with their number, and `maintain` forgets old ones.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from __future__ import annotations
 import json
 import logging
 import uuid
+from collections.abc import Callable
+from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.errors import EmbeddingError, MatchmakingError, StoreError
@@ -42,6 +46,12 @@ FATE = "_fate"
 STORED, LATE, VECTOR_FAULT = "stored", "late", "vector"
 FAULTS = {LATE: "seq: before the last replacement", VECTOR_FAULT: "vector: unusable"}
 WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+# Versions that maintenance keeps; it forgets older ones when there are twice as many.
+KEPT_VERSIONS = 200
+RUNS = (
+    "version long, last struct<run: string, stage: string, rows: long, rejected: long, "
+    "chunks: long, texts: long, calls: long, at: timestamp>"
+)
 
 NOTHING = {
     "version": 0,
@@ -58,6 +68,10 @@ NOTHING = {
 }
 
 
+# Figures that are known once a write has run.
+Note = Callable[[], dict]
+
+
 def staged(error: Exception, what: str) -> MatchmakingError:
     """The error of a failed job, by the stage that failed."""
     if isinstance(error, MatchmakingError):
@@ -89,19 +103,27 @@ class VersionedTable:
         self.spec = spec
         self.path = f"{root.rstrip('/')}/{spec.table}"
         self._files = FileSystem(spark, root)
+        # One open file per fate, so that rows need no sorting by it and keep their order.
+        if int(spark.conf.get(WRITERS)) <= len(FAULTS):
+            spark.conf.set(WRITERS, len(FAULTS) + 1)
 
     # -- versions ---------------------------------------------------------
 
     def state(self) -> dict:
         """The newest commit."""
-        names = [n for n in self._files.names(f"{self.path}/commits") if n.endswith(".json")]
-        if not names:
-            return json.loads(json.dumps(NOTHING))
-        return json.loads(self._files.read_text(f"{self.path}/commits/{names[-1]}"))
+        names = self._commits()
+        return self._read(names[-1]) if names else json.loads(json.dumps(NOTHING))
+
+    def _commits(self) -> list[str]:
+        return [n for n in self._files.names(f"{self.path}/commits") if n.endswith(".json")]
+
+    def _read(self, commit: str) -> dict:
+        return json.loads(self._files.read_text(f"{self.path}/commits/{commit}"))
 
     def _commit(self, before: dict, **changes) -> dict | None:
         """The new state; None where another writer was first."""
-        after = {**before, **changes, "version": before["version"] + 1}
+        own = {"rejected": [], "last": {}}
+        after = {**before, **own, **changes, "version": before["version"] + 1}
         path = f"{self.path}/commits/{after['version']:012d}.json"
         return after if self._files.create_text(path, json.dumps(after)) else None
 
@@ -117,27 +139,32 @@ class VersionedTable:
         return fate.otherwise(STORED)
 
     def _write(self, rows: DataFrame, kind: str, floor: int | None = None) -> tuple[str, dict]:
-        """Write rows to a new folder; the folder and, by fate, what was written as read back."""
+        """Write rows to a new folder; the folder and, by fate, figures of what was written.
+
+        The write itself counts: nothing is read again.
+        """
         folder = f"{kind}-{uuid.uuid4().hex}"
         columns = [F.col(f.name).cast(f.dataType) for f in self.spec.table_schema]
         rows = rows.select(*columns).withColumn(FATE, self._fate(floor))
-        before = self.spark.conf.get(WRITERS)
+        seen = Observation()
+        figures = []
+        for fate in (STORED, *FAULTS):
+            own = F.col(FATE) == fate
+            figures += [
+                F.count_if(own).alias(f"{fate}_rows"),
+                F.max(F.when(own, F.col(SEQ))).alias(f"{fate}_seq"),
+                F.max(F.when(own, F.col(EPOCH))).alias(f"{fate}_epoch"),
+            ]
         try:
-            # One open file per fate, so that rows need no sorting by it and keep their order.
-            self.spark.conf.set(WRITERS, len(FAULTS) + 1)
-            rows.write.partitionBy(FATE).parquet(f"{self.path}/data/{folder}")
-            counts = (
-                self.spark.read.schema(rows.schema)
-                .parquet(f"{self.path}/data/{folder}")
-                .groupBy(FATE)
-                .agg(F.count("*").alias("rows"), F.max(SEQ).alias("seq"), F.max(EPOCH).alias("epoch"))
-                .collect()
-            )
+            rows.observe(seen, *figures).write.partitionBy(FATE).parquet(f"{self.path}/data/{folder}")
         except Exception as error:
             raise staged(error, f"{self.spec.table}: write of {kind}") from error
-        finally:
-            self.spark.conf.set(WRITERS, before)
-        return folder, {row[FATE]: row for row in counts}
+        found = seen.get
+        return folder, {
+            fate: {name: found[f"{fate}_{name}"] for name in ("rows", "seq", "epoch")}
+            for fate in (STORED, *FAULTS)
+            if found[f"{fate}_rows"]
+        }
 
     def _scan(self, *folders: str, fate: str = STORED) -> DataFrame:
         paths = [f"{self.path}/data/{folder}/{FATE}={fate}" for folder in folders]
@@ -164,13 +191,23 @@ class VersionedTable:
         """Rows that were not stored, with the ``reason`` and the ``version`` they came with."""
         found = self.spark.createDataFrame([], self.spec.table_schema)
         found = found.select("*", F.lit("").alias("reason"), F.lit(0).alias("version"))
-        for folder, fate, _, version in self.state()["rejected"]:
-            rows = self._scan(folder, fate=fate)
-            found = found.union(
-                rows.select("*", F.lit(FAULTS[fate]).alias("reason"), F.lit(version).alias("version"))
-            )
+        for commit in self._commits():
+            state = self._read(commit)
+            for folder, fate, _ in state["rejected"]:
+                rows = self._scan(folder, fate=fate)
+                reason, version = F.lit(FAULTS[fate]), F.lit(state["version"])
+                found = found.union(rows.select("*", reason.alias("reason"), version.alias("version")))
         return found
 
+    def runs(self) -> DataFrame:
+        """Figures of the writes that made the versions kept: ``version, run, stage, rows, rejected,
+        chunks, texts, calls, at``. Maintenance, which stores nothing new, has none."""
+        if not self._commits():
+            commits = self.spark.createDataFrame([], RUNS)
+        else:
+            commits = self.spark.read.schema(RUNS).json(f"{self.path}/commits/*.json")
+        return commits.where("last.rows is not null").select("version", "last.*")
+
     def row_bound(self) -> int:
         """No more rows than this, without reading any."""
         state = self.state()
@@ -190,17 +227,27 @@ class VersionedTable:
         )
 
     @staticmethod
-    def _figures(written: dict) -> dict:
-        """What one write stored and set aside."""
+    def _figures(written: dict, note: Note | None) -> dict:
+        """What one write stored and set aside, with what its caller has to add."""
         rows = {fate: row["rows"] for fate, row in written.items()}
-        return {"rows": rows.get(STORED, 0), "rejected": sum(rows.values()) - rows.get(STORED, 0)}
+        stored = rows.get(STORED, 0)
+        return {
+            "rows": stored,
+            "rejected": sum(rows.values()) - stored,
+            "at": datetime.now(timezone.utc).isoformat(),
+            **(note() if note else {}),
+        }
 
     @staticmethod
-    def _set_aside(folder: str, written: dict, version: int) -> list:
-        return [[folder, fate, row["rows"], version] for fate, row in written.items() if fate in FAULTS]
+    def _set_aside(folder: str, written: dict) -> list:
+        return [[folder, fate, row["rows"]] for fate, row in written.items() if fate in FAULTS]
 
     def merge(
-        self, changes: DataFrame, batch: tuple[str, int] | None = None, unique: bool = False
+        self,
+        changes: DataFrame,
+        batch: tuple[str, int] | None = None,
+        unique: bool = False,
+        note: Note | None = None,
     ) -> dict:
         """Upsert rows by id and delete those marked so.
 
@@ -208,7 +255,7 @@ class VersionedTable:
         one merge the last as read. ``batch`` names a stream and its batch: one that is already
         in is skipped, so a replay changes nothing. An empty input makes no version. ``unique``
         says that no id comes twice. Changes with a ``seq`` from before the last replacement are
-        rejected.
+        rejected. ``note`` gives further figures of the run for the commit.
         """
         state = self.state()
         folder = written = None
@@ -234,10 +281,8 @@ class VersionedTable:
                 high_seq=max(state["high_seq"], stored["seq"] if rows and stored["seq"] is not None else -1),
                 epoch=max(state["epoch"], stored["epoch"] if rows else 0),
                 batches={**state["batches"], batch[0]: batch[1]} if batch else state["batches"],
-                last=self._figures(written),
-                rejected=[
-                    *state["rejected"], *self._set_aside(folder, written, state["version"] + 1)
-                ],
+                last=self._figures(written, note),
+                rejected=self._set_aside(folder, written),
             )
             if after:
                 return after
@@ -254,7 +299,7 @@ class VersionedTable:
         ids = ids.select("id", *[c for c in (SEQ,) if c in ids.columns]).where("id is not null")
         return self.merge(tombstones(ids, self.spark.createDataFrame([], self.spec.table_schema)))
 
-    def replace(self, rows: DataFrame, unique: bool = False) -> dict:
+    def replace(self, rows: DataFrame, unique: bool = False, note: Note | None = None) -> dict:
         """Make ``rows`` the whole table. An empty input makes no version.
 
         Of an id that comes twice the highest ``seq`` counts. The rows then take the place
@@ -284,10 +329,8 @@ class VersionedTable:
                 changes=[],
                 change_rows=0,
                 floor=state["high_seq"],
-                last=self._figures(written),
-                rejected=[
-                    *state["rejected"], *self._set_aside(folder, written, state["version"] + 1)
-                ],
+                last=self._figures(written, note),
+                rejected=self._set_aside(folder, written),
             )
             if after:
                 return after
@@ -303,9 +346,11 @@ class VersionedTable:
             state = self.state()
             most = max(self.compact_above, int(BASE_SHARE * state["base_rows"]))
             if state["change_rows"] > most:
-                return self.compact()
+                state = self.compact()
             if len(state["changes"]) > MAX_CHANGE_SETS:
-                return self._merge_change_sets(state)
+                state = self._merge_change_sets(state)
+            if state["version"] % KEPT_VERSIONS == 0 and len(self._commits()) >= 2 * KEPT_VERSIONS:
+                self.vacuum(KEPT_VERSIONS)
             return state
         except Exception:
             log.exception("%s: maintenance failed; the table is as it was", self.spec.table)
@@ -361,11 +406,11 @@ class VersionedTable:
         """
 
         def named(commit: str) -> set[str]:
-            state = json.loads(self._files.read_text(f"{self.path}/commits/{commit}"))
+            state = self._read(commit)
             folders = [folder for folder, *_ in (*state["changes"], *state["rejected"])]
             return {folder for folder in (state["base"], *folders) if folder}
 
-        commits = [n for n in self._files.names(f"{self.path}/commits") if n.endswith(".json")]
+        commits = self._commits()
         old, kept = commits[:-keep], commits[-keep:]
         unused = set().union(*map(named, old)) - set().union(*map(named, kept))
         for folder in sorted(unused):

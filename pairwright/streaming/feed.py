@@ -23,12 +23,14 @@ def stream_sync(
     name: str = "sync",
     available_now: bool = False,
     interval: str = "10 seconds",
+    metrics: str | None = None,
 ) -> StreamingQuery:
     """Start folding an unpacked change feed into ``table``.
 
     A batch's rejected changes, if any, go to ``<table>/rejected/<name>-<batch>`` as Parquet. The batch number
     is committed with the table, so a replayed batch is skipped there and only rewrites its
-    own rejects. ``available_now`` takes what has landed and stops: background ingestion.
+    own rejects. ``available_now`` takes what has landed and stops: background ingestion. The commits
+    hold every batch's figures; ``metrics`` names the folder of a table to append them to as well.
     """
 
     def fold_batch(batch: DataFrame, number: int) -> None:
@@ -39,7 +41,8 @@ def stream_sync(
                 rejected.write.mode("overwrite").parquet(
                     f"{table.path}/rejected/{name}-{number:012d}"
                 )
-            sync(table, valid, embedder, (name, number))
+            figures = (f"{name} {number}", metrics) if metrics else None
+            sync(table, valid, embedder, (name, number), figures)
         finally:
             batch.unpersist()
 

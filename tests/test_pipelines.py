@@ -18,7 +18,7 @@ from pairwright.operators.embed import (
     text_batches,
 )
 from pairwright.operators.lookup import enrich, lookup, name_of, names_by_ids, row_of
-from pairwright.operators.metrics import append_metrics, chunk_plan, observed, run_metrics
+from pairwright.operators.metrics import append_run, chunk_plan, observed, run_metrics
 from pairwright.plans.recommend import id_lists, recommend_projects, recommend_skills, suggest_professors
 from pairwright.plans.sync import bulk_sync, sync
 from pairwright.schemas import (
@@ -249,9 +249,10 @@ def test_metrics(spark, tmp_path):
     counted.write.parquet(str(tmp_path / "out"))
     assert observation.get == {"n_rows": 300}
     for n in (300, 5):
-        append_metrics(spark, str(tmp_path / "runs"), "r1", "bulk", n)
+        figures = {"run": "r1", "stage": "bulk", "rows": n, "chunks": -(-n // 128), "at": "2024-05-06T07:08:09+00:00"}
+        append_run(spark, str(tmp_path / "runs"), figures)
     runs = spark.read.parquet(str(tmp_path / "runs"))
-    assert sorted((r.n_rows, r.n_chunks) for r in runs.collect()) == [(5, 1), (300, 3)]
+    assert sorted((r.n_rows, r.n_chunks, r.n_calls) for r in runs.collect()) == [(5, 1, None), (300, 3, None)]
 
 
 # -- pipelines ---------------------------------------------------------------------
@@ -479,18 +480,44 @@ def test_enrich_by_map_and_by_join(spark, monkeypatch):
 
 
 def test_runs_record_their_figures(spark, root, tmp_path):
-    table = VersionedTable(spark, root, SKILLS)
-    rows = spark.createDataFrame([(ident(n), f"skill {n}") for n in range(300)], "id string, name string")
+    table = VersionedTable(spark, root, SKILLS, dimension=8)
+    assert table.runs().count() == 0
+    named = [(ident(n), f"skill {n % 200}") for n in range(300)]
+    rows = spark.createDataFrame(named, "id string, name string").coalesce(1)
     path = str(tmp_path / "metrics")
-    bulk_sync(table, rows, hashing_embedder(8), metrics=("run 1", path))
+    bulk_sync(table, rows, hashing_embedder(8, batch_rows=50), metrics=("run 1", path))
     sync(table, rows.limit(2), hashing_embedder(8), metrics=("run 2", path))
-    got = {(r.run, r.stage): (r.n_rows, r.n_chunks) for r in spark.read.parquet(path).collect()}
-    assert got == {
-        ("run 1", "bulk_sync skills rows"): (300, 3),
-        ("run 1", "bulk_sync skills rejected"): (0, 0),
-        ("run 2", "sync skills rows"): (2, 1),
-        ("run 2", "sync skills rejected"): (0, 0),
+    late = rows.limit(3).select(F.concat(F.lit("x"), "id").alias("id"), "name", F.lit(-1).cast("long").alias("seq"))
+    sync(table, late, hashing_embedder(8), metrics=("run 3", path))
+    expected = {
+        ("run 1", "bulk_sync skills", 300, 0, 3, 200, 4),
+        ("run 2", "sync skills", 2, 0, 1, 2, 1),
+        ("run 3", "sync skills", 0, 3, 1, 3, 1),
     }
+    names = ("run", "stage", "n_rows", "n_rejected", "n_chunks", "n_texts", "n_calls")
+    appended = spark.read.parquet(path)
+    assert {tuple(r[n] for n in names) for r in appended.collect()} == expected
+    names = ("run", "stage", "rows", "rejected", "chunks", "texts", "calls")
+    assert {tuple(r[n] for n in names) for r in table.runs().collect()} == expected
+    # A run that changes nothing makes no version and has no figures.
+    sync(table, rows.limit(0), hashing_embedder(8), metrics=("run 4", path))
+    assert spark.read.parquet(path).count() == 3
+    # Maintenance makes versions without figures.
+    table.compact()
+    assert table.runs().count() == 3
+
+
+def test_batches_of_a_stream_record_their_figures(spark, root, tmp_path):
+    table = VersionedTable(spark, root, SKILLS)
+    path = str(tmp_path / "metrics")
+    for place, number in enumerate((0, 1, 2)):
+        land(tmp_path / "landing", f"{place}.json", *FILES[number])
+        feed = read_feed(spark, SKILLS, str(tmp_path / "landing"))
+        stream_sync(feed, table, recording(str(tmp_path / "log")), str(tmp_path / "progress"), "s", True, metrics=path).awaitTermination()
+    appended = sorted((r.run, r.n_rows, r.n_texts) for r in spark.read.parquet(path).collect())
+    assert [run for run, _, _ in appended] == ["s 0", "s 1", "s 2"]
+    assert sum(texts for _, _, texts in appended) == sum(len(set(call)) for call in calls(str(tmp_path / "log")))
+    assert sorted((r.run, r.rows, r.texts) for r in table.runs().collect()) == appended
 
 
 def test_enrich_treats_null_names_and_repeated_ids_alike_in_both_plans(spark, monkeypatch):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwright.errors import StoreError
+from pairwright.operators import changes
 from pairwright.operators.changes import delete, fold, live, merge, newest
 from pairwright.schemas import PROJECTS, SKILLS, VECTOR
 from pairwright.sources.store import VersionedTable
@@ -235,6 +236,38 @@ def test_many_change_sets_are_compacted_and_old_data_vacuumed(spark, root, monke
     assert t.vacuum(keep=1) == []
 
 
+def test_commits_do_not_grow_with_their_number(spark, root, monkeypatch):
+    """A thousand merges with rejects each: commits stay small, old ones are forgotten."""
+    from pairwright.sources import store
+
+    t = table(spark, root)
+    t.replace(rows(spark, ("a", "1")))
+    # The same write stands for all: what is tested is what commits say.
+    folder, written = t._write(
+        t._sequenced(rows(spark, ("b", "1", 1), ("c", "1", 2, "U")[:3]), t.state())
+        .withColumn("vector", F.when(F.col("id") == "b", F.col("vector"))), "changes",
+    )
+    assert {fate: row["rows"] for fate, row in written.items()} == {"stored": 1, "vector": 1}
+    monkeypatch.setattr(t, "_write", lambda *given: (folder, written))
+    monkeypatch.setattr(t, "_merge_change_sets", lambda state: t._commit(state, changes=state["changes"][-1:]) or state)
+    monkeypatch.setattr(t, "compact", lambda: t.state())
+    sizes, n_commits = [], []
+    changes_of = rows(spark, ("b", "1", 1))
+    monkeypatch.setattr(t, "_sequenced", lambda rows, state: rows)
+    monkeypatch.setattr(store, "newest", lambda rows, order=None: rows)
+    monkeypatch.setattr(store, "KEPT_VERSIONS", 50)
+    for n in range(1000):
+        t.merge(changes_of, (f"stream{n % 3}", n))
+        state = t.maintain()
+        if n % 50 == 49:
+            names_of = t._commits()
+            n_commits.append(len(names_of))
+            sizes.append(len(t._files.read_text(f"{t.path}/commits/{names_of[-1]}")))
+    assert max(sizes[1:]) <= min(sizes[1:]) + 1500
+    assert max(n_commits) <= 2 * 50 + 60
+    assert state["version"] > 1000 and len(state["batches"]) == 3
+
+
 def test_fold_scans_a_large_base_without_a_shuffle(spark, root):
     t = table(spark, root)
     t.replace(rows(spark, *[(f"k{n}", "x") for n in range(50)]))
@@ -248,6 +281,45 @@ def test_fold_scans_a_large_base_without_a_shuffle(spark, root):
     assert names(t) == {**{f"k{n}": "x" for n in range(50)}, "k1": "y"}
 
 
+def test_unchanged_rows_of_a_large_merge_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """More changes than may be broadcast: a filter of their ids keeps other rows out of the join."""
+    path = str(tmp_path / "base")
+    base = spark.range(20_000).select(
+        F.concat(F.lit("id-"), "id").alias("id"), F.col("id").alias("seq"), F.lit("U").alias("op"), F.lit("old").alias("v")
+    )
+    base.write.parquet(path)
+    changed = spark.range(500).select((F.col("id") * 41).alias("n"))
+    rows = changed.select(
+        F.concat(F.lit("id-"), "n").alias("id"),
+        # A third are late, a third level with the stored row, a third new; some ids are unknown.
+        (F.col("n") + F.col("n") % 3 - 1).alias("seq"),
+        F.when(F.col("n") % 5 == 0, "D").otherwise("U").alias("op"),
+        F.lit("new").alias("v"),
+    )
+    rows = rows.union(rows.limit(50)).cache()
+    base = spark.read.parquet(path)
+    expected = sorted(map(tuple, changes.fold(base, rows, rows.count()).collect()))
+    assert sum(row[3] == "new" for row in expected) > 200
+    monkeypatch.setattr(changes, "BROADCAST_IDS", 100)
+    n = rows.count()
+    untouched, touched = changes.split_by_filter(base, rows, n)
+    known = rows.join(base, "id", "left_semi").select("id").distinct().count()
+    assert known <= touched.count() <= known + 0.01 * 20_000
+    assert untouched.count() + touched.count() == 20_000
+    for part in (untouched, touched):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    folded = changes.fold(base, rows, n)
+    assert sorted(map(tuple, folded.collect())) == expected
+    for count in (None, 10**9):  # without a filter
+        assert sorted(map(tuple, changes.fold(base, rows, count).collect())) == expected
+    # Few bits for each id let more rows through, and lose none.
+    monkeypatch.setattr(changes, "FILTER_WORDS", 40)
+    monkeypatch.setattr(changes, "LEAST_BITS", 1)
+    assert changes.split_by_filter(base, rows, n)[1].count() > 2 * known
+    assert sorted(map(tuple, changes.fold(base, rows, n).collect())) == expected
+
+
 def test_newest_cuts_a_hot_key_before_the_shuffle(spark):
     hot = spark.range(3000).selectExpr(
         "if(id % 3 = 0, 'hot', concat('k', id)) as id", "id as seq", "'U' as op"

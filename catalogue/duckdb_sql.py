@@ -317,6 +317,13 @@ select doc_id, {with_period('t')} as description from given""",
   cast(row_number() over (partition by place // 50 order by place) - 1 as integer) as pos,
   id, full_name, coalesce(major_name, 'Undeclared') as major_name,
   coalesce(array_to_string(skill_names, '|'), '') as skills,
+  cast(coalesce(len(skill_names), 0) + coalesce(len(specialty_names), 0) as integer) as n_ids from students"""
+        ),
+        "stream_bulk_items": over(
+            """select place // 50 as payload,
+  cast(row_number() over (partition by place // 50 order by place) - 1 as integer) as pos,
+  id, full_name, coalesce(major_name, 'Undeclared') as major_name,
+  coalesce(array_to_string(skill_names, '|'), '') as skills,
   cast(coalesce(len(skill_names), 0) + coalesce(len(specialty_names), 0) as integer) as n_ids from students"""
         ),
         "json_commands": over(
@@ -369,6 +376,14 @@ select vec_id, """ + SHOWN + " as vector from unit where x <> 0 group by vec_id"
         f"select doc_id, {SHOWN} as vector from v group by doc_id",
         "hash_embed_query": f"with {embedded('v', 'select conv_id, turn, text from conversations', QUERY, 'conv_id, turn')} "
         f"select conv_id, turn, {SHOWN} as vector from v group by conv_id, turn",
+        "hash_embed_once": f"with {embedded('v', 'select conv_id, turn, text from conversations', QUERY, 'conv_id, turn')} "
+        f"select conv_id, turn, {SHOWN} as vector from v group by conv_id, turn",
+        "embed_batches": "select doc_id, true as rows_kept, true as chars_kept from documents",
+        "compact_projects": over(
+            """select id, case when place % 3 = 0 then upper(title) else title end as title
+from projects where place % 5 <> 0"""
+        ),
+        "failed_bulk_sync": over("select id, name, 'skills: write of base: embedding failed' as error from skills"),
         "table_scan": over("select id, full_name, rank from professors where is_accepting_projects"),
         "merge_upsert": over(
             """select id, cast(-1 as bigint) as seq, full_name as payload from students
@@ -503,7 +518,7 @@ from projects"""
         ),
         "run_metrics": over(
             " union all ".join(
-                f"select '{stage}' as stage, count(*) as n_rows, "
+                f"select '{stage}' as stage, count(*) as n_rows, cast(0 as bigint) as n_rejected, "
                 f"cast(ceil(count(*) / 128.0) as integer) as n_chunks from {source}"
                 for stage, source in (
                     ("skills", "skills"),

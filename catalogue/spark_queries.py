@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalogue import derived as d
+from pairwright.errors import EmbeddingError, StoreError
 from pairwright.functions import (
     advisor_query,
     canonical_uuid,
@@ -28,10 +29,17 @@ from pairwright.functions import (
 )
 from pairwright.functions import wording as w
 from pairwright.operators import changes as keyed
-from pairwright.operators.embed import embed, hashing_embedder
+from pairwright.operators.embed import (
+    BATCH_CHARS,
+    BATCH_ROWS,
+    Embedder,
+    embed,
+    embed_once,
+    hashing_embedder,
+)
 from pairwright.operators.knn import nearest, nearest_one
 from pairwright.operators.lookup import enrich, lookup, name_of, names_by_ids
-from pairwright.operators.metrics import chunk_plan, run_metrics
+from pairwright.operators.metrics import chunk_plan
 from pairwright.operators.validate import command_problems, request_problems
 from pairwright.plans.recommend import (
     id_lists,
@@ -51,6 +59,7 @@ from pairwright.schemas import (
     VECTOR,
     EntitySpec,
 )
+from pairwright.sources.bulkitems import explode_streamed
 from pairwright.sources.payloads import (
     accept,
     accept_requests,
@@ -299,6 +308,23 @@ def explode_bulk_items(spark, sf_dir):
     )
 
 
+@query
+def stream_bulk_items(spark, sf_dir):
+    """The same payloads written as JSON lines and read item by item."""
+    path = f"{scratch_root(spark)}/payloads"
+    payloads(spark, sf_dir).select(F.col("payload").alias("seq"), "items").write.json(path)
+    commands, _ = explode_streamed(spark, STUDENTS, path)
+    return commands.select(
+        F.col("seq").alias("payload"),
+        "pos",
+        "id",
+        "full_name",
+        "major_name",
+        listed("skill_names").alias("skills"),
+        (F.size("skill_ids") + F.size("specialty_ids")).cast("int").alias("n_ids"),
+    )
+
+
 @query
 def json_commands(spark, sf_dir):
     """Single commands written as JSON lines, read back, validated and typed."""
@@ -396,6 +422,45 @@ def hash_embed_query(spark, sf_dir):
     )
 
 
+@query
+def hash_embed_once(spark, sf_dir):
+    """All turns with each distinct text of the table embedded once."""
+    turns = d.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return embed_once(turns, "text", hashing_embedder(), kind="query").select(
+        "conv_id", "turn", d.digest("vector").alias("vector")
+    )
+
+
+def call_shape() -> Embedder:
+    """A stand-in for a model whose vectors tell the call: its texts and their padded size."""
+
+    def load():
+        import numpy as np
+
+        def predict(texts):
+            width = max(len(text) for text in texts)
+            return np.array([[len(texts), len(texts) * width, 1.0]] * len(texts))
+
+        return predict
+
+    return Embedder(load, 3)
+
+
+@query
+def embed_batches(spark, sf_dir):
+    """Whether each document's model call keeps its bounds of rows and of padded characters."""
+    documents = d.table(spark, sf_dir, "documents").select("doc_id", "text")
+    told = embed(documents, "text", call_shape(), spread_by="doc_id")
+    ratio = [F.round(F.col("vector")[n] / F.col("vector")[2]) for n in (0, 1)]
+    own = F.length("text") + len(w.DOCUMENT_PREFIX)
+    return told.select(
+        "doc_id",
+        ratio[0].between(1, BATCH_ROWS).alias("rows_kept"),
+        # Only a text longer than the bound may exceed it, and then it is alone.
+        ((ratio[1] <= BATCH_CHARS * (1 + 1e-6)) | ((ratio[0] == 1) & (own > BATCH_CHARS))).alias("chars_kept"),
+    )
+
+
 # -- stored tables --------------------------------------------------------------
 
 
@@ -693,6 +758,41 @@ def delete_commands_(spark, sf_dir):
     return table.read().select("id", "full_name")
 
 
+@query
+def compact_projects(spark, sf_dir):
+    """Projects in bulk, some changed and some deleted, then compacted: a new base, the same rows."""
+    commands = d.project_commands(spark, sf_dir)
+    table = stored(spark, PROJECTS, commands)
+    sync(table, commands.where("place % 3 = 0").withColumn("title", F.upper("title")), hashing_embedder())
+    table.delete(commands.where("place % 5 = 0").select("id"))
+    table.compact()
+    if table.state()["changes"]:
+        raise StoreError("changes are left after compaction")
+    return table.read().select("id", "title")
+
+
+def failing_embedder() -> Embedder:
+    def load():
+        def predict(texts):
+            raise MemoryError("out of memory")
+
+        return predict
+
+    return Embedder(load)
+
+
+@query
+def failed_bulk_sync(spark, sf_dir):
+    """A replacement whose model fails: the error names the stage, the live rows stay."""
+    table = stored(spark, SKILLS, d.skills(spark, sf_dir))
+    error = ""
+    try:
+        bulk_sync(table, d.skills(spark, sf_dir).withColumn("name", F.upper("name")), failing_embedder())
+    except EmbeddingError as failed:
+        error = str(failed)
+    return table.read().select("id", "name", F.lit(error).alias("error"))
+
+
 @query
 def sync_unsequenced(spark, sf_dir):
     """Students in bulk, two JSON syncs of the same ids without a sequence, then new ids."""
@@ -796,15 +896,20 @@ def stream_change_feed(spark, sf_dir):
 
 @query
 def run_metrics_(spark, sf_dir):
-    """Rows and model calls of syncing each entity."""
-    stages = {
-        "skills": d.skills(spark, sf_dir),
-        "students": d.students(spark, sf_dir),
-        "professors": d.professors(spark, sf_dir),
-        "project_templates": d.projects(spark, sf_dir),
-    }
-    rows = [run_metrics(df, stage) for stage, df in stages.items()]
-    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+    """Rows and chunks of bulk runs of each entity, from the table the runs wrote."""
+    path = f"{scratch_root(spark)}/runs"
+    for spec, commands in (
+        (SKILLS, d.skills(spark, sf_dir)),
+        (STUDENTS, d.student_commands(spark, sf_dir)),
+        (PROFESSORS, d.professor_commands(spark, sf_dir)),
+        (PROJECTS, d.project_commands(spark, sf_dir)),
+    ):
+        table = VersionedTable(spark, scratch_root(spark), spec)
+        bulk_sync(table, commands, hashing_embedder(), metrics=("run", path))
+    stage = F.regexp_replace("stage", "^bulk_sync ", "")
+    return spark.read.parquet(path).select(
+        stage.alias("stage"), "n_rows", "n_rejected", F.col("n_chunks").cast("int").alias("n_chunks")
+    )
 
 
 def queries() -> dict[str, Query]:

@@ -1,12 +1,28 @@
-"""Small files on whatever file system a path names, through Hadoop's API."""
+"""Files on whatever file system a path names: small ones through Hadoop's API on the driver,
+and any through pyarrow in tasks."""
 
 from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+from pyarrow import fs
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+from pairwright.errors import StoreError
+
+
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path there, for Python code in tasks: local and mounted
+    folders, HDFS, S3, GCS."""
+    if folder.startswith("file:"):
+        folder = "/" + folder.removeprefix("file:").lstrip("/")
+    try:
+        return fs.FileSystem.from_uri(folder)
+    except (pa.ArrowException, OSError, ValueError) as error:
+        raise StoreError(f"Python cannot open {folder}: {error}") from error
+
 
 class FileSystem:
     """Names, text and atomic creation of small files."""

@@ -35,14 +35,14 @@ MALFORMED = "_corrupt_record"
 PLACE = "_place_in_bulk"
 
 
-def _envelope(schema: T.StructType) -> T.StructType:
+def envelope(schema: T.StructType) -> T.StructType:
     return T.StructType(schema.fields + [T.StructField(MALFORMED, T.StringType())])
 
 
 def feed_schema(spec: EntitySpec) -> T.StructType:
     """Schema of a change feed: a command with ``seq`` and ``op``, or an ``id`` to delete."""
     extra = T.StructType().add(SEQ, T.LongType()).add(OP, T.StringType()).add("id", T.StringType())
-    return _envelope(T.StructType(extra.fields + spec.command_schema.fields))
+    return envelope(T.StructType(extra.fields + spec.command_schema.fields))
 
 
 def read_commands(spark: SparkSession, spec: EntitySpec, path: str) -> DataFrame:
@@ -58,15 +58,15 @@ def read_feed(spark: SparkSession, spec: EntitySpec, path: str, **options: str)
 def read_bulk(spark: SparkSession, spec: EntitySpec, path: str) -> DataFrame:
     """JSON lines, one bulk payload ``{"seq": n, "items": [command, ...]}`` each."""
     schema = T.StructType().add(SEQ, T.LongType()).add("items", T.ArrayType(spec.command_schema))
-    return spark.read.schema(_envelope(schema)).json(path)
+    return spark.read.schema(envelope(schema)).json(path)
 
 
 def read_requests(spark: SparkSession, spec: RequestSpec, path: str) -> DataFrame:
     """JSON lines, one recommendation request each."""
-    return spark.read.schema(_envelope(spec.schema)).json(path)
+    return spark.read.schema(envelope(spec.schema)).json(path)
 
 
-def _record(spec: EntitySpec, command: Column | None) -> Column:
+def record_of(spec: EntitySpec, command: Column | None) -> Column:
     """The nested record of a command; of its alternative names the first listed wins."""
     names = [F.col(name) if command is None else command[name] for name in spec.payload]
     return names[0] if len(names) == 1 else F.coalesce(*names)
@@ -81,7 +81,7 @@ def unpack(
     fields are the columns of the table.
     """
     holder = F.col(command) if command else None
-    record = _record(spec, holder)
+    record = record_of(spec, holder)
     at_top = set(commands.columns)
     columns = [F.col(name) for name in keep]
     for name, _ in spec.record:
@@ -146,7 +146,7 @@ def explode_items(
     """
 
     def is_bad(item: Column) -> Column:
-        record = _record(spec, item)
+        record = record_of(spec, item)
         labels = {name for name, _ in spec.labels}
         problems = command_problems(
             spec, lambda name: item[name] if name in labels else record[name]

@@ -253,18 +253,21 @@ def parse(source: str) -> tuple:
 
 
 def _control_pattern(controls: tuple[str, ...]) -> re.Pattern:
-    longest = sorted(controls, key=len, reverse=True)
-    return re.compile("|".join(map(re.escape, [ESCAPE, *longest])))
+    """The escape itself, every character at which a control string begins, also within another,
+    and one that could begin a control string with what follows the text."""
+    begins = "|".join(map(re.escape, controls))
+    partly = {control[:n] for control in controls for n in range(1, len(control))}
+    partly = "|".join(re.escape(part) + r"\Z" for part in sorted(partly))
+    return re.compile(rf"{re.escape(ESCAPE)}|(?=(?:{begins}|{partly}))(?s:.)")
 
 
 _CONTROL = _control_pattern(CONTROLS)
 
 
 def escaped(text: str) -> str:
-    """The text without control strings; `unescaped` gives it back."""
-    return _CONTROL.sub(
-        lambda m: ESCAPE * 2 if m[0] == ESCAPE else m[0][0] + ESCAPE + m[0][1:], text
-    )
+    """The text with no control string in it, nor the beginning of one at its end; `unescaped`
+    gives it back."""
+    return _CONTROL.sub(lambda m: ESCAPE * 2 if m[0] == ESCAPE else m[0] + ESCAPE, text)
 
 
 def unescaped(text: str) -> str:

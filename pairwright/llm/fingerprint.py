@@ -43,8 +43,7 @@ AGGREGATION = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 
 
 def blanked(text: Column) -> Column:
-    """A text in lower case with plain blanks between its words."""
-    text = F.lower(text)
+    """A text with plain blanks between its words."""
     for other in "\n\r\t":
         text = F.replace(text, F.lit(other), F.lit(" "))
     return text
@@ -64,7 +63,7 @@ def lexicon(
     """``term, value`` of every term in the band; the value carries the deepest level at which
     any of the subsets still has the term."""
     n = documents.count()
-    words = F.array_distinct(F.split(blanked(F.col(text)), " "))
+    words = F.array_distinct(F.split(blanked(F.lower(F.col(text))), " "))
     counts = documents.select(F.explode(words).alias("word")).filter("word <> ''")
     counts = counts.groupBy(term("word").alias("term")).count()
     band = counts.filter(
@@ -246,13 +245,15 @@ def fingerprints(documents: DataFrame, *, key: str = "doc_id", text: str = "text
             F.concat(F.slice("front", F.lit(1), common), F.col("back"), F.col("taken"))
         ).alias("nth", "word"),
     )
+    # Lower case may be longer or shorter than the text, so it comes after all cutting.
+    rows = rows.withColumn("word", F.lower("word"))
     mark = (
         F.when(F.col("nth") < F.col("common"), IN_TEXT | IN_EDITED)
         .when(F.col("nth") < F.col("own_end"), IN_TEXT)
         .otherwise(IN_EDITED)
     )
     rows = rows.withColumn("mark", mark).withColumn("term", term("word"))
-    rows = rows.join(F.broadcast(known), "term", "left")
+    rows = rows.join(small(known, 64), "term", "left")
 
     def inside(part: int) -> Column:
         return (F.col("mark").bitwiseAND(F.lit(part)) != 0) & (F.col("word") != "")

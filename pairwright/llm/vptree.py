@@ -1,10 +1,9 @@
 """Nearest neighbours by largest inner product, with vantage-point trees per shard.
 
-Vectors get one place more, the root of the largest squared norm less their own, and queries a
-zero there: the largest inner product is then the smallest distance, and the triangle
-inequality holds. Vectors are dealt by a hash of their id into shards of about ``SHARD`` and each
-shard has a tree: a node splits its vectors at the median distance from a vantage point. A
-search enters the nearer half first and the other half only if
+Vectors get one place more, the root of the shard's largest squared norm less their own, and
+queries, scaled to that norm, a zero there: the largest inner product is then the smallest distance,
+and the triangle inequality holds. A node of a tree splits its vectors at the median distance from
+a vantage point. A search enters the nearer half first and the other half only if
 
     factor * |distance to the vantage point - median| <= distance of the k-th best so far.
 
@@ -12,68 +11,116 @@ Factor one, the default, is the triangle inequality and exact whatever the vecto
 larger factor prunes more and loses neighbours, most where pruning works best: at factor 6 over
 0.95 are found on vectors that spread in all dimensions, but fewer than 0.9 in a subspace of few.
 
-Queries are dealt into blocks of about ``BLOCK``; a task has one shard and one block, so neither the
-vectors nor the queries meet in one place. A batch of queries walks a tree together, so a
-node costs one matrix product for all that enter it. Each shard sends on its best of every query.
+A shard holds vectors of like norm only (their largest components lie within a factor of two), scaled
+by a power of two: beside one huge vector the others would lose their differences to rounding, and
+squares could overflow. Distances only decide what is looked at, with a margin for their rounding;
+what may be among the best is scored again from the original components, in double precision, and
+ranked by that score and then by id, so ties are settled by ids however many there are.
 
-Equal vectors are one point of the tree with their ``k + 1`` smallest ids; no other of them can
-be among anyone's ``k`` nearest. Ties go to smaller ids. Vectors that are null, zero, of another
-length than most or hold a null or non-finite number take no part. Of rows that repeat an id
-with equal vectors one counts. Scores are computed in double precision from the original vectors.
+Rows are not shuffled: a task makes shards of what it reads, at most ``SHARD`` rows each. Queries are
+broadcast in blocks of bounded size; a batch of them walks a tree together, and the k-th best that
+a task knows already bounds the search of its later trees. Tasks send on their best of every query.
+
+Of equal vectors of a shard only the ``k + 1`` smallest ids go into the tree; no other of them can be
+among anyone's ``k`` nearest. Vectors that are null, zero, of another length than most (the shorter of two
+as frequent) or hold a null or non-finite number take no part, nor do rows without an id. Rows alike in
+id and score count once; of rows that share a query's id each different vector is a query of its
+own. A score beyond double precision is infinite.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from pairwright.llm.whole import finite
 from pairwright.scratch import stored
 
-SHARD = 4096
-BLOCK = 4096
+SHARD = 16384
+# Bytes of a broadcast block of queries, on average.
+BLOCK_BYTES = 8 << 20
 LEAF = 128
 FACTOR = 1.0
-# Distances that a search works on at a time.
+# Numbers that a search works on at a time, and queries that walk a tree together.
 STEP = 1 << 20
+TOGETHER = 4096
+# Rounding of distances and of products, as shares of the shard's norm and its square.
+MARGIN = 1e-6
+SCORE_MARGIN = 1e-10
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """``id, vector`` in double precision of the rows that take part."""
+    """``id, vector, asked`` of the rows that take part, in double precision."""
     wide = vectors.select(
-        F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector")
+        F.col(key).cast("long").alias("id"),
+        F.col(vector).cast("array<double>").alias("vector"),
+        "asked",
     )
-
-    def finite(x: Column) -> Column:
-        return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-
     good = wide.filter(
         F.col("id").isNotNull()
         & (F.size("vector") > 0)
-        & F.forall("vector", finite)
+        & finite("vector")
         & F.exists("vector", lambda x: x != 0)
     )
     length = good.groupBy(F.size("vector").alias("n")).count()
     most = length.orderBy(F.desc("count"), "n").first()
-    return good.filter(F.size("vector") == (most["n"] if most else 0)).dropDuplicates(["id", "vector"])
+    return good.filter(F.size("vector") == (most["n"] if most else 0))
+
+
+class Best:
+    """The best ``k`` ids and scores of every query, ties to smaller ids."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.score = np.full((queries, k), -np.inf)
+        self.ids = np.full((queries, k), -1, np.int64)
+        self.n = np.zeros(queries, np.int64)
+
+    def least(self, who: np.ndarray) -> np.ndarray:
+        """What a row must reach; anything where there are fewer than ``k`` so far."""
+        return np.where(self.n[who] < self.k, -np.inf, self.score[who, -1])
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        some = np.unique(query)
+        held = np.arange(self.k) < self.n[some][:, None]
+        query = np.concatenate([query, np.repeat(some, self.n[some])])
+        ids = np.concatenate([ids, self.ids[some][held]])
+        score = np.concatenate([score, self.score[some][held]])
+        order = np.lexsort((ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        alike = (query[1:] == query[:-1]) & (ids[1:] == ids[:-1]) & (score[1:] == score[:-1])
+        query, ids, score = (x[np.r_[True, ~alike]] for x in (query, ids, score))
+        starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+        sizes = np.diff(np.r_[starts, len(query)])
+        place = np.arange(len(query)) - np.repeat(starts, sizes)
+        keep = place < self.k
+        self.score[query[keep], place[keep]] = score[keep]
+        self.ids[query[keep], place[keep]] = ids[keep]
+        self.n[some] = np.minimum(sizes, self.k)
 
 
 class Tree:
-    """A vantage-point tree over the rows of ``points``, as flat arrays.
+    """A vantage-point tree over vectors of like norm, as flat arrays.
 
     A node has a vantage point, a radius and two children; a leaf has a range of ``order``.
     """
 
-    def __init__(self, points: np.ndarray, seed: int = 1):
-        self.points = points
-        self.order = np.arange(len(points))
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, seed: int = 1):
+        self.vectors, self.ids = vectors, ids
+        # A power of two: scaling by it loses nothing.
+        self.scale = 2.0 ** -float(np.floor(np.log2(np.abs(vectors).max())))
+        scaled = vectors * self.scale
+        square = (scaled**2).sum(axis=1)
+        self.largest = float(np.sqrt(square.max()))
+        rest = np.sqrt(np.maximum(square.max() - square, 0))
+        self.points = np.concatenate([scaled, rest[:, None]], axis=1)
+        self.order = np.arange(len(vectors))
         self.nodes: list[tuple] = []
-        rng = np.random.default_rng(seed)
-        if len(points):
-            self._build(0, len(points), rng)
+        self._build(0, len(vectors), np.random.default_rng(seed))
 
     def _build(self, low: int, high: int, rng: np.random.Generator) -> int:
         number = len(self.nodes)
@@ -96,54 +143,83 @@ class Tree:
         self.nodes[number] = (low, high, vantage, radius, near, far)
         return number
 
-    def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and rows of the nearest ``k`` found for each query; row -1 where there are
-        fewer."""
-        best = np.full((len(queries), k), np.inf)
-        rows = np.full((len(queries), k), -1, np.int64)
-        if self.nodes:
-            self._visit(0, np.arange(len(queries)), queries, best, rows, factor)
-        return best, rows
+    def search(self, queries: np.ndarray, own_ids: np.ndarray, best: Best, factor: float) -> None:
+        """Add what the tree has for each query to ``best``; a query's own id is nobody's neighbour."""
+        # A power of two brings each query to norms around one, the rest of the way is their length.
+        size = 2.0 ** -np.floor(np.log2(np.abs(queries).max(axis=1)))
+        lifted = queries * size[:, None]
+        length = np.linalg.norm(lifted, axis=1)
+        lifted = np.concatenate([lifted * (self.largest / length)[:, None], np.zeros((len(queries), 1))], axis=1)
+        with np.errstate(over="ignore", under="ignore"):
+            # From a score of original vectors to a product of lifted ones.
+            self.to_lifted = size * (self.largest / length)
+        self.asked = queries, own_ids, lifted, best, factor
+        for first in range(0, len(queries), TOGETHER):
+            self._visit(0, np.arange(first, min(first + TOGETHER, len(queries))))
 
-    def _visit(self, number, who, queries, best, rows, factor) -> None:
+    def _least(self, who: np.ndarray) -> np.ndarray:
+        """The k-th best so far as a product of lifted vectors; an overflow bounds nothing."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            least = self.asked[3].least(who) * self.to_lifted[who] * self.scale
+        return np.where(np.isfinite(least), least, -np.inf)
+
+    def _visit(self, number: int, who: np.ndarray) -> None:
         low, high, vantage, radius, near, far = self.nodes[number]
         if vantage is None:
             own = self.order[low:high]
             step = max(1, STEP // len(own))
             for first in range(0, len(who), step):
-                self._leaf(own, who[first : first + step], queries, best, rows)
+                self._leaf(own, who[first : first + step])
             return
-        distance = np.linalg.norm(queries[who] - self.points[vantage], axis=1)
+        _, _, lifted, _, factor = self.asked
+        distance = np.linalg.norm(lifted[who] - self.points[vantage], axis=1)
         inside = distance <= radius
         gap = factor * np.abs(distance - radius)
         for chosen, first, second in ((inside, near, far), (~inside, far, near)):
             some = who[chosen]
             if not len(some):
                 continue
-            self._visit(first, some, queries, best, rows, factor)
-            enter = gap[chosen] <= best[some, -1]
+            self._visit(first, some)
+            reach = np.sqrt(np.maximum(2 * self.largest**2 - 2 * self._least(some), 0))
+            enter = gap[chosen] <= reach + factor * MARGIN * self.largest
             if enter.any():
-                self._visit(second, some[enter], queries, best, rows, factor)
+                self._visit(second, some[enter])
+
+    def _leaf(self, own: np.ndarray, who: np.ndarray) -> None:
+        queries, own_ids, lifted, best, _ = self.asked
+        score = lifted[who, :-1] @ self.points[own, :-1].T
+        reach = self._least(who) - SCORE_MARGIN * self.largest**2
+        row, column = np.nonzero((score >= reach[:, None]) & (own_ids[who][:, None] != self.ids[own]))
+        width = max(1, STEP // self.vectors.shape[1])
+        for first in range(0, len(row), width):
+            some = slice(first, first + width)
+            asked, point = who[row[some]], own[column[some]]
+            with np.errstate(over="ignore", invalid="ignore"):
+                exact = (self.vectors[point] * queries[asked]).sum(axis=1)
+            exact = np.where(np.isnan(exact), -np.inf, exact)
+            kept = exact >= best.least(asked)
+            if kept.any():
+                best.add(asked[kept], self.ids[point[kept]], exact[kept])
 
-    def _leaf(self, own, who, queries, best, rows) -> None:
-        points, asked = self.points[own], queries[who]
-        square = (asked**2).sum(1)[:, None] + (points**2).sum(1) - 2 * (asked @ points.T)
-        distance = np.sqrt(np.maximum(square, 0))
-        k = best.shape[1]
-        every = np.concatenate([best[who], distance], axis=1)
-        names = np.concatenate([rows[who], np.broadcast_to(own, distance.shape)], axis=1)
-        if every.shape[1] > k:
-            part = np.argpartition(every, k - 1, axis=1)[:, :k]
-            every, names = np.take_along_axis(every, part, 1), np.take_along_axis(names, part, 1)
-        rank = np.argsort(every, axis=1)
-        best[who] = np.take_along_axis(every, rank, 1)
-        rows[who] = np.take_along_axis(names, rank, 1)
 
+def few_of_equal(vectors: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Positions of the rows of which fewer than ``most`` equal ones have smaller ids."""
+    order = np.argsort(ids, kind="stable")
+    rows = np.ascontiguousarray(vectors[order] + 0.0)  # one zero, not two
+    whole = rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel()
+    _, same = np.unique(whole, return_inverse=True)
+    ranked = np.argsort(same, kind="stable")
+    counts = np.bincount(same)
+    place = np.empty(len(same), np.int64)
+    place[ranked] = np.arange(len(same)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return order[place < most]
 
-def lifted(vectors: np.ndarray, largest: float) -> np.ndarray:
-    """Points whose distances to queries order as the inner products do."""
-    rest = np.sqrt(np.maximum(largest - (vectors**2).sum(1), 0))
-    return np.concatenate([vectors, rest[:, None]], axis=1)
+
+def shards(vectors: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Vectors by the power of two of their largest component."""
+    band = np.floor(np.log2(np.abs(vectors).max(axis=1)))
+    for one in np.unique(band):
+        yield vectors[band == one], ids[band == one]
 
 
 def nearest(
@@ -159,71 +235,70 @@ def nearest(
     but the query's own."""
     if factor < 1 or k < 1:
         raise ValueError("factor and k are at least 1")
-    rows = stored(usable(vectors, key, vector))
-    asked = rows.join(
-        vectors.filter(queries).select(F.col(key).alias("id")).distinct(), "id", "left_semi"
-    )
-    # Equal vectors are one point; their smallest ids suffice.
-    rank = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
-    kept = rows.withColumn("nth", rank).filter(F.col("nth") <= k + 1)
-    points = stored(
-        kept.groupBy("vector")
-        .agg(F.array_sort(F.collect_list("id")).alias("ids"))
-        .withColumn("place", F.xxhash64(F.col("ids")[0]))
-    )
-    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    bounds = points.agg(F.count("*").alias("n"), F.max(square).alias("largest")).first()
-    shards = max(1, round(bounds["n"] / SHARD))
-    blocks = max(1, round(asked.count() / BLOCK))
-    largest = bounds["largest"] or 0.0
-    left = points.select(
-        F.pmod("place", F.lit(shards)).cast("int").alias("shard"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        "vector",
-        "ids",
-    )
-    right = asked.select(
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-        F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"),
-        "id",
-        "vector",
-    )
-    schema = T.StructType().add("query_id", "long").add("vec_id", "long").add("score", "double")
-
-    def work(points: pa.Table, asked: pa.Table) -> pa.Table:
-        found: list[tuple] = []
-        if points.num_rows and asked.num_rows:
-            base = matrix(points.column("vector"))
-            wanted = matrix(asked.column("vector"))
-            tree = Tree(lifted(base, largest))
-            entered = np.concatenate([wanted, np.zeros((len(wanted), 1))], axis=1)
-            _, rows = tree.search(entered, min(k + 1, len(base)), factor)
-            ids = points.column("ids").to_pylist()
-            for own, query, near in zip(asked.column("id").to_pylist(), wanted, rows, strict=True):
-                near = near[near >= 0]
-                score = (base[near] * query).sum(axis=1)
-                hits = [
-                    (-s, i) for s, row in zip(score.tolist(), near.tolist(), strict=True)
-                    for i in ids[row] if i != own
-                ]
-                hits.sort()
-                found.extend((own, i, -s) for s, i in hits[:k])
-        columns = list(zip(*found, strict=True)) if found else [[], [], []]
-        return pa.table(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
-            names=schema.names,
-        )
-
-    tasks = max(shards * blocks, 1)
-    best = (
-        left.repartition(tasks, "shard", "block")
-        .groupBy("shard", "block")
-        .cogroup(right.repartition(tasks, "shard", "block").groupBy("shard", "block"))
-        .applyInArrow(work, schema)
+    spark = vectors.sparkSession
+    marked = vectors.select(
+        F.col(key), F.col(vector), F.coalesce(queries, F.lit(False)).alias("asked")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = best.distinct().withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = usable(marked, key, vector)
+    asked = stored(rows.filter("asked").select("id", "vector").distinct())
+    rows = rows.select("id", "vector")
+    sizes = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("length")).first()
+    n_blocks = max(1, -(-sizes["n"] * 8 * (sizes["length"] or 1) // BLOCK_BYTES))
+    block_of = F.pmod(F.xxhash64("id", "vector"), F.lit(n_blocks))
+    schema = "block int, query int, query_id long, vec_id long, score double"
+    shard_rows = SHARD
+    found = []
+    for number in range(n_blocks):
+        block = asked.filter(block_of == number).toArrow()
+        if not block.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((block["id"].to_numpy(), matrix(block["vector"])))
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
+            ids, wanted = shared.value
+            best = Best(len(ids), k)
+            held: list[pa.RecordBatch] = []
+
+            def flush() -> None:
+                table = pa.Table.from_batches(held)
+                every, names = matrix(table["vector"]), table["id"].to_numpy()
+                some = few_of_equal(every, names, k + 1)
+                for part, part_ids in shards(every[some], names[some]):
+                    Tree(part, part_ids).search(wanted, ids, best, factor)
+                held.clear()
+
+            for batch in batches:
+                while batch.num_rows:
+                    room = shard_rows - sum(b.num_rows for b in held)
+                    held.append(batch.slice(0, room))
+                    batch = batch.slice(room)
+                    if sum(b.num_rows for b in held) >= shard_rows:
+                        flush()
+            if held:
+                flush()
+            query, place = np.nonzero(np.arange(k) < best.n[:, None])
+            yield pa.record_batch(
+                [
+                    pa.array(np.full(len(query), number), pa.int32()),
+                    pa.array(query, pa.int32()),
+                    pa.array(ids[query], pa.int64()),
+                    pa.array(best.ids[query, place], pa.int64()),
+                    pa.array(best.score[query, place], pa.float64()),
+                ],
+                names=["block", "query", "query_id", "vec_id", "score"],
+            )
+
+        # Rows alike have one dense rank, so cutting by it before they are made one loses none.
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        ranked = rows.mapInArrow(work, schema).withColumn("rank", F.dense_rank().over(order))
+        found.append(stored(ranked.filter(F.col("rank") <= k).drop("block", "query").distinct()))
+        shared.destroy()
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    every = found[0]
+    for part in found[1:]:
+        every = every.union(part)
+    return every.select("query_id", "rank", "vec_id", "score")
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:

@@ -165,6 +165,20 @@ def test_templates():
             chat.compiled(bad)
 
 
+def test_escapes_leave_no_control_string():
+    random.seed(4)
+    parts = [*chat.CONTROLS, "\\", "<", "s", ">", "|", "[", "]", "/", "INST", "a"]
+    for _ in range(20_000):
+        text = "".join(random.choices(parts, k=random.randint(0, 9)))
+        escaped = chat.escaped(text)
+        assert chat.unescaped(escaped) == text
+        for control in chat.CONTROLS:
+            assert control not in escaped
+            # None begins in the text and ends in what the template says next.
+            assert all((escaped + other).find(control) in (-1, len(escaped)) or control in other
+                       for other in chat.CONTROLS)
+
+
 def test_conversations(spark):
     random.seed(9)
     parts = [*chat.CONTROLS, "\\", "<", "s", ">", "|", "[", "INST]", "a", "\n", "é"]
@@ -172,7 +186,10 @@ def test_conversations(spark):
     for conv in range(300):
         for turn in range(random.randint(1, 5)):
             text = None if random.random() < 0.1 else "".join(random.choices(parts, k=random.randint(0, 9)))
-            rows.append((conv, turn, random.choice(["user", "assistant", "system", None]), text))
+            role = random.choice(["user", "assistant", "system", None])
+            if random.random() < 0.3:
+                role = "".join(random.choices(parts, k=random.randint(1, 4)))
+            rows.append((conv, turn, role, text))
     rows += [(400, None, "user", "n"), (400, 2, "user", "n"), (400, 2, "user", "n"), (None, 0, "assistant", "z" * 100_000)]
     random.shuffle(rows)
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

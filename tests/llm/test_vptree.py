@@ -32,7 +32,7 @@ def results(df):
 
 def test_factor_one_is_exact(spark, monkeypatch):
     monkeypatch.setattr(vptree, "SHARD", 40)
-    monkeypatch.setattr(vptree, "BLOCK", 10)
+    monkeypatch.setattr(vptree, "BLOCK_BYTES", 8 * 3 * 4)
     rng = np.random.default_rng(3)
     rows = [(i, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(150)]
     rows = [(i, v) for i, v in rows if any(v)]
@@ -84,3 +84,30 @@ def test_recall_on_other_vectors(spark, monkeypatch, dimensions, clusters):
         got = results(vptree.nearest(table, F.col("vec_id") % 20 == 0))
         hits = sum(len({i for i, _ in got[q]} & {i for i, _ in expected[q]}) for q in expected)
         assert hits >= 0.9 * 20 * len(expected)
+
+
+@pytest.mark.parametrize("large", [1e-3, 1e6, 1e8, 1e9, 1e150])
+def test_vectors_of_any_norm_are_found(spark, large):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(1200, 32))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    base[7] *= large
+    base[40] *= large
+    base[::9] *= rng.uniform(1e-3, 1e3, len(base[::9]))[:, None]
+    rows = list(enumerate(base.tolist()))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = results(vptree.nearest(table, F.col("vec_id") % 20 == 0, k=10))
+    assert got == brute(rows, set(range(0, 1200, 20)), 10)
+
+
+def test_ties_go_to_smaller_ids(spark, monkeypatch):
+    """Distinct vectors of small whole numbers: many have the same product with a query."""
+    monkeypatch.setattr(vptree, "SHARD", 700)
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(-1, 2, (4000, 8)), axis=0)
+    base = base[np.abs(base).any(axis=1)].astype(float)
+    ids = rng.permutation(len(base)).tolist()
+    rows = list(zip(ids, base.tolist()))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = results(vptree.nearest(table, F.col("vec_id") % 20 == 0))
+    assert got == brute(rows, {i for i in ids if i % 20 == 0}, 20)

@@ -7,9 +7,13 @@ because executors would not see each other's files.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,9 +34,56 @@ def scratch_root(spark: SparkSession) -> str:
     return os.path.join(shared_folder(spark), f"pairwright-{uuid.uuid4().hex}")
 
 
+_open = threading.local()
+
+
+class Scope:
+    """The folders made by `stored` since the scope was opened."""
+
+    def __init__(self) -> None:
+        self.tables: dict[str, DataFrame] = {}
+        self.kept: dict[str, DataFrame] = {}
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """``table``, as `stored` returned it, outlives the scope."""
+        path = table._scratch
+        self.kept[path] = self.tables.pop(path)
+        return table
+
+
+@contextmanager
+def scope() -> Iterator[Scope]:
+    """Delete the scratch tables made within, but for those kept, which an outer scope may delete.
+
+    What is returned from within must read kept tables only. The shuffle files of finished plans
+    go when the driver has collected the plans, so it is asked to.
+    """
+    scopes = _open.__dict__.setdefault("scopes", [])
+    own = Scope()
+    scopes.append(own)
+    try:
+        yield own
+    finally:
+        scopes.remove(own)
+        if scopes:
+            scopes[-1].tables.update(own.kept)
+        for path, table in own.tables.items():
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        if own.tables and not scopes:
+            own.tables.clear()
+            gc.collect()
+            spark._jvm.System.gc()
+
+
 def stored(rows: DataFrame) -> DataFrame:
     """``rows`` written once and read back: later plans start from the files, which outlive
     the executors that wrote them, and every reader sees the same rows."""
     path = scratch_root(rows.sparkSession)
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    table = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    table._scratch = path
+    if scopes := _open.__dict__.get("scopes"):
+        scopes[-1].tables[path] = table
+    return table

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.scratch import stored
+from pairwright.scratch import scope, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,6 +15,11 @@ def components(links: DataFrame) -> DataFrame:
     label, so long chains shorten by half. Labels go to a written table each round, which cuts
     the lineage. Minima are taken before the shuffle, so a node may have any number of links.
     """
+    with scope() as own:
+        return own.keep(_labelled(links)).select("node", "root")
+
+
+def _labelled(links: DataFrame) -> DataFrame:
     both = stored(
         links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct()
     )
@@ -40,5 +45,5 @@ def components(links: DataFrame) -> DataFrame:
         )
         new = stored(new)
         if new.filter("root <> before").isEmpty():
-            return new.select("node", "root")
+            return new
         labels = new.select("node", "root")

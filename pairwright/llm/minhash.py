@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from pairwright.llm.columns import mixed, run_hashes, text_slices, utf8
 from pairwright.llm.components import components
-from pairwright.scratch import stored
+from pairwright.scratch import scope, stored
 
 SKETCH = 32
 LIST = 16
@@ -161,6 +161,12 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     The leader of a long list is its most central class: the one whose own long lists are the
     longest together, so that what the others have changed is left out of it.
     """
+    with scope() as own:
+        pairs, crowds = _candidates(nodes)
+        return own.keep(pairs), own.keep(stored(crowds))
+
+
+def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = []
     crowds = score = None
     level = nodes.withColumn("ats", F.lit(None).cast("array<int>"))
@@ -234,6 +240,13 @@ def verified(
     pairs: DataFrame, documents: DataFrame, words: int, percent: int, key: str, text: str
 ) -> DataFrame:
     """The pairs whose full sets are similar enough."""
+    with scope() as own:
+        return own.keep(stored(_verified(pairs, documents, words, percent, key, text)))
+
+
+def _verified(
+    pairs: DataFrame, documents: DataFrame, words: int, percent: int, key: str, text: str
+) -> DataFrame:
     pairs = stored(pairs)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = documents.select(F.col(key).alias("node"), F.col(text).alias("content"))
@@ -276,9 +289,20 @@ def near_duplicates(
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """``key, n_shingles, component_id, kept`` of every row."""
+    """``key, n_shingles, component_id, kept`` of every row.
+
+    The row of a null key is a document of its own: its component is null and it is kept.
+    """
+    with scope() as own:
+        return own.keep(stored(_grouped(documents, words, percent, key, text)))
+
+
+def _grouped(
+    documents: DataFrame, words: int, percent: int, key: str, text: str
+) -> DataFrame:
     found = stored(sketches(documents, words, key, text))
-    filled = found.filter("n > 0")
+    # Rows without a key are nobody's copy: as one document they would link what they hold.
+    filled = found.filter("n > 0 and doc is not null")
     classes = filled.groupBy("first_key", "second_key").agg(F.min("doc").alias("node"))
     member = stored(
         filled.select("doc", "first_key", "second_key")
@@ -307,9 +331,10 @@ def near_duplicates(
     links = stored(links.union(verified(rest, documents, words, percent, key, text)).distinct())
     roots = components(links)
 
-    again = left_over(long_lists, nodes, roots, documents, words, percent, key, text)
-    again = again.join(tested, ["a", "b"], "left_anti")
-    again = stored(likely(again, nodes, percent))
+    with scope() as own:
+        again = left_over(long_lists, nodes, roots, documents, words, percent, key, text)
+        again = again.join(tested, ["a", "b"], "left_anti")
+        again = own.keep(stored(likely(again, nodes, percent)))
     if not again.isEmpty():
         more = verified(again, documents, words, percent, key, text)
         roots = components(stored(links.union(more).distinct()))
@@ -325,7 +350,7 @@ def near_duplicates(
         F.col("doc").alias(key),
         F.col("n").alias("n_shingles"),
         "component_id",
-        (F.col("doc") == F.col("component_id")).alias("kept"),
+        F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"),
     )
 
 
@@ -449,7 +474,9 @@ def left_over(
 
 def keep_one(documents: DataFrame, *, words: int = 5, percent: int = PERCENT) -> DataFrame:
     """All columns of one document of each group of near-duplicates, the one with the smallest id."""
-    dropped = stored(near_duplicates(documents, words=words, percent=percent).filter("not kept"))
+    with scope() as own:
+        found = near_duplicates(documents, words=words, percent=percent)
+        dropped = own.keep(stored(found.filter("not kept")))
     return documents.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(
         *documents.columns
     )

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from pairwright.llm.columns import run_hashes, text_slices, utf8
 from pairwright.llm.suffix import _keyed, anchors_of, bounded, rolled
-from pairwright.scratch import stored
+from pairwright.scratch import scope, stored
 
 GRAM = 12
 # White space of one byte, and of more: U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028,
@@ -127,7 +127,11 @@ def repeated_passages(
 ) -> DataFrame:
     """``key, whole, spans`` of every distinct text with something to remove, as
     `suffix.duplicate_spans` has them."""
-    gram = min(gram, words)
+    with scope() as own:
+        return own.keep(_repeated(documents, words, text, min(gram, words)))
+
+
+def _repeated(documents: DataFrame, words: int, text: str, gram: int) -> DataFrame:
     # So many words have as many bytes at least, and one less between them.
     texts = _keyed(documents, text).filter(F.octet_length("content") >= 2 * words - 1)
     found = stored(_anchor_table(texts, words, gram))

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairwright.llm.columns import mixed, text_slices, utf8
-from pairwright.scratch import stored
+from pairwright.scratch import scope, stored
 
 LENGTH = 400
 GRAM = 64
@@ -309,6 +309,13 @@ def duplicate_spans(
     group: int = GROUP,
 ) -> DataFrame:
     """``key, whole, spans`` of every distinct text with something to remove."""
+    with scope() as own:
+        return own.keep(_duplicate_spans(documents, text, length, gram, group))
+
+
+def _duplicate_spans(
+    documents: DataFrame, text: str, length: int, gram: int, group: int
+) -> DataFrame:
     texts = _keyed(documents, text)
     long_texts = texts.filter(F.octet_length("content") >= length)
     copies = long_texts.groupBy("key").count().filter("count > 1").select("key")
@@ -417,13 +424,17 @@ def without_repeats(
     With ``words``, runs of so many words that repeat are taken out as well, however short they
     are in bytes. Where a removal cuts a character in two, the rest of that character goes as well.
     """
-    found = duplicate_spans(documents, text=text, **limits)
-    if words is not None:
-        from pairwright.llm import passages  # it builds on this module
-
-        both = found.unionByName(passages.repeated_passages(documents, words, text=text))
-        spans = F.array_sort(F.flatten(F.collect_list("spans")))
-        found = stored(both.groupBy("key").agg(F.max("whole").alias("whole"), spans.alias("spans")))
+    with scope() as own:
+        found = duplicate_spans(documents, text=text, **limits)
+        if words is not None:
+            from pairwright.llm import passages  # it builds on this module
+
+            both = found.unionByName(passages.repeated_passages(documents, words, text=text))
+            spans = F.array_sort(F.flatten(F.collect_list("spans")))
+            found = stored(
+                both.groupBy("key").agg(F.max("whole").alias("whole"), spans.alias("spans"))
+            )
+        own.keep(found)
     placed = _placed(documents, text, found)
     placed = placed.select(F.col(f"row.{text}").alias("content"), "whole", "spans", "row")
     schema = T.StructType().add("row", documents.select(F.struct("*").alias("row")).schema["row"].dataType)

@@ -139,6 +139,14 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_rows_without_a_key_are_nobodys_copy(spark):
+    rows = [(None, "a b c d"), (None, "a b c d"), (None, "p q r s"), (1, "a b c d"), (2, "a b c d"), (3, "p q r s")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(table, words=2).collect()), key=repr)
+    assert got == [(1, 1, True), (2, 1, False), (3, 3, True)] + [(None, None, True)] * 3
+    assert minhash.keep_one(table, words=2).count() == 5
+
+
 def test_near_duplicates_of_documents(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     expected, _ = expected_groups(rows, 2)

@@ -119,3 +119,15 @@ def test_texts_without_a_lexicon_term_are_compared_by_degrees(spark):
     assert all(r.fingerprint.count(",") == 2 * fingerprint.SUBSETS - 1 for r in got)
     likeness = [r.near_next for r in got]
     assert any(0 < x < 1 for x in likeness) and sum(likeness) / len(likeness) > 0.4
+
+
+def test_letters_that_change_their_length_in_lower_case(spark):
+    """A dotted capital I becomes two code points, a sigma at the end of a word another letter."""
+    dots = "\u0130" * 40
+    words = [f"{dots} {' '.join(f'word{k}' for k in range(30))} {end}" for end in ("alpha beta gamma", "delta epsilon zeta")]
+    rows = list(enumerate([*words, words[0].lower(), "\u039f\u0394\u039f\u03a3 x", "\u03bf\u03b4\u03bf\u03c2 x"]))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprint.fingerprints(table, min_share=0.0, max_share=1.0).collect()}
+    assert got[0].fingerprint != got[1].fingerprint and got[0].near_next < 1.0
+    assert got[0].fingerprint == got[2].fingerprint
+    assert got[3].fingerprint == got[4].fingerprint and got[3].near_next == 1.0

@@ -373,12 +373,24 @@ def _kept(raw: bytes, whole: bool | None, spans: list | None) -> tuple[bytes, in
 
 
 def _placed(documents: DataFrame, text: str, found: DataFrame) -> DataFrame:
-    """The rows with what is to be removed from them."""
+    """The rows with what is to be removed from them.
+
+    Spans that fit are broadcast. Else rows that lose nothing and copies that go whole stay where
+    they are, if at least the keys fit, and only the others are shuffled to their spans.
+    """
     content = F.coalesce(F.col(text), F.lit(""))
     key = F.substring(F.unhex(F.sha2(content, 256)), 1, 16)
     rows = documents.select(F.struct("*").alias("row"), key.alias("key"))
     size = F.lit(150) + F.coalesce(F.size("spans"), F.lit(0)) * 40
-    return rows.join(bounded(found, size), "key", "left")
+    figures = found.agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).first()
+    if (figures["bytes"] or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(found), "key", "left")
+    if figures["n"] * 100 > BROADCAST_BYTES:
+        return rows.join(found, "key", "left")
+    marked = rows.join(F.broadcast(found.select("key", "whole")), "key", "left")
+    cut = marked.filter(~F.col("whole")).drop("whole").join(found.filter(~F.col("whole")), "key")
+    stays = marked.filter(F.col("whole").isNull() | F.col("whole"))
+    return cut.unionByName(stays, allowMissingColumns=True)
 
 
 def digests(documents: DataFrame, *, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:

@@ -185,8 +185,13 @@ def expected_removal(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("length,gram,group", [(40, 8, 50_000), (20, 20, 50_000), (30, 7, 3)])
-def test_repeats(spark, length, gram, group):
+@pytest.mark.parametrize(
+    "length,gram,group,fits",
+    [(40, 8, 50_000, 1 << 25), (20, 20, 50_000, 12_000), (30, 7, 3, 1 << 25), (30, 7, 50_000, 0)],
+)
+def test_repeats(spark, monkeypatch, length, gram, group, fits):
+    """Also with spans, or keys as well, that are too large to be broadcast."""
+    monkeypatch.setattr(suffix, "BROADCAST_BYTES", fits)
     random.seed(4)
     pieces = ["".join(random.choices("abé ", k=random.randint(1, 30))) for _ in range(25)]
     rows = [(i, None if i % 20 == 9 else "".join(random.choices(pieces, k=random.randint(0, 12)))) for i in range(120)]

@@ -31,12 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairwright.llm.columns import mixed, run_hashes, text_slices, utf8
 from pairwright.llm.components import components
+from pairwright.llm.groups import among, narrow
+from pairwright.operators.joins import join_counted
 from pairwright.scratch import scope, stored
 
 SKETCH = 32
@@ -45,6 +47,8 @@ LONG = 5
 FREQUENT = 500
 RUNS = (2, 8, SKETCH)
 PERCENT = 80
+# Bytes of a list's key and figures in a broadcast.
+LIST_BYTES = 64
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,9 +126,10 @@ def sketches(documents: DataFrame, words: int, key: str, text: str) -> DataFrame
 
 
 def runs_of(sketch: DataFrame, size: int) -> DataFrame:
-    """``list, node, at``: a key for every run of ``size`` retained values that starts at one of
-    the places ``at``. A shorter sketch has one run, all of it."""
-    schema = sketch.select(F.lit(0).cast("long").alias("list"), "node").schema.add("at", "integer")
+    """``list, node, n, at``: a key for every run of ``size`` retained values that starts at one
+    of the places ``at``. A shorter sketch has one run, all of it."""
+    schema = sketch.select(F.lit(0).cast("long").alias("list"), "node", "n").schema
+    schema = schema.add("at", "integer")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -142,49 +147,58 @@ def runs_of(sketch: DataFrame, size: int) -> DataFrame:
                 lists.append(key[at].view(np.int64))
                 places.append(at)
                 of.append(np.full(len(at), row))
+            row = pa.array(np.concatenate(of))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate(lists)),
-                    rows.column("node").take(pa.array(np.concatenate(of))),
+                    rows.column("node").take(row),
+                    rows.column("n").take(row),
                     pa.array(np.concatenate(places).astype(np.int32)),
                 ],
                 names=schema.names,
             )
 
-    return sketch.select("node", "sketch", "ats").mapInArrow(work, schema)
+    return sketch.select("node", "n", "sketch", "ats").mapInArrow(work, schema)
+
+
+def _near_in_size(left: str, right: str, percent: int) -> Column:
+    """Sets that differ more than this in size cannot be alike."""
+    return F.least(left, right) * 100 >= F.greatest(left, right) * percent
 
 
-def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a < b`` of classes from the inverted lists, and the long lists of neighbouring
-    pairs as ``list, node``.
+def candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a < b`` of classes of like size from the inverted lists, and the long lists of
+    neighbouring pairs as ``list, node, length``.
 
     The leader of a long list is its most central class: the one whose own long lists are the
     longest together, so that what the others have changed is left out of it.
     """
     with scope() as own:
-        pairs, crowds = _candidates(nodes)
+        pairs, crowds = _candidates(nodes, percent)
         return own.keep(pairs), own.keep(stored(crowds))
 
 
-def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     pairs = []
     crowds = score = None
     level = nodes.withColumn("ats", F.lit(None).cast("array<int>"))
     for size in RUNS:
         rows = stored(runs_of(level, size))
         lengths = stored(rows.groupBy("list").agg(F.count("*").alias("length")).filter("length > 1"))
-        short = rows.join(lengths.filter(F.col("length") <= LIST), "list").select("list", "node")
+        # Most lists have one member: only the rows of others move.
+        shared = stored(join_counted(rows, lengths, "list", "length", LIST_BYTES))
+        short = shared.filter(F.col("length") <= LIST).select("list", "node", "n")
         pairs.append(
             short.alias("x")
             .join(short.alias("y"), "list")
-            .filter("x.node < y.node")
+            .filter((F.col("x.node") < F.col("y.node")) & _near_in_size("x.n", "y.n", percent))
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         )
-        crowd = stored(rows.join(lengths.filter(F.col("length") > LIST), "list"))
+        crowd = shared.filter(F.col("length") > LIST)
         if score is None:
-            crowds = crowd.select("list", "node")
+            crowds = crowd.select("list", "node", "length")
             score = stored(crowd.groupBy("node").agg(F.sum("length").alias("score")))
-        pairs.append(_with_leader(crowd.select("list", "node"), score))
+        pairs.append(_with_leader(crowd.select("list", "node", "n"), score, percent))
         if crowd.isEmpty():
             break
         ats = crowd.groupBy("node").agg(F.collect_set("at").alias("ats"))
@@ -195,27 +209,30 @@ def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(every.distinct()), crowds
 
 
-def _with_leader(rows: DataFrame, score: DataFrame) -> DataFrame:
+def _with_leader(rows: DataFrame, score: DataFrame, percent: int) -> DataFrame:
     """Every member of a list paired with the member of the highest score."""
-    placed = rows.join(score, "node").withColumn("rank", F.struct("score", (-F.col("node")).alias("r")))
-    leader = placed.groupBy("list").agg(F.max("rank").alias("rank"))
-    leader = leader.select("list", (-F.col("rank.r")).alias("leader"))
-    pairs = rows.join(leader, "list").filter("node <> leader")
+    rank = F.struct("score", (-F.col("node")).alias("r"), "n")
+    placed = rows.join(score, "node").withColumn("rank", rank)
+    leader = placed.groupBy("list").agg(F.max("rank").alias("rank"), F.count("*").alias("length"))
+    leader = stored(
+        leader.select("list", "length", (-F.col("rank.r")).alias("leader"), F.col("rank.n").alias("n_leader"))
+    )
+    pairs = join_counted(rows, leader, "list", "length", LIST_BYTES).filter(
+        (F.col("node") != F.col("leader")) & _near_in_size("n", "n_leader", percent)
+    )
     return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose estimate from the sketch of the union does not rule the limit out."""
+    """Pairs, as a written table, whose estimate from the sketch of the union does not rule the
+    limit out."""
     share = percent / 100
     least = SKETCH * share - 6 * math.sqrt(SKETCH * share * (1 - share))
-    sketch = nodes.select("node", "sketch", "n")
-    joined = pairs.join(sketch.toDF("a", "left", "n_left"), "a").join(
-        sketch.toDF("b", "right", "n_right"), "b"
-    )
-    # Sets that differ this much in size cannot be alike.
-    joined = joined.filter(
-        F.least("n_left", "n_right") * 100 >= F.greatest("n_left", "n_right") * percent
-    )
+    # The pairs go to the sketches, and only sketches of a second partner are shuffled.
+    sketch = nodes.select("node", "sketch")
+    joined = sketch.toDF("a", "left").join(narrow(pairs), "a")
+    second = among(sketch, stored(pairs.select("b").distinct()), "node")
+    joined = joined.join(second.toDF("b", "right"), "b")
     schema = pairs.select("a", "b").schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,9 +265,10 @@ def _verified(
     pairs: DataFrame, documents: DataFrame, words: int, percent: int, key: str, text: str
 ) -> DataFrame:
     pairs = stored(pairs)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    seconds = stored(pairs.select("b").distinct())
+    wanted = stored(pairs.select(F.col("a").alias("node")).union(seconds).distinct())
     texts = documents.select(F.col(key).alias("node"), F.col(text).alias("content"))
-    texts = texts.join(wanted, "node", "left_semi")
+    texts = among(texts, wanted, "node")
     schema = texts.select("node").schema.add("members", "binary")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +284,8 @@ def _verified(
             )
 
     members = stored(texts.mapInArrow(sets, schema))
-    joined = pairs.join(members.toDF("a", "left"), "a").join(members.toDF("b", "right"), "b")
+    joined = members.toDF("a", "left").join(narrow(pairs), "a")
+    joined = joined.join(among(members, seconds, "node").toDF("b", "right"), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -309,10 +328,8 @@ def _grouped(
         .join(classes, ["first_key", "second_key"])
         .select("doc", "node")
     )
-    first = member.select("node").distinct()
-    nodes = stored(
-        filled.select(F.col("doc").alias("node"), "n", "sketch").join(first, "node", "left_semi")
-    )
+    first = stored(member.select("node").distinct())
+    nodes = stored(among(filled.select(F.col("doc").alias("node"), "n", "sketch"), first, "node"))
     # Rows of one document with different texts are one node.
     several = member.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b"))
     links = (
@@ -321,7 +338,7 @@ def _grouped(
         .select("a", F.col("node").alias("b"))
     )
 
-    tested, long_lists = candidates(nodes)
+    tested, long_lists = candidates(nodes, percent)
     close = stored(likely(tested, nodes, percent))
     smallest = close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = stored(
@@ -333,7 +350,7 @@ def _grouped(
 
     with scope() as own:
         again = left_over(long_lists, nodes, roots, documents, words, percent, key, text)
-        again = again.join(tested, ["a", "b"], "left_anti")
+        again = stored(again.join(tested, ["a", "b"], "left_anti"))
         again = own.keep(stored(likely(again, nodes, percent)))
     if not again.isEmpty():
         more = verified(again, documents, words, percent, key, text)
@@ -431,11 +448,18 @@ def left_over(
     """
     runs = F.greatest(F.least("n", F.lit(SKETCH)) - 1, F.lit(1))
     sizes = nodes.groupBy("node").agg(F.min("n").alias("n"))
-    full = long_lists.groupBy("node").agg(F.count("*").alias("long")).join(sizes, "node")
+    # A list within one component can link nothing.
+    held = long_lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed_lists = held.groupBy("list").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("length")
+    )
+    mixed_lists = stored(mixed_lists.filter("low < high").select("list", "length"))
+    open_lists = join_counted(long_lists.select("list", "node"), mixed_lists, "list", "length", LIST_BYTES)
+    full = open_lists.groupBy("node").agg(F.count("*").alias("long")).join(sizes, "node")
     least = F.least(F.lit(LONG), F.greatest(F.lit(1), F.floor(runs * 0.4)))
     full = stored(full.filter(F.col("long") >= least).select("node", "n"))
     texts = documents.select(F.col(key).alias("node"), F.col(text).alias("content"))
-    texts = stored(texts.join(full, "node", "left_semi"))
+    texts = stored(among(texts, full.select("node").distinct(), "node"))
     placed = stored(
         rare_first(texts, full.count(), words, percent)
         .join(full, "node")
@@ -446,11 +470,15 @@ def left_over(
         placed.groupBy("list", "root")
         .agg(F.count("*").alias("members"))
         .groupBy("list")
-        .agg(F.max(F.struct("members", "root")).alias("main"), F.count("*").alias("roots"))
+        .agg(
+            F.max(F.struct("members", "root")).alias("main"),
+            F.count("*").alias("roots"),
+            F.sum("members").alias("size"),
+        )
         .filter("roots > 1")
-        .select("list", F.col("main.root").alias("main"))
+        .select("list", F.col("main.root").alias("main"), "size")
     )
-    shared = stored(placed.join(main, "list"))
+    shared = stored(join_counted(placed, stored(main), "list", "size", LIST_BYTES))
     x = shared.filter("root <> main").select(
         "list",
         F.col("node").alias("x"),
@@ -476,7 +504,7 @@ def keep_one(documents: DataFrame, *, words: int = 5, percent: int = PERCENT) ->
     """All columns of one document of each group of near-duplicates, the one with the smallest id."""
     with scope() as own:
         found = near_duplicates(documents, words=words, percent=percent)
-        dropped = own.keep(stored(found.filter("not kept")))
-    return documents.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(
+        dropped = own.keep(stored(found.filter("not kept").select("doc_id").distinct()))
+    return documents.join(narrow(dropped), "doc_id", "left_anti").select(
         *documents.columns
     )

@@ -384,7 +384,8 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def rare_first(
     texts: DataFrame, n_texts: int, words: int, percent: int
 ) -> DataFrame:
-    """``list, node, at`` for the first members of every set in an order that all sets share.
+    """``list, node, at, before`` for the first members of every set in an order that all sets
+    share; ``before`` is the member before it, null for the first.
 
     Two sets with a similarity of at least ``percent`` have a common one among their first
     ``n - ceil(n * percent / 100) + 1`` members, whatever the order. Here frequent shingles come
@@ -408,12 +409,13 @@ def rare_first(
         for rows in text_slices(batches, "content"):
             values, at = shingle_sets(rows.column("content"), words)
             last = np.isin(values, frequent, assume_unique=False)
-            lists, of, places = [], [], []
+            lists, of, places, before = [], [], [], []
             for row, (low, high) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                 n = high - low
                 order = np.argsort(last[low:high], kind="stable")
                 keep = order[: n + (-n * percent) // 100 + 1] if n else order
                 lists.append(values[low:high][keep].view(np.int64))
+                before.append(np.concatenate([np.zeros(min(n, 1), np.int64), lists[-1][:-1]]))
                 of.append(np.full(len(keep), row))
                 places.append(np.arange(len(keep), dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -421,12 +423,13 @@ def rare_first(
                     pa.array(np.concatenate(lists)),
                     rows.column("node").take(pa.array(np.concatenate(of))),
                     pa.array(np.concatenate(places)),
+                    pa.array(np.concatenate(before), mask=np.concatenate(places) == 0),
                 ],
-                names=["list", "node", "at"],
+                names=["list", "node", "at", "before"],
             )
 
     out = T.StructType().add("list", "long").add("node", texts.schema["node"].dataType)
-    return texts.select("node", "content").mapInArrow(first, out.add("at", "integer"))
+    return texts.select("node", "content").mapInArrow(first, out.add("at", "integer").add("before", "long"))
 
 
 def left_over(
@@ -444,7 +447,9 @@ def left_over(
     Two classes that are alike and have not met in a short list share at least ``LONG`` long ones,
     or two fifths of a small sketch's. Classes with as many are compared by the first members of
     their whole sets in a common order, which leaves no pair out: of a list the members outside
-    its largest component are paired with those members of other components that enough is left of.
+    its largest component are paired with those members of other components that enough is left
+    of. Two members that have the same one before have met in its list, with more left, and do
+    not meet again.
     """
     runs = F.greatest(F.least("n", F.lit(SKETCH)) - 1, F.lit(1))
     sizes = nodes.groupBy("node").agg(F.min("n").alias("n"))
@@ -464,7 +469,7 @@ def left_over(
         rare_first(texts, full.count(), words, percent)
         .join(full, "node")
         .join(roots, "node", "left")
-        .select("list", "node", "at", "n", F.coalesce("root", "node").alias("root"))
+        .select("list", "node", "at", "before", "n", F.coalesce("root", "node").alias("root"))
     )
     main = (
         placed.groupBy("list", "root")
@@ -485,6 +490,8 @@ def left_over(
         F.col("root").alias("root_x"),
         F.col("n").alias("n_x"),
         (F.col("n") - F.col("at")).alias("rest_x"),
+        F.col("before").alias("before_x"),
+        "main",
     )
     y = shared.select(
         "list",
@@ -492,11 +499,14 @@ def left_over(
         F.col("root").alias("root_y"),
         F.col("n").alias("n_y"),
         (F.col("n") - F.col("at")).alias("rest_y"),
+        F.col("before").alias("before_y"),
     )
     # What two sets have in common from their first common member on is no more than what is
     # left of either from there.
     enough = F.least("rest_x", "rest_y") * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
-    pairs = x.join(y, "list").filter((F.col("root_x") != F.col("root_y")) & enough)
+    once = (F.col("root_y") == F.col("main")) | (F.col("x") < F.col("y"))
+    new = F.coalesce(F.col("before_x") != F.col("before_y"), F.lit(True))
+    pairs = x.join(y, "list").filter((F.col("root_x") != F.col("root_y")) & once & new & enough)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

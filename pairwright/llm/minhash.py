@@ -45,6 +45,8 @@ SKETCH = 32
 LIST = 16
 LONG = 5
 FREQUENT = 500
+# Left-over classes of a component beyond which they are compared by their differences.
+CROWD = 256
 RUNS = (2, 8, SKETCH)
 PERCENT = 80
 # Bytes of a list's key and figures in a broadcast.
@@ -381,17 +383,9 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
-def rare_first(
-    texts: DataFrame, n_texts: int, words: int, percent: int
-) -> DataFrame:
-    """``list, node, at, before`` for the first members of every set in an order that all sets
-    share; ``before`` is the member before it, null for the first.
-
-    Two sets with a similarity of at least ``percent`` have a common one among their first
-    ``n - ceil(n * percent / 100) + 1`` members, whatever the order. Here frequent shingles come
-    last: those of at least one in ``FREQUENT`` sets, of which there are at most ``FREQUENT`` times
-    the mean size of a set.
-    """
+def frequent_members(texts: DataFrame, n_texts: int, words: int) -> np.ndarray:
+    """The shingles of at least one in ``FREQUENT`` sets, ascending: at most ``FREQUENT`` times the
+    mean size of a set."""
     schema = T.StructType().add("list", "long")
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,13 +396,22 @@ def rare_first(
     least = max(LIST + 1, n_texts // FREQUENT)
     counts = texts.mapInArrow(every, schema).groupBy("list").count()
     common = counts.filter(F.col("count") >= least).select("list").toArrow()
-    frequent = np.sort(common.column("list").to_numpy()).view(np.uint64)
-    frequent.sort()
+    return np.sort(common.column("list").to_numpy().view(np.uint64))
+
+
+def rare_first(texts: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
+    """``list, node, n, at, before`` for the first members of every set in an order that all sets
+    share, frequent ones last; ``before`` is the member before it, null for the first.
+
+    Two sets with a similarity of at least ``percent`` have a common one among their first
+    ``n - ceil(n * percent / 100) + 1`` members, whatever the order.
+    """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in text_slices(batches, "content"):
             values, at = shingle_sets(rows.column("content"), words)
             last = np.isin(values, frequent, assume_unique=False)
+            sizes = np.diff(at)
             lists, of, places, before = [], [], [], []
             for row, (low, high) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                 n = high - low
@@ -418,18 +421,137 @@ def rare_first(
                 before.append(np.concatenate([np.zeros(min(n, 1), np.int64), lists[-1][:-1]]))
                 of.append(np.full(len(keep), row))
                 places.append(np.arange(len(keep), dtype=np.int32))
+            of = np.concatenate(of)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate(lists)),
-                    rows.column("node").take(pa.array(np.concatenate(of))),
+                    rows.column("node").take(pa.array(of)),
+                    pa.array(sizes[of]),
                     pa.array(np.concatenate(places)),
                     pa.array(np.concatenate(before), mask=np.concatenate(places) == 0),
                 ],
-                names=["list", "node", "at", "before"],
+                names=["list", "node", "n", "at", "before"],
             )
 
     out = T.StructType().add("list", "long").add("node", texts.schema["node"].dataType)
-    return texts.select("node", "content").mapInArrow(first, out.add("at", "integer").add("before", "long"))
+    out = out.add("n", "long").add("at", "integer").add("before", "long")
+    return texts.select("node", "content").mapInArrow(first, out)
+
+
+def deviations(
+    near: DataFrame, texts: DataFrame, centres: DataFrame, frequent: np.ndarray, words: int, percent: int
+) -> DataFrame:
+    """``main, node, root, list, at, before, rest, excess``: the members by which the sets of
+    ``near`` (``main, node, root``) differ from the ``base`` of their ``main``, frequent ones last.
+
+    One row of each set, with ``at = -1``, stands for the set itself. ``rest`` is how many members
+    are left from a place on. Two sets x and y with differences X and Y differ in
+    ``|X| + |Y| - 2 |X & Y|`` members, so they are alike if
+    ``2 (100 + percent) |X & Y| >= excess(x) + excess(y)``.
+    """
+    counts = near.groupBy("main").agg(F.count("*").alias("rows"))
+    centres = stored(centres.join(counts, "main"))
+    row_bytes = (centres.agg(F.max(F.octet_length("base"))).first()[0] or 0) + LIST_BYTES
+    wide = texts.select("node", "content").join(narrow(near), "node")
+    wide = join_counted(wide, centres, "main", "rows", row_bytes)
+    wide = wide.select("main", "node", "root", "content", "base")
+    schema = wide.select("main", "node", "root").schema.add("list", "long").add("at", "integer")
+    schema = schema.add("before", "long").add("rest", "long").add("excess", "long")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in text_slices(batches, "content"):
+            values, at = shingle_sets(rows.column("content"), words)
+            bases: dict[int, np.ndarray] = {}
+            lists, before, sizes, excess = [], [], [], []
+            for row, main in enumerate(rows.column("main").to_pylist()):
+                if main not in bases:
+                    bases[main] = shingle_sets(rows.column("base").slice(row, 1), words)[0]
+                own = values[at[row] : at[row + 1]]
+                members = np.setxor1d(own, bases[main], assume_unique=True)
+                members = members[np.argsort(np.isin(members, frequent), kind="stable")]
+                lists.append(np.concatenate([[0], members.view(np.int64)]))
+                before.append(np.concatenate([[0], lists[-1][:-1]]))
+                sizes.append(len(members))
+                excess.append((100 + percent) * len(members) - (100 - percent) * len(own))
+            sizes = np.array(sizes, np.int64)
+            of = np.repeat(np.arange(len(sizes)), sizes + 1)
+            place = np.arange(len(of)) - (np.cumsum(sizes + 1) - sizes - 1)[of] - 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(rows.column(c).take(pa.array(of)) for c in ("main", "node", "root")),
+                    pa.array(np.concatenate(lists)),
+                    pa.array(place.astype(np.int32)),
+                    pa.array(np.concatenate(before), mask=place <= 0),
+                    pa.array(sizes[of] - place),
+                    pa.array(np.array(excess, np.int64)[of]),
+                ],
+                names=schema.names,
+            )
+
+    return wide.mapInArrow(work, schema)
+
+
+def among_crowds(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of unlike roots that may be alike, from written `deviations`.
+
+    The set nearest its base stands for all that must be alike with it, and so with one another
+    through it. Of what is left, sets outside the component meet the others in the lists of their
+    differences. Those are mostly rare, where all sets of a crowd have most of their members in
+    common; and of a set only as many first differences are in lists as leave enough for the least
+    demanding partner.
+    """
+    heads = rows.filter("at < 0")
+    best = heads.groupBy("main").agg(F.min(F.struct("excess", "node", "root")).alias("best"))
+    best = narrow(
+        stored(
+            best.select(
+                "main",
+                F.col("best.excess").alias("least"),
+                F.col("best.node").alias("best"),
+                F.col("best.root").alias("root_best"),
+            )
+        )
+    )
+    sure = heads.join(best, "main").filter("excess + least <= 0 and root <> root_best")
+    sure = sure.select(F.least("node", "best").alias("a"), F.greatest("node", "best").alias("b"))
+
+    members = rows.filter("at >= 0").join(best, "main")
+    reach = 2 * (100 + percent)
+    x = members.filter(
+        (F.col("root") != F.col("main"))
+        & (F.col("excess") + F.col("least") > 0)
+        & (F.col("rest") * reach >= F.col("excess") + F.col("least"))
+    ).select(
+        "main",
+        "list",
+        F.col("node").alias("x"),
+        F.col("root").alias("root_x"),
+        F.col("before").alias("before_x"),
+        F.col("rest").alias("rest_x"),
+        F.col("excess").alias("excess_x"),
+    )
+    x = stored(x)
+    lowest = stored(x.groupBy("main").agg(F.min("excess_x").alias("lowest")))
+    y = (
+        members.join(narrow(lowest), "main")
+        .filter(F.col("rest") * reach >= F.col("excess") + F.col("lowest"))
+        .select(
+            "main",
+            "list",
+            F.col("node").alias("y"),
+            F.col("root").alias("root_y"),
+            F.col("before").alias("before_y"),
+            F.col("rest").alias("rest_y"),
+            F.col("excess").alias("excess_y"),
+            # Not among the x.
+            ((F.col("root") == F.col("main")) | (F.col("excess") + F.col("least") <= 0)).alias("passive"),
+        )
+    )
+    enough = F.least("rest_x", "rest_y") * reach >= F.col("excess_x") + F.col("excess_y")
+    once = F.col("passive") | (F.col("x") < F.col("y"))
+    new = F.coalesce(F.col("before_x") != F.col("before_y"), F.lit(True))
+    met = x.join(y, ["main", "list"]).filter((F.col("root_x") != F.col("root_y")) & once & new & enough)
+    return sure.union(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
 def left_over(
@@ -450,9 +572,14 @@ def left_over(
     its largest component are paired with those members of other components that enough is left
     of. Two members that have the same one before have met in its list, with more left, and do
     not meet again.
+
+    In a component of more than ``CROWD`` such classes most sets have most members in common. Lists
+    whose largest component is one of these are left to the differences from its most central
+    class.
     """
     runs = F.greatest(F.least("n", F.lit(SKETCH)) - 1, F.lit(1))
     sizes = nodes.groupBy("node").agg(F.min("n").alias("n"))
+    roots = roots.select("node", "root")
     # A list within one component can link nothing.
     held = long_lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_lists = held.groupBy("list").agg(
@@ -460,17 +587,16 @@ def left_over(
     )
     mixed_lists = stored(mixed_lists.filter("low < high").select("list", "length"))
     open_lists = join_counted(long_lists.select("list", "node"), mixed_lists, "list", "length", LIST_BYTES)
-    full = open_lists.groupBy("node").agg(F.count("*").alias("long")).join(sizes, "node")
+    full = open_lists.groupBy("node").agg(F.count("*").alias("long"), F.sum("length").alias("score"))
+    full = full.join(sizes, "node").join(roots, "node", "left")
     least = F.least(F.lit(LONG), F.greatest(F.lit(1), F.floor(runs * 0.4)))
-    full = stored(full.filter(F.col("long") >= least).select("node", "n"))
+    full = full.filter(F.col("long") >= least)
+    full = stored(full.select("node", "score", F.coalesce("root", "node").alias("root")))
     texts = documents.select(F.col(key).alias("node"), F.col(text).alias("content"))
     texts = stored(among(texts, full.select("node").distinct(), "node"))
-    placed = stored(
-        rare_first(texts, full.count(), words, percent)
-        .join(full, "node")
-        .join(roots, "node", "left")
-        .select("list", "node", "at", "before", "n", F.coalesce("root", "node").alias("root"))
-    )
+    frequent = frequent_members(texts, full.count(), words)
+    placed = rare_first(texts, frequent, words, percent).join(full.select("node", "root"), "node")
+    placed = stored(placed.select("list", "node", "at", "before", "n", "root"))
     main = (
         placed.groupBy("list", "root")
         .agg(F.count("*").alias("members"))
@@ -484,6 +610,16 @@ def left_over(
         .select("list", F.col("main.root").alias("main"), "size")
     )
     shared = stored(join_counted(placed, stored(main), "list", "size", LIST_BYTES))
+    centre = F.max(F.struct("score", (-F.col("node")).alias("r"))).alias("centre")
+    crowds = full.groupBy(F.col("root").alias("main")).agg(F.count("*").alias("members"), centre)
+    crowds = crowds.filter(F.col("members") > CROWD)
+    crowds = stored(crowds.select("main", (-F.col("centre.r")).alias("node")))
+    crowded = narrow(crowds.select("main"))
+    near = stored(shared.join(crowded, "main", "left_semi").select("main", "node", "root").distinct())
+    base = among(texts, crowds.select("node"), "node").groupBy("node").agg(F.min("content").alias("base"))
+    base = base.join(crowds, "node").select("main", "base")
+    differing = stored(deviations(near, texts, base, frequent, words, percent))
+    shared = shared.join(crowded, "main", "left_anti")
     x = shared.filter("root <> main").select(
         "list",
         F.col("node").alias("x"),
@@ -507,7 +643,8 @@ def left_over(
     once = (F.col("root_y") == F.col("main")) | (F.col("x") < F.col("y"))
     new = F.coalesce(F.col("before_x") != F.col("before_y"), F.lit(True))
     pairs = x.join(y, "list").filter((F.col("root_x") != F.col("root_y")) & once & new & enough)
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs.union(among_crowds(differing, percent)).distinct()
 
 
 def keep_one(documents: DataFrame, *, words: int = 5, percent: int = PERCENT) -> DataFrame:

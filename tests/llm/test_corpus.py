@@ -139,6 +139,61 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [3, 1_000_000])
+def test_outliers_of_a_crowd(spark, monkeypatch, crowd):
+    """Copies at about the limit: some are alike with few others only, or with each other only."""
+    random.seed(5)
+    words = [f"w{n}" for n in range(400)]
+    rows, number = [], 0
+    for n_words, copies in ((120, 150), (40, 60)):
+        base = random.choices(words, k=n_words)
+        for _ in range(copies):
+            rate = random.choice([0.0, 0.02, 0.04, 0.06, 0.08])
+            edited = [random.choice(words) if random.random() < rate else w for w in base]
+            rows.append((number, " ".join(edited)))
+            number += 1
+        outlier = [random.choice(words) if random.random() < 0.09 else w for w in base]
+        for _ in range(20):
+            edited = [random.choice(words) if random.random() < 0.03 else w for w in outlier]
+            rows.append((number, " ".join(edited)))
+            number += 1
+    random.shuffle(rows)
+    monkeypatch.setattr(minhash, "CROWD", crowd)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    expected, _ = expected_groups(rows, 2)
+    assert len(set(expected.values())) > 10
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table, words=2).collect()}
+    assert got == expected
+
+
+def test_pairs_within_a_crowd_are_those_of_brute_force(spark):
+    """Of every pair that is alike, both are linked with the set nearest the base or they meet."""
+    random.seed(6)
+    base = [f"w{n}" for n in range(60)]
+    texts = {0: base}
+    for node in range(1, 120):
+        texts[node] = [f"x{random.randrange(30)}" if random.random() < 0.06 else w for w in base]
+    sets = {n: {(a, b) for a, b in zip(t, t[1:])} for n, t in texts.items()}
+    # Roots as if nothing had been linked but the first hundred.
+    root = {n: 0 if n < 100 else n for n in texts}
+    table = spark.createDataFrame([(n, " ".join(t)) for n, t in texts.items()], "node long, content string")
+    near = spark.createDataFrame([(0, n, root[n]) for n in texts], "main long, node long, root long")
+    centres = spark.createDataFrame([(0, " ".join(base))], "main long, base string")
+    none = np.zeros(0, np.uint64)
+    rows = minhash.stored(minhash.deviations(near, table, centres, none, 2, 80))
+    pairs = {(r.a, r.b) for r in minhash.among_crowds(rows, 80).collect()}
+    best = min(texts, key=lambda n: (180 * len(sets[n] ^ sets[0]) - 20 * len(sets[n]), n))
+    alike = [
+        (a, b) for a in texts for b in range(max(a + 1, 100), len(texts))
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    ]
+    assert alike
+    for a, b in alike:
+        through = all(n == best or root[n] == root[best] or (min(n, best), max(n, best)) in pairs for n in (a, b))
+        assert (a, b) in pairs or through
+    assert len(pairs) < 120 * 20 / 4
+
+
 def test_rows_without_a_key_are_nobodys_copy(spark):
     rows = [(None, "a b c d"), (None, "a b c d"), (None, "p q r s"), (1, "a b c d"), (2, "a b c d"), (3, "p q r s")]
     table = spark.createDataFrame(rows, "doc_id long, text string")

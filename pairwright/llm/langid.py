@@ -339,7 +339,9 @@ def learned(documents: DataFrame, **columns: str) -> Network | None:
 def keep_known(documents: DataFrame, net: Network | None) -> DataFrame:
     """All columns of the documents whose text is in one of the learned languages.
 
-    Rejected are texts without a letter, and null ones.
+    Rejected are texts without a letter, and null ones. Where nothing could be learned, all texts
+    with a letter stay. There is no floor on the score: some clean texts score lower than
+    texts in no learned language.
     """
     rows = documents.select(
         F.struct("*").alias("row"),
@@ -356,5 +358,5 @@ def keep_known(documents: DataFrame, net: Network | None) -> DataFrame:
             keep = pa.array([name != UNKNOWN for name in names], pa.bool_())
             yield some.select(["row"]).filter(keep)
 
-    kept = rows.mapInArrow(work, schema)
+    kept = rows.filter("readable") if net is None else rows.mapInArrow(work, schema)
     return kept.select(*[F.col("row")[c].alias(c) for c in documents.columns])

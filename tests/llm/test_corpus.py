@@ -71,6 +71,7 @@ def test_language_of_rough_rows(spark, documents):
     assert {r.lang_pred for r in langid.predict(rough, None).collect()} == {"und"}
     kept = langid.keep_known(rough, net)
     assert kept.columns == rough.columns and kept.count() == 4
+    assert sorted(langid.keep_known(rough, None).collect(), key=str) == sorted(kept.collect(), key=str)
 
 
 # --- near-duplicates -------------------------------------------------------------------------

@@ -447,7 +447,8 @@ def deviations(
     One row of each set, with ``at = -1``, stands for the set itself. ``rest`` is how many members
     are left from a place on. Two sets x and y with differences X and Y differ in
     ``|X| + |Y| - 2 |X & Y|`` members, so they are alike if
-    ``2 (100 + percent) |X & Y| >= excess(x) + excess(y)``.
+    ``2 (100 + percent) |X & Y| >= excess(x) + excess(y)``. Of a set that differs in more members than
+    it has there is that one row only, without an excess.
     """
     counts = near.groupBy("main").agg(F.count("*").alias("rows"))
     centres = stored(centres.join(counts, "main"))
@@ -462,17 +463,19 @@ def deviations(
         for rows in text_slices(batches, "content"):
             values, at = shingle_sets(rows.column("content"), words)
             bases: dict[int, np.ndarray] = {}
-            lists, before, sizes, excess = [], [], [], []
+            lists, before, sizes, excess, far = [], [], [], [], []
             for row, main in enumerate(rows.column("main").to_pylist()):
                 if main not in bases:
                     bases[main] = shingle_sets(rows.column("base").slice(row, 1), words)[0]
                 own = values[at[row] : at[row + 1]]
                 members = np.setxor1d(own, bases[main], assume_unique=True)
+                excess.append((100 + percent) * len(members) - (100 - percent) * len(own))
+                far.append(len(members) > len(own))
+                members = members[:0] if far[-1] else members
                 members = members[np.argsort(np.isin(members, frequent), kind="stable")]
                 lists.append(np.concatenate([[0], members.view(np.int64)]))
                 before.append(np.concatenate([[0], lists[-1][:-1]]))
                 sizes.append(len(members))
-                excess.append((100 + percent) * len(members) - (100 - percent) * len(own))
             sizes = np.array(sizes, np.int64)
             of = np.repeat(np.arange(len(sizes)), sizes + 1)
             place = np.arange(len(of)) - (np.cumsum(sizes + 1) - sizes - 1)[of] - 1
@@ -483,7 +486,7 @@ def deviations(
                     pa.array(place.astype(np.int32)),
                     pa.array(np.concatenate(before), mask=place <= 0),
                     pa.array(sizes[of] - place),
-                    pa.array(np.array(excess, np.int64)[of]),
+                    pa.array(np.array(excess, np.int64)[of], mask=np.array(far, bool)[of]),
                 ],
                 names=schema.names,
             )
@@ -500,6 +503,7 @@ def among_crowds(rows: DataFrame, percent: int) -> DataFrame:
     common; and of a set only as many first differences are in lists as leave enough for the least
     demanding partner.
     """
+    rows = rows.filter("excess is not null")
     heads = rows.filter("at < 0")
     best = heads.groupBy("main").agg(F.min(F.struct("excess", "node", "root")).alias("best"))
     best = narrow(
@@ -575,7 +579,7 @@ def left_over(
 
     In a component of more than ``CROWD`` such classes most sets have most members in common. Lists
     whose largest component is one of these are left to the differences from its most central
-    class.
+    class, but for sets that have less in common with that.
     """
     runs = F.greatest(F.least("n", F.lit(SKETCH)) - 1, F.lit(1))
     sizes = nodes.groupBy("node").agg(F.min("n").alias("n"))
@@ -614,12 +618,15 @@ def left_over(
     crowds = full.groupBy(F.col("root").alias("main")).agg(F.count("*").alias("members"), centre)
     crowds = crowds.filter(F.col("members") > CROWD)
     crowds = stored(crowds.select("main", (-F.col("centre.r")).alias("node")))
-    crowded = narrow(crowds.select("main"))
-    near = stored(shared.join(crowded, "main", "left_semi").select("main", "node", "root").distinct())
+    crowded = crowds.select("main")
+    near = stored(shared.join(narrow(crowded), "main", "left_semi").select("main", "node", "root").distinct())
     base = among(texts, crowds.select("node"), "node").groupBy("node").agg(F.min("content").alias("base"))
     base = base.join(crowds, "node").select("main", "base")
     differing = stored(deviations(near, texts, base, frequent, words, percent))
-    shared = shared.join(crowded, "main", "left_anti")
+    far = stored(differing.filter("excess is null").select("main", "node", F.lit(1).alias("far")).distinct())
+    shared = shared.join(narrow(crowded.withColumn("crowd", F.lit(1))), "main", "left")
+    shared = shared.join(narrow(far), ["main", "node"], "left")
+    shared = shared.withColumn("open", F.col("crowd").isNull() | F.col("far").isNotNull())
     x = shared.filter("root <> main").select(
         "list",
         F.col("node").alias("x"),
@@ -627,6 +634,7 @@ def left_over(
         F.col("n").alias("n_x"),
         (F.col("n") - F.col("at")).alias("rest_x"),
         F.col("before").alias("before_x"),
+        F.col("open").alias("open_x"),
         "main",
     )
     y = shared.select(
@@ -636,13 +644,15 @@ def left_over(
         F.col("n").alias("n_y"),
         (F.col("n") - F.col("at")).alias("rest_y"),
         F.col("before").alias("before_y"),
+        F.col("open").alias("open_y"),
     )
     # What two sets have in common from their first common member on is no more than what is
     # left of either from there.
     enough = F.least("rest_x", "rest_y") * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
     once = (F.col("root_y") == F.col("main")) | (F.col("x") < F.col("y"))
     new = F.coalesce(F.col("before_x") != F.col("before_y"), F.lit(True))
-    pairs = x.join(y, "list").filter((F.col("root_x") != F.col("root_y")) & once & new & enough)
+    met = x.filter("open_x").join(y, "list").union(x.filter("not open_x").join(y.filter("open_y"), "list"))
+    pairs = met.filter((F.col("root_x") != F.col("root_y")) & once & new & enough)
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return pairs.union(among_crowds(differing, percent)).distinct()
 

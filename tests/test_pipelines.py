@@ -531,3 +531,18 @@ def test_enrich_treats_null_names_and_repeated_ids_alike_in_both_plans(spark, mo
         monkeypatch.setitem(enrich.__globals__, "MAP_ROWS", rows)
         named = {r.id: r.names for r in enrich(records, "ids", table, "names").collect()}
         assert named == {"r": ["C1", "A"], "s": [], "t": []}
+
+
+def test_vectors_of_a_batch_are_sent_in_parts(monkeypatch):
+    """A worker holds one vector per distinct text and sends few rows at a time; splitting into words
+    a part of the texts at a time changes nothing."""
+    from pairwright.operators import embed
+
+    texts = pa.array([f"word{i % 700} and other{i % 700}" for i in range(3000)] + [None, ""])
+    embedder = embed.hashing_embedder(16)
+    whole = embed.unit_vectors(embedder, texts)
+    monkeypatch.setattr(embed, "WORD_CHARS", 100)
+    monkeypatch.setattr(embed, "_last", {})
+    parts = list(embed.unit_parts(embedder, texts))
+    assert [len(part) for part in parts] == [1024, 1024, 954]
+    assert (np.concatenate(parts) == whole).all()

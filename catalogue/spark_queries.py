@@ -70,6 +70,7 @@ from pairwright.sources.payloads import (
     typed,
     unpack,
 )
+from pairwright.scratch import stored as derived_once
 from pairwright.sources.store import VersionedTable, scratch_root
 from pairwright.streaming.feed import stream_sync
 
@@ -353,7 +354,7 @@ def as_json(spark: SparkSession, commands: DataFrame, spec: EntitySpec) -> DataF
         for name, _ in spec.record
     ])
     beside = [name for name, _ in spec.labels] + [c for c in ("seq", "op") if c in commands.columns]
-    commands.select(record.alias(spec.payload[-1]), *beside).write.json(folder)
+    commands.select(record.alias(spec.payload[-1]), *beside).write.json(folder, compression="gzip")
     return read_commands(spark, spec, folder)
 
 
@@ -733,7 +734,7 @@ def bulk_sync_skills(spark, sf_dir):
 @query
 def sync_projects(spark, sf_dir):
     """All projects in bulk, then all again with their titles in upper case."""
-    commands = d.project_commands(spark, sf_dir)
+    commands = derived_once(d.project_commands(spark, sf_dir))
     table = stored(spark, PROJECTS, commands)
     sync(table, commands.withColumn("title", F.upper("title")), hashing_embedder())
     return table.read().select("id", "title", d.digest("vector").alias("vector"))
@@ -796,7 +797,7 @@ def failed_bulk_sync(spark, sf_dir):
 @query
 def sync_unsequenced(spark, sf_dir):
     """Students in bulk, two JSON syncs of the same ids without a sequence, then new ids."""
-    commands = d.student_commands(spark, sf_dir)
+    commands = derived_once(d.student_commands(spark, sf_dir))
     table = stored(spark, STUDENTS, commands)
 
     def named(rows: DataFrame, word: str) -> DataFrame:
@@ -814,7 +815,7 @@ def sync_unsequenced(spark, sf_dir):
 @query
 def late_after_replace(spark, sf_dir):
     """Changes from before a replacement are rejected and shown; those after it are stored."""
-    commands = d.student_commands(spark, sf_dir)
+    commands = derived_once(d.student_commands(spark, sf_dir))
     table = VersionedTable(spark, scratch_root(spark), STUDENTS)
     numbered = commands.withColumn("seq", F.col("place") + 1000)
     sync(table, numbered, hashing_embedder())

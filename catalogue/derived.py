@@ -37,6 +37,14 @@ def names_per(rows: DataFrame, key: str, output: str) -> DataFrame:
     return rows.groupBy(key).agg(F.array_sort(F.collect_set("p_name")).alias(output))
 
 
+def texts_of(spark: SparkSession, sf_dir: str, keys: DataFrame) -> DataFrame:
+    """Texts of the documents that may have these ids: the range of the ids reaches the scan, so that
+    texts outside are not shuffled."""
+    ends = keys.agg(F.min("doc_id"), F.max("doc_id")).first()
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("about_me"))
+    return texts.where(F.col("doc_id").between(*ends))
+
+
 def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
     return names.select(make_id("skill", "name").alias("id"), "name")
@@ -57,11 +65,10 @@ def students(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     )
     has_major = F.col("c_custkey") % 10 != 0
-    texts = table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("text").alias("about_me")
-    )
+    customers = table(spark, sf_dir, "customer")
+    texts = texts_of(spark, sf_dir, customers.select(F.col("c_custkey").alias("doc_id")))
     return (
-        table(spark, sf_dir, "customer")
+        customers
         .join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
         .join(names_per(bought, "o_custkey", "skill_names"), F.col("o_custkey") == F.col("c_custkey"), "left")
         .join(texts, F.col("doc_id") == F.col("c_custkey"), "left")
@@ -83,11 +90,10 @@ def professors(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
     supplied = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_name")
     balance = F.col("s_acctbal")
-    texts = table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("text").alias("about_me")
-    )
+    suppliers = table(spark, sf_dir, "supplier")
+    texts = texts_of(spark, sf_dir, suppliers.select((F.col("s_suppkey") + 500).alias("doc_id")))
     return (
-        table(spark, sf_dir, "supplier")
+        suppliers
         .join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
         .join(names_per(supplied, "l_suppkey", "interest_areas"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
         .join(texts, F.col("doc_id") == F.col("s_suppkey") + 500, "left")
@@ -114,13 +120,21 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("l_orderkey", "l_partkey")
         .join(documents.select(F.col("doc_id").alias("l_orderkey")), "l_orderkey", "left_semi")
     )
+    orders = (
+        table(spark, sf_dir, "orders")
+        .select("o_orderkey", "o_custkey", "o_orderdate")
+        .join(documents.select(F.col("doc_id").alias("o_orderkey")), "o_orderkey", "left_semi")
+    )
     ordered = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_name")
     doc = F.col("doc_id")
-    return (
-        documents.join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == doc)
-        .join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    # Texts come last, so that they are shuffled once.
+    placed = (
+        orders.join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-        .join(names_per(ordered, "l_orderkey", "skill_names"), F.col("l_orderkey") == doc, "left")
+        .join(names_per(ordered, "l_orderkey", "skill_names"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    )
+    return (
+        documents.join(placed, F.col("o_orderkey") == doc)
         .select(
             make_id("project", doc).alias("id"),
             F.concat_ws(" ", "source", "lang", doc.cast("string")).alias("title"),

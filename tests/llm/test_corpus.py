@@ -3,15 +3,17 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pairwright.llm import langid, minhash, passages, queries, suffix
+from pairwright.llm import columns, langid, minhash, passages, queries, suffix
 from pairwright.llm.components import components
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -274,6 +276,75 @@ def test_texts_without_repeats(spark):
 # --- pipeline --------------------------------------------------------------------------------
 
 
+def most_memory(work):
+    """Its result and the bytes it held beyond those from before."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_sorting_segments_takes_few_bytes_for_each_symbol():
+    rng = np.random.default_rng(5)
+    text = rng.bytes(100_000)
+    at = np.repeat(rng.integers(0, 99_000, 4000), 2)
+    far = rng.integers(60, 337, len(at))
+    near = rng.integers(64, 401, len(at))
+    segments = [text[a + 400 - f : a + 400 + n] for a, f, n in zip(at, far, near)]
+    group = np.repeat(np.arange(4000), 2)
+    hit, most = most_memory(lambda: suffix.repeated(segments, group, far, 400))
+    assert most < 10 * sum(map(len, segments))
+    for i in range(0, len(at), 2):
+        # Strings of 400 bytes that both segments of a pair hold start so far before the anchor.
+        first, last = 400 - far[i : i + 2].min(), min(near[i : i + 2].min(), 400)
+        want = [far[i : i + 2].min() >= d >= 400 - last for d in range(hit.shape[0])]
+        assert first >= 0 and hit[:, i].tolist() == want and hit[:, i + 1].tolist() == want
+
+
+def test_hashing_runs_takes_memory_for_a_bounded_part_of_them():
+    rng = np.random.default_rng(6)
+    data = rng.integers(0, 256, 3 << 20).astype(np.uint8)
+    ends = np.cumsum(np.r_[rng.integers(1, 12, 100_000), 700_000, rng.integers(1, 80, 20_000)])
+    starts = np.r_[0, ends[:-1]]
+    hashes, most = most_memory(lambda: columns.run_hashes(data, starts, ends))
+    assert most < 45 << 20
+    for i in [*range(50), *range(99_990, 100_010), 120_000]:
+        alone = columns.run_hashes(data[starts[i] : ends[i]], np.array([0]), ends[i : i + 1] - starts[i])
+        assert alone[0] == hashes[i]
+
+
+def test_pipeline_deals_texts_in_small_batches(spark):
+    size = corpus_pipeline.BATCH_SIZE
+    rows = spark.range(600).select(
+        F.col("id").alias("doc_id"),
+        F.repeat(F.concat(F.lit("some words "), F.col("id").cast("string")), 2000).alias("text"),
+        F.lit("en").alias("lang"),
+        F.lit("web").alias("source"),
+        F.lit(0).cast("long").alias("n_chars"),
+    )
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    before = spark.conf.get(size, None)
+    try:
+        spark.conf.unset(size)
+        for _, stage in corpus_pipeline.STAGES[:1]:
+            kept = stage(spark, rows.coalesce(1), SF_DIR)
+            got = [r.size for r in kept.coalesce(1).mapInArrow(sizes, "size long").collect()]
+            assert sum(got) > 12_000_000 and max(got) < 2_000_000
+        spark.conf.set(size, "1m")
+        corpus_pipeline.prepared(spark)
+        assert spark.conf.get(size) == "1m"
+        spark.conf.unset(size)
+        corpus_pipeline.run(spark, SF_DIR)
+        assert spark.conf.get(size, None) is None
+    finally:
+        spark.conf.unset(size) if before is None else spark.conf.set(size, before)
+
+
 def test_pipeline(spark, documents):
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["language", "near_duplicates", "repeats", "packing"]

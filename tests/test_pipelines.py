@@ -443,6 +443,26 @@ def test_texts_are_embedded_for_large_sides_too(spark, plan):
     assert expected and sorted(map(tuple, got.collect())) == expected
 
 
+def test_requests_of_large_sides_are_derived_once(spark, monkeypatch):
+    from pairwright.operators import knn
+
+    skills = skill_rows(spark, hashing_embedder())
+    asked = skill_requests(spark, 30).select("request_id", "limit", F.col("major_name").alias("t"))
+    settings = {"embedder": hashing_embedder(), "text": "t", "n_candidates": 12}
+    expected = sorted(map(tuple, knn.nearest(asked, skills, **settings).collect()))
+    derived = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            derived.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", 10 * 4 * 768)
+    got = knn.nearest(asked.mapInArrow(passed, asked.schema), skills, **settings)
+    assert expected and sorted(map(tuple, got.collect())) == expected
+    assert derived.value == 30
+
+
 def test_stream_in_order_late_and_replayed_end_alike(spark, root, tmp_path):
     expected = {ident(1): "a2", ident(3): "c2"}
     for case, order in {"in_order": (0, 1, 2), "late": (2, 1, 0)}.items():

@@ -259,6 +259,25 @@ def test_repeats(spark, monkeypatch, length, gram, group, fits):
     assert sorted(tuple(r) for r in got.collect()) == expected_removal(rows, length)
 
 
+def test_rows_of_a_frequent_string_stay_apart(spark):
+    same = b"x" * 20 + b"y" * 20
+    rows = [(b"%d" % i, 10, 10, same if i % 10 else b"%040d" % i) for i in range(400)]
+    own = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        segments = spark.createDataFrame(rows, "key binary, at int, far int, segment binary")
+        found = suffix._counted_spans(segments.repartition(8), 40)
+        got = found.withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(bytes(r.key) for r in got) == sorted(r[0] for r in rows if r[3] == same)
+    assert {(r.first, r.last) for r in got} == {(0, 40)}
+    assert max(Counter(r.part for r in got).values()) < len(got) / 4
+
+
 def test_repeats_of_documents(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     got = queries.op8_suffix(spark, SF_DIR).collect()

@@ -70,6 +70,7 @@ from pairwright.sources.payloads import (
     typed,
     unpack,
 )
+from pairwright.scratch import in_scope, scope
 from pairwright.scratch import stored as derived_once
 from pairwright.sources.store import VersionedTable, scratch_root
 from pairwright.streaming.feed import stream_sync
@@ -355,7 +356,7 @@ def as_json(spark: SparkSession, commands: DataFrame, spec: EntitySpec) -> DataF
     ])
     beside = [name for name, _ in spec.labels] + [c for c in ("seq", "op") if c in commands.columns]
     commands.select(record.alias(spec.payload[-1]), *beside).write.json(folder, compression="gzip")
-    return read_commands(spark, spec, folder)
+    return in_scope(folder, read_commands(spark, spec, folder))
 
 
 @query
@@ -797,36 +798,39 @@ def failed_bulk_sync(spark, sf_dir):
 @query
 def sync_unsequenced(spark, sf_dir):
     """Students in bulk, two JSON syncs of the same ids without a sequence, then new ids."""
-    commands = derived_once(d.student_commands(spark, sf_dir))
-    table = stored(spark, STUDENTS, commands)
+    with scope():
+        commands = derived_once(d.student_commands(spark, sf_dir))
+        table = stored(spark, STUDENTS, commands)
 
-    def named(rows: DataFrame, word: str) -> DataFrame:
-        return rows.withColumn("full_name", F.concat(F.lit(f"{word} "), F.col("place").cast("string")))
+        def named(rows: DataFrame, word: str) -> DataFrame:
+            return rows.withColumn("full_name", F.concat(F.lit(f"{word} "), F.col("place").cast("string")))
 
-    new = commands.limit(0).unionByName(
-        d.projects(spark, sf_dir).select("id", "place"), allowMissingColumns=True
-    )
-    for rows in (named(commands, "first"), named(commands.where("place % 2 = 0"), "second"), named(new, "new")):
-        valid, _ = accept(as_json(spark, rows, STUDENTS), STUDENTS)
-        sync(table, valid, hashing_embedder())
+        new = commands.limit(0).unionByName(
+            d.projects(spark, sf_dir).select("id", "place"), allowMissingColumns=True
+        )
+        for rows in (named(commands, "first"), named(commands.where("place % 2 = 0"), "second"), named(new, "new")):
+            with scope():
+                valid, _ = accept(as_json(spark, rows, STUDENTS), STUDENTS)
+                sync(table, valid, hashing_embedder())
     return table.read().select("id", "full_name")
 
 
 @query
 def late_after_replace(spark, sf_dir):
     """Changes from before a replacement are rejected and shown; those after it are stored."""
-    commands = derived_once(d.student_commands(spark, sf_dir))
     table = VersionedTable(spark, scratch_root(spark), STUDENTS)
-    numbered = commands.withColumn("seq", F.col("place") + 1000)
-    sync(table, numbered, hashing_embedder())
-    bulk_sync(table, commands, hashing_embedder())
-    high = table.state()["high_seq"]
-    late = commands.withColumns({"full_name": F.lit("late"), "seq": F.lit(high).cast("long") - F.col("place") % 2})
-    newer = commands.where("place % 3 = 0").withColumns(
-        {"full_name": F.lit("newer"), "seq": F.lit(high).cast("long") + 1}
-    )
-    sync(table, late, hashing_embedder())
-    sync(table, newer, hashing_embedder())
+    with scope():
+        commands = derived_once(d.student_commands(spark, sf_dir))
+        numbered = commands.withColumn("seq", F.col("place") + 1000)
+        sync(table, numbered, hashing_embedder())
+        bulk_sync(table, commands, hashing_embedder())
+        high = table.state()["high_seq"]
+        late = commands.withColumns({"full_name": F.lit("late"), "seq": F.lit(high).cast("long") - F.col("place") % 2})
+        newer = commands.where("place % 3 = 0").withColumns(
+            {"full_name": F.lit("newer"), "seq": F.lit(high).cast("long") + 1}
+        )
+        sync(table, late, hashing_embedder())
+        sync(table, newer, hashing_embedder())
     kept = table.read().select("id", "full_name", F.lit("stored").alias("fate"))
     return kept.union(table.rejected().select("id", "full_name", "reason"))
 

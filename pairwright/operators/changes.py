@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.schemas import DELETE, OP, ORDER, SEQ, UPSERT
+from pairwright.scratch import stored
 
 # Ids that may be broadcast: 36 characters, a position and overhead, about 100 MB.
 BROADCAST_IDS = 1_000_000
@@ -26,6 +27,14 @@ FILTER_BITS = 16
 LEAST_BITS = 2
 # Bits an id sets in its word.
 SET_BITS = 4
+# Where a row of a stored table lies, and words of 64 bits that mark such rows: broadcast as rows of
+# some 130 bytes.
+FILE, ROW = "_file", "_row"
+MARK_WORDS = 1 << 20
+# What a plan has that is more than a scan; a limit would also end a task before its figures are in.
+COSTLY = ("Exchange", "Python", "InArrow", "InPandas", "BatchScan", "Limit", "TakeOrdered")
+# Inputs of fewer bytes are shuffled whole to find the newest rows, which takes fewer jobs.
+SHUFFLED_BYTES = 32 << 20
 
 
 def position(rows: DataFrame) -> Column:
@@ -49,6 +58,41 @@ def newest(
     return changes.withColumn("_place", place).where(F.col("_place") == 1).drop("_place")
 
 
+def input_bytes(rows: DataFrame) -> int:
+    """Bytes of the files and kept tables that the rows are made from, as far as they are known."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(size for size in sizes if size < 1 << 62)
+
+
+def read_again(rows: DataFrame) -> bool:
+    """The rows come straight from a scan, so that reading them again costs little and nothing is shuffled."""
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    return not any(costly in plan for costly in COSTLY)
+
+
+def newest_of_scan(changes: DataFrame, order: Column, key: str = "id") -> DataFrame:
+    """`newest` of rows that can be read again, see `read_again`: only rows of keys that come more
+    than once are shuffled, the others stay where they are.
+
+    A first pass shuffles hashes of the keys, counted where they lie. Keys that share a hash are
+    only shuffled in vain.
+    """
+    hashed = F.xxhash64(key)
+    counts = changes.select(hashed.alias("_key")).groupBy("_key").agg(F.count("*").alias("_rows"))
+    repeated = stored(counts.where("_rows > 1").select("_key", F.lit(True).alias("_again")))
+    n_repeated = repeated.count()
+    if not n_repeated:
+        return changes
+    if n_repeated > BROADCAST_IDS:
+        return newest(changes, key, order)
+    placed = changes.withColumn("_order", order).withColumn("_key", hashed)
+    marked = placed.join(F.broadcast(repeated), "_key", "left").drop("_key")
+    single = marked.where(F.col("_again").isNull()).drop("_again", "_order")
+    again = marked.where(F.col("_again").isNotNull()).drop("_again")
+    return single.unionByName(newest(again, key, "_order").drop("_order"))
+
+
 def live(rows: DataFrame) -> DataFrame:
     """Rows that are not tombstones."""
     return rows.where(F.col(OP) == UPSERT)
@@ -115,6 +159,54 @@ def fold(base: DataFrame, changes: DataFrame, n_changes: int | None = None) -> D
     return kept.unionByName(fresh)
 
 
+def n_marks(n_rows: int, n_lost: int) -> int:
+    """No more words than this mark ``n_lost`` of ``n_rows`` stored rows, but for one more a file."""
+    return min(n_lost, n_rows // 64 + 1)
+
+
+def located(rows: DataFrame) -> DataFrame:
+    """Rows of a scan with the place where each lies: its file, named after the write that made it,
+    and its number there."""
+    return rows.select(
+        "*", F.col("_metadata.file_name").alias(FILE), F.col("_metadata.row_index").alias(ROW)
+    )
+
+
+def fold_scans(base: DataFrame | None, changes: DataFrame, n_changes: int) -> DataFrame:
+    """`fold` of a stored base, or none, and stored changes, both scans of Parquet files.
+
+    What is shuffled are ids, positions and places. Each id's newest row is found from these; the
+    others are marked by bits in words, one for 64 rows of a file, and the words are broadcast to a
+    second scan. So no row is moved, however many change.
+    """
+    changes = located(changes)
+    names = [name for name in ORDER if name in changes.columns]
+    narrow = changes.select("id", *names, FILE, ROW, F.lit(1).alias("_change"))
+    if base is not None:
+        base = located(base)
+        offered = base.select("id", *names, FILE, ROW, F.lit(0).alias("_change"))
+        if n_changes * LEAST_BITS <= FILTER_WORDS * 64:
+            _, offered = split_by_filter(offered, narrow, n_changes)
+        narrow = offered.unionByName(narrow)
+    # Of equals the change counts: it came later.
+    order = F.struct(position(narrow), F.col("_change"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(order.desc()))
+    lost = narrow.withColumn("_place", place).where(F.col("_place") > 1)
+    word = F.shiftright(F.col(ROW), 6)
+    bit = F.call_function(
+        "shiftleft", F.lit(1).cast("long"), F.col(ROW).bitwiseAND(F.lit(63).cast("long")).cast("int")
+    )
+    words = lost.select(FILE, word.alias("_word"), bit.alias("_bit"))
+    words = words.groupBy(FILE, "_word").agg(F.bit_or("_bit").alias("_bits"))
+
+    def kept(rows: DataFrame) -> DataFrame:
+        own = [name for name in rows.columns if name not in (FILE, ROW)]
+        marked = rows.withColumn("_word", word).join(F.broadcast(words), [FILE, "_word"], "left")
+        return marked.where(F.coalesce(F.col("_bits"), F.lit(0)).bitwiseAND(bit) == 0).select(*own)
+
+    return kept(changes) if base is None else kept(base).unionByName(kept(changes))
+
+
 def merge(
     current: DataFrame, changes: DataFrame, n_changes: int | None = None
 ) -> DataFrame:

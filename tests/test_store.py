@@ -1,6 +1,8 @@
 """Versioned tables and keyed changes."""
 
+import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -342,3 +344,77 @@ def test_operators_without_a_store(spark):
     ids = spark.createDataFrame([("a",), ("z",)], "id string")
     assert [r.id for r in delete(base, ids).collect()] == ["b"]
     assert [r.id for r in delete(base, ids, 2).collect()] == ["b"]
+
+
+def shuffled(df):
+    """Columns of the rows that the plan shuffles."""
+    queries = df._jdf.queryExecution()
+    plan = df.sparkSession._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(queries, "formatted")
+    return re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)
+
+
+@pytest.mark.parametrize("with_base", [True, False])
+def test_many_changes_are_folded_without_moving_rows(spark, root, monkeypatch, with_base):
+    from pairwright.sources import store
+
+    t = table(spark, root)
+    if with_base:
+        t.replace(rows(spark, *[(f"k{n}", "base") for n in range(200)]))
+    t.merge(rows(spark, *[(f"k{n}", "first", n, "D" if n % 5 == 0 else "U") for n in range(100)]))
+    t.merge(rows(spark, *[(f"k{n}", "second", 300 - n) for n in range(50, 250)]))
+    t.merge(rows(spark, *[(f"k{n}", "third") for n in range(0, 250, 9)]))
+    before = sorted(map(tuple, t._rows(t.state()).collect()))
+    ids = [row[0] for row in before]
+    assert len(ids) == len(set(ids)) == 250
+    monkeypatch.setattr(store, "BROADCAST_IDS", 10)
+    folded = t._rows(t.state())
+    assert sorted(map(tuple, folded.collect())) == before
+    exchanges = shuffled(folded)
+    assert exchanges and not any("vector#" in columns for columns in exchanges)
+    live_before = names(t)
+    t.compact()
+    assert names(t) == live_before
+
+
+def test_compaction_lets_go_of_what_older_versions_read(spark, root):
+    t = table(spark, root)
+    bad = rows(spark, ("x", "bad")).withColumn("vector", F.lit(None).cast(VECTOR))
+    t.replace(rows(spark, ("a", "1"), ("b", "1")).union(bad))
+    first = t.state()["base"]
+    held = lambda folder, fate: os.path.exists(f"{t.path}/data/{folder}/_fate={fate}")
+    t.merge(rows(spark, ("a", "2")))
+    reader = t.read()
+    t.compact()
+    second = t.state()["base"]
+    assert held(first, "stored") and {r.id: r.name for r in reader.collect()} == {"a": "2", "b": "1"}
+    t.merge(rows(spark, ("b", "3")))
+    t.compact()
+    assert not held(first, "stored") and held(first, "vector") and held(second, "stored")
+    assert names(t) == {"a": "2", "b": "3"}
+    assert [r.id for r in t.rejected().collect()] == ["x"]
+    assert t.runs().count() == 3
+
+
+def test_rows_of_ids_that_come_once_stay_where_they_are(spark, tmp_path):
+    def read(name, given):
+        spark.createDataFrame(given, "id string, name string, seq long").write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    single = read("single", [(f"k{n}", "x", n) for n in range(50)])
+    assert not shuffled(changes.newest_of_scan(single, F.col("seq")))
+    given = [(f"k{n % 40}" if n % 3 else "hot", f"n{n}", n) for n in range(60)] + [(None, "p", 1), (None, "q", 2)]
+    repeated = read("repeated", given)
+    expected = sorted(map(str, newest(repeated, order="seq").collect()))
+    assert sorted(map(str, changes.newest_of_scan(repeated, F.col("seq")).collect())) == expected
+    assert changes.read_again(repeated) and not changes.read_again(repeated.distinct())
+    # A limit above a Python stage ends it before its figures are in.
+    assert not changes.read_again(repeated.limit(5))
+
+
+def test_many_repeated_ids_are_shuffled_whole(spark, tmp_path, monkeypatch):
+    given = [(f"k{n % 30}", n) for n in range(90)]
+    spark.createDataFrame(given, "id string, seq long").write.parquet(str(tmp_path / "rows"))
+    read = spark.read.parquet(str(tmp_path / "rows"))
+    monkeypatch.setattr(changes, "BROADCAST_IDS", 5)
+    got = changes.newest_of_scan(read, F.col("seq"))
+    assert sorted(map(tuple, got.collect())) == sorted((f"k{n}", 60 + n) for n in range(30))

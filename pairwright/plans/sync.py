@@ -8,12 +8,14 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.operators.changes import newest
+from pairwright.operators import changes
+from pairwright.operators.changes import newest, newest_of_scan, read_again
 from pairwright.operators.embed import BATCH_ROWS, Embedder, Tally, embed
 from pairwright.operators.metrics import append_run
 from pairwright.operators.validate import id_problems, split
 from pairwright.functions import canonical_uuid
 from pairwright.schemas import DELETE, OP, SEQ, EntitySpec
+from pairwright.scratch import scope, stored
 from pairwright.sources.payloads import PLACE
 from pairwright.sources.store import Note, VersionedTable
 
@@ -37,7 +39,9 @@ def vectorize(
     columns before they are embedded, while they are small to move; the id among these
     columns splits a hot value over many partitions.
     """
-    commands = newest(commands, order=given_order(commands))
+    scanned = changes.input_bytes(commands) >= changes.SHUFFLED_BYTES and read_again(commands)
+    reduced = newest_of_scan if scanned else newest
+    commands = reduced(commands, order=given_order(commands))
     if clustered:
         order = spec.cluster_by
         commands = commands.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -49,6 +53,17 @@ def vectorize(
     return rows.select(*spec.columns, *kept)
 
 
+def _derived(commands: DataFrame, spec: EntitySpec) -> DataFrame:
+    """Commands as a scan: the columns that count are written once where more than a scan makes them
+    from a large input. What tells commands with one id apart is written too, as they were read.
+    """
+    if changes.input_bytes(commands) < changes.SHUFFLED_BYTES or read_again(commands):
+        return commands
+    named = [name for name, _ in (*spec.record, *spec.labels)] + [SEQ, OP]
+    kept = [name for name in named if name in commands.columns]
+    return stored(commands.select(*kept, given_order(commands).alias(PLACE)))
+
+
 def _counted(table: VersionedTable, embedder: Embedder, run: str, stage: str) -> tuple[Embedder, Note]:
     """The embedder with its calls counted, and what a commit says about the run.
 
@@ -83,7 +98,9 @@ def sync(
     """
     run = metrics[0] if metrics else f"{batch[0]} {batch[1]}" if batch else uuid.uuid4().hex
     embedder, note = _counted(table, embedder, run, f"sync {table.spec.table}")
-    state = table.merge(vectorize(commands, table.spec, embedder), batch, unique=True, note=note)
+    with scope():
+        rows = vectorize(_derived(commands, table.spec), table.spec, embedder)
+        state = table.merge(rows, batch, unique=True, note=note)
     _record(table, state, run, metrics)
     table.maintain()
     return state
@@ -118,7 +135,8 @@ def bulk_sync(
     """
     run = metrics[0] if metrics else uuid.uuid4().hex
     embedder, note = _counted(table, embedder, run, f"bulk_sync {table.spec.table}")
-    rows = vectorize(commands, table.spec, embedder, clustered=True)
-    state = table.replace(rows, unique=True, note=note)
+    with scope():
+        rows = vectorize(_derived(commands, table.spec), table.spec, embedder, clustered=True)
+        state = table.replace(rows, unique=True, note=note)
     _record(table, state, run, metrics)
     return state

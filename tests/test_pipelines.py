@@ -2,6 +2,7 @@
 
 import dataclasses
 import json
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -567,3 +568,26 @@ def test_vectors_of_a_batch_are_sent_in_parts(monkeypatch):
     parts = list(embed.unit_parts(embedder, texts))
     assert [len(part) for part in parts] == [1024, 1024, 954]
     assert (np.concatenate(parts) == whole).all()
+
+
+def test_large_inputs_are_derived_once_and_moved_once(spark, root, tmp_path, monkeypatch):
+    from pairwright.operators import changes
+    from pairwright.plans import sync as plans
+
+    named = [(ident(n % 40), f"skill {n}", n) for n in range(60)]
+    commands = spark.createDataFrame(named, "id string, name string, seq long")
+    derived = commands.join(spark.range(50).select(F.col("id").alias("seq")), "seq")
+    tables = [VersionedTable(spark, f"{root}/{name}", SKILLS) for name in ("whole", "narrow")]
+    bulk_sync(tables[0], derived, hashing_embedder(8))
+    kept = []
+    real = plans.stored
+    monkeypatch.setattr(plans, "stored", lambda rows: kept.append(real(rows)) or kept[-1])
+    monkeypatch.setattr(changes, "SHUFFLED_BYTES", 0)
+    bulk_sync(tables[1], derived, hashing_embedder(8), metrics=("narrow", str(tmp_path / "runs")))
+    rows = [sorted(map(str, table.read().collect())) for table in tables]
+    assert rows[0] == rows[1] and len(rows[0]) == 40
+    # Its repeated ids are settled in scratch, which is gone.
+    assert len(kept) == 1 and not os.path.exists(kept[0]._scratch)
+    assert tuple(spark.read.parquet(str(tmp_path / "runs")).select("n_rows", "n_texts").first()) == (40, 40)
+    sync(tables[1], derived.withColumn("seq", F.lit(None).cast("long")).limit(7), hashing_embedder(8))
+    assert tables[1].read().count() == 40 and len(kept) == 2
